@@ -153,25 +153,25 @@ def _decoded(text: str, names: str) -> str:
         array_join(transform({pieces}, piece -> {piece}), ''), coded)""")
 
 
-def _attribute(token: str, name: str, names: str) -> str:
-    """Value of an attribute of a start tag, or null; the first one wins."""
+def _attributes(token: str, wanted: list[str], names: str) -> str:
+    """Values of some attributes of a start tag, in the wanted order; the first of a name wins."""
     pairs = f"regexp_extract_all(regexp_replace({token}, r'{TAG_NAME_RE}', ''), r'{ATTRIBUTE_RE}', 0)"
-    named = f"filter({pairs}, a -> lower(regexp_extract(a, r'{ATTRIBUTE_NAME_RE}', 1)) = '{name}')"
-    raw = f"regexp_replace(get({named}, 0), r'{BEFORE_VALUE_RE}', '')"
-    value = f"regexp_replace({raw}, r'{OUTER_QUOTES_RE}', '')"
-    return f"if({token} RLIKE '(?i){name}', {_decoded(value, names)}, NULL)"
+    named = f"get(filter(pairs, a -> lower(regexp_extract(a, r'{ATTRIBUTE_NAME_RE}', 1)) = name), 0)"
+    raw = f"regexp_replace({named}, r'{BEFORE_VALUE_RE}', '')"
+    value = _decoded(f"regexp_replace({raw}, r'{OUTER_QUOTES_RE}', '')", names)
+    return _let("pairs", pairs, f"transform({_list(wanted)}, name -> {value})")
 
 
 def _declared(token: str, names: str) -> str:
     """``lang``, or ``xml:lang`` where ``lang`` is missing or empty; null if neither says anything."""
-    lang, xml_lang = (_attribute(token, name, names) for name in ("lang", "xml:lang"))
-    return f"if({token} RLIKE '(?i)lang', coalesce(nullif({lang}, ''), nullif({xml_lang}, '')), NULL)"
+    values = _attributes(token, ["lang", "xml:lang"], names)
+    return f"if({token} RLIKE '(?i)lang', get(filter({values}, v -> v <> ''), 0), NULL)"
 
 
 def _page_language(toks: str, names: str) -> str:
-    declared = _declared(f"get(filter({toks}, t -> t RLIKE r'{HTML_TAG_RE}'), 0)", names)
-    stripped = f"regexp_replace({declared}, r'^[{WHITESPACE}]+|[{WHITESPACE}]+$', '')"
-    return f"substring_index(lower({stripped}), '-', 1)"
+    stripped = f"regexp_replace({_declared('html_tag', names)}, r'^[{WHITESPACE}]+|[{WHITESPACE}]+$', '')"
+    return _let("html_tag", f"get(filter({toks}, t -> t RLIKE r'{HTML_TAG_RE}'), 0)",
+                f"substring_index(lower({stripped}), '-', 1)")
 
 
 # --- Element tree -------------------------------------------------------------------------------
@@ -180,43 +180,48 @@ OPEN_FIELDS = "tag: string, pos: int, parent_pos: int, depth: int, scoped: boole
 STATE_TYPE = f"open array<struct<{OPEN_FIELDS}>>, done array<struct<{OPEN_FIELDS}, end_pos: int>>"
 
 
-def _level(targets: str, barrier: list[str] | None) -> str:
+def _level(targets: str, barrier: str) -> str:
     """Level (1 = innermost) of the nearest open element among ``targets``, or 0.
 
-    0 also if a barrier element is nearer. Without a list, any element that is not inline is one.
+    0 also if a barrier element is nearer. A null barrier is any element that is not inline.
     """
-    stops = f"NOT {_is_in('o', INLINE_TAGS)}" if barrier is None else f"array_contains({_list(barrier)}, o)"
-    hit = f"array_position(transform(opened, o -> array_contains({targets}, o)), true)"
+    stops = f"if({barrier} IS NULL, NOT {_is_in('o', INLINE_TAGS)}, array_contains({barrier}, o))"
     stop = f"array_position(transform(opened, o -> {stops}), true)"
     unless_stopped = _let("stop", stop, "if(stop = 0 OR stop >= hit, cast(hit AS int), 0)")
+    hit = f"array_position(transform(opened, o -> array_contains({targets}, o)), true)"
     return _let("hit", hit, f"if(hit = 0, 0, {unless_stopped})")
 
 
 def _levels_closed(event: str) -> str:
     """How many open elements a tag closes: up to its own start tag, or those whose end tag may be
     left out before it."""
-    tag, itself = f"{event}.tag", f"array({event}.tag)"
-    open_p = f"if(array_contains(opened, 'p'), {_level(_list(['p']), SCOPE + ['button'])}, 0)"
-    by_tag = f"""CASE
-        WHEN {event}.kind = 'close' THEN CASE
-            WHEN get(opened, 0) = {tag} THEN 1
-            WHEN NOT array_contains(opened, {tag}) THEN 0
-            WHEN {event}.inline THEN {_level(itself, None)}
-            WHEN {_is_in(tag, TABLE_TAGS)} THEN {_level(itself, TABLE_SCOPE)}
-            WHEN {tag} = 'li' THEN {_level(itself, SCOPE + ["ol", "ul"])}
-            ELSE {_level(itself, SCOPE)} END
-        WHEN {tag} = 'li' THEN greatest({_level(_list(["li"]), LIST_SCOPE)}, {open_p})
-        WHEN {_is_in(tag, ["dd", "dt"])} THEN greatest({_level(_list(["dd", "dt"]), LIST_SCOPE)}, {open_p})
-        WHEN {_is_in(tag, P_CLOSERS)} THEN {open_p}
-        WHEN {tag} = 'a' THEN {_level(_list(["a"]), None)}
-        WHEN {tag} = 'option' THEN {_level(_list(["option"]), ["select", "optgroup"])}
-        WHEN {tag} = 'optgroup' THEN greatest({_level(_list(["option"]), ["select"])},
-            {_level(_list(["optgroup"]), ["select"])})
-        WHEN {_is_in(tag, ["td", "th"])} THEN {_level(_list(["td", "th"]), TABLE_SCOPE + ["tr"])}
-        WHEN {tag} = 'tr' THEN {_level(_list(["tr"]), TABLE_SCOPE + TABLE_SECTIONS)}
-        WHEN {_is_in(tag, TABLE_SECTIONS)} THEN {_level(_list(TABLE_SECTIONS), TABLE_SCOPE)}
-        ELSE 0 END"""
-    return _let("opened", "s.open.tag", by_tag)
+    tag, is_close = f"{event}.tag", f"{event}.kind = 'close'"
+    targets = f"""CASE
+        WHEN {is_close} OR {tag} IN ('li', 'a', 'tr') THEN array({tag})
+        WHEN {_is_in(tag, ["dd", "dt"])} THEN {_list(["dd", "dt"])}
+        WHEN {_is_in(tag, ["td", "th"])} THEN {_list(["td", "th"])}
+        WHEN {_is_in(tag, TABLE_SECTIONS)} THEN {_list(TABLE_SECTIONS)}
+        WHEN {tag} = 'optgroup' AND array_contains(opened, {tag}) THEN array({tag})
+        WHEN {_is_in(tag, ["option", "optgroup"])} THEN array('option') END"""
+    barrier = f"""CASE
+        WHEN {event}.inline THEN NULL
+        WHEN {is_close} AND {tag} = 'li' THEN {_list(SCOPE + ["ol", "ul"])}
+        WHEN {is_close} AND NOT {_is_in(tag, TABLE_TAGS)} THEN {_list(SCOPE)}
+        WHEN {_is_in(tag, ["li", "dd", "dt"])} THEN {_list(LIST_SCOPE)}
+        WHEN {tag} = 'option' THEN {_list(["select", "optgroup"])}
+        WHEN {tag} = 'optgroup' THEN {_list(["select"])}
+        WHEN {is_close} THEN {_list(TABLE_SCOPE)}
+        WHEN {_is_in(tag, ["td", "th"])} THEN {_list(TABLE_SCOPE + ["tr"])}
+        WHEN {tag} = 'tr' THEN {_list(TABLE_SCOPE + TABLE_SECTIONS)}
+        ELSE {_list(TABLE_SCOPE)} END"""
+    by_rule = _let("targets", targets, _let("barrier", barrier, f"""if(targets IS NULL, 0,
+        {_level('targets', 'barrier')})"""))
+    open_p = f"""if({is_close} OR NOT {_is_in(tag, P_CLOSERS)} OR NOT array_contains(opened, 'p'), 0,
+        {_level("array('p')", _list(SCOPE + ["button"]))})"""
+    return _let("opened", "s.open.tag", f"""CASE
+        WHEN {is_close} AND get(opened, 0) = {tag} THEN 1
+        WHEN {is_close} AND NOT array_contains(opened, {tag}) THEN 0
+        ELSE greatest({by_rule}, {open_p}) END""")
 
 
 def _tag_events(toks: str, names: str) -> str:
@@ -282,21 +287,22 @@ def _elements(toks: str, names: str, chunk: int = 256) -> str:
 
 # --- Content root and blocks --------------------------------------------------------------------
 
-def _selector(selector: str, toks: str, names: str) -> str:
-    token, key = f"{toks}[e.pos]", selector[1:]
-    if selector.startswith("."):
-        classes = f"split({_collapsed(_attribute(token, 'class', names))}, ' ')"
-        return f"(contains({token}, '{key}') AND coalesce(array_contains({classes}, '{key}'), false))"
-    if selector.startswith("#"):
-        return f"(contains({token}, '{key}') AND coalesce({_attribute(token, 'id', names)} = '{key}', false))"
-    return f"e.tag = '{selector}'"
-
-
 def _content_root(elems: str, toks: str, names: str) -> str:
     """First element in document order of the best selector; then body; null for the document."""
-    tests = [_selector(s, toks, names) for s in CONTENT_SELECTORS] + ["e.tag = 'body'"]
-    firsts = ", ".join(f"get(filter({elems}, e -> {test}), 0)" for test in tests)
-    return f"coalesce({firsts})"
+    keys = sorted({s[1:] for s in CONTENT_SELECTORS if s[0] in ".#"})
+    marked = f"""filter({elems}, e -> {toks}[e.pos] RLIKE '{"|".join(keys)}')"""
+    described = f"""transform({marked}, e -> named_struct('element', e,
+        'marks', {_attributes(f'{toks}[e.pos]', ["class", "id"], names)}))"""
+
+    def first(selector: str) -> str:
+        key = selector[1:]
+        if selector.startswith("."):
+            return f"get(filter(marked, m -> array_contains(split({_collapsed('m.marks[0]')}, ' '), '{key}')), 0).element"
+        if selector.startswith("#"):
+            return f"get(filter(marked, m -> m.marks[1] = '{key}'), 0).element"
+        return f"get(filter({elems}, e -> e.tag = '{selector}'), 0)"
+
+    return _let("marked", described, f"coalesce({', '.join(first(s) for s in [*CONTENT_SELECTORS, 'body'])})")
 
 
 def _covered(spans: str, position: str) -> str:
@@ -337,14 +343,19 @@ def _is_leaf(element: str, root: str, elems: str, prune_skipped: bool) -> str:
     return f"({leaf} AND NOT {_covered(skipped, f'{element}.pos')})"
 
 
+def _described(elements: str, toks: str, names: str, more: str) -> str:
+    """Add the class list and the id to structs that have a position and a tag."""
+    marks = _attributes(f"{toks}[b.pos]", ["class", "id"], names)
+    return f"""transform({elements}, b -> {_let('marks', marks, f"""named_struct({more}'tag', b.tag,
+        'classes', coalesce({_collapsed('marks[0]')}, ''), 'id', coalesce(marks[1], ''))""")})"""
+
+
 def _blocks(elems: str, toks: str, names: str, min_length: int, prune_skipped: bool) -> str:
     leaves = f"filter({elems}, e -> {_is_leaf('e', 'root', elems, prune_skipped)})"
     made = f"""transform({leaves}, e -> named_struct(
         'text', {_element_text('e', 'texts', toks, names)}, 'tag', e.tag, 'pos', e.pos))"""
     long_enough = f"filter({made}, b -> char_length(b.text) >= {int(min_length)})"
-    described = f"""transform({long_enough}, b -> named_struct('text', b.text, 'tag', b.tag,
-        'classes', coalesce({_collapsed(_attribute(f'{toks}[b.pos]', 'class', names))}, ''),
-        'id', coalesce({_attribute(f'{toks}[b.pos]', 'id', names)}, '')))"""
+    described = _described(long_enough, toks, names, "'text', b.text, ")
     return _let("root", _content_root(elems, toks, names),
                 _let("texts", _visible_texts(elems, toks), described))
 
@@ -381,9 +392,9 @@ def elements(html: str) -> Column:
     return _with_tree(html, "elems")
 
 
-def element_tokens(html: str) -> Column:
-    """The elements together with their start-tag token."""
-    return _with_tree(html, "transform(elems, e -> named_struct('element', e, 'token', toks[e.pos]))")
+def element_attributes(html: str) -> Column:
+    """Array of ``(pos, tag, classes, id)`` for every element."""
+    return _with_tree(html, _described("elems", "toks", "names", "'pos', b.pos, "))
 
 
 def content_root(html: str) -> Column:

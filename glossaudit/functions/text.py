@@ -98,3 +98,17 @@ def trigrams(text: Column) -> Column:
     words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
     padded = F.concat(F.lit(" "), words, F.lit(" "))
     return F.regexp_extract_all(padded, F.lit("(?=(.[^ ].))"), F.lit(1))
+
+
+def decode_xml_entities(text: Column) -> Column:
+    """Resolve the character references every XML document may use."""
+    pieces = F.regexp_extract_all(text, F.lit("(&#[xX]?[0-9a-fA-F]+;|&[a-z]+;|[^&]+|&)"), F.lit(1))
+    named = F.create_map(*[F.lit(x) for x in ("&lt;", "<", "&gt;", ">", "&quot;", '"', "&apos;", "'", "&amp;", "&")])
+
+    def piece(p: Column) -> Column:
+        digits = F.regexp_extract(p, "([0-9a-fA-F]+);$", 1)
+        code = F.when(p.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))
+        character = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.when(F.startswith(p, F.lit("&#")), character).otherwise(F.coalesce(F.try_element_at(named, p), p))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, piece), "")).otherwise(text)

@@ -58,3 +58,8 @@ def text_blocks(pages: DataFrame, params: AuditParams = AuditParams()) -> DataFr
                 F.posexplode("parsed.blocks").alias("idx", "block"))
         .select(*kept, "declared_lang", "idx", "block.*")
     )
+
+
+def element_attributes(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, tag, classes, id): class list and id of every element, empty if absent."""
+    return pages.select("page_id", F.inline(html.element_attributes("html")))

@@ -58,7 +58,7 @@ def wu1_page_mismatch(declared: DataFrame, dominant: DataFrame, page: str = "pag
         declared.join(dominant, page)
         .where(wu1_differs(F.col("declared_lang"), F.col("dominant_lang")))
         .select(
-            page, F.lit(-1).cast("long").alias("seq"), "url", "declared_lang",
+            page, F.lit(0).cast("long").alias("seq"), "url", "declared_lang",
             F.col("dominant_lang").alias("detected_lang"),
             F.lit("WU1").alias("issue_type"), F.lit("").alias("snippet"), F.lit("html").alias("element"),
             page_fix(F.col("declared_lang"), F.col("dominant_lang")).alias("suggested_fix"))
@@ -76,7 +76,7 @@ def wu2_part_mismatch(
         sure.join(dominant, page)
         .where(F.col("lang") != F.col("dominant_lang"))
         .select(
-            page, F.col(order).cast("long").alias("seq"), "url", F.col("dominant_lang").alias("declared_lang"),
+            page, (F.col(order) + 1).cast("long").alias("seq"), "url", F.col("dominant_lang").alias("declared_lang"),
             F.col("lang").alias("detected_lang"), F.lit("WU2").alias("issue_type"), "snippet", "element",
             part_fix(F.col("lang")).alias("suggested_fix"))
     )
@@ -100,7 +100,7 @@ def findings_by_window(sure: DataFrame, page: str = "page_id", order: str = "idx
 
     All blocks of such a page came out of one row, so a window over them is bounded by that row.
     One shuffle on the page serves both windows, and nothing is joined: ``sure`` also carries url
-    and declared_lang. ``seq`` gives the order in the page, the page finding first.
+    and declared_lang. ``seq`` gives the order in the page: 0 for WU1, block number + 1 for WU2.
     """
     per_lang = Window.partitionBy(page, "lang")
     best_first = Window.partitionBy(page).orderBy(F.desc("n"), "first_seen", order)
@@ -112,11 +112,11 @@ def findings_by_window(sure: DataFrame, page: str = "page_id", order: str = "idx
     )
     declared, dominant, lang = F.col("declared_lang"), F.col("dominant_lang"), F.col("lang")
     page_issue = F.struct(
-        F.lit(-1).cast("long").alias("seq"), declared.alias("declared_lang"), dominant.alias("detected_lang"),
+        F.lit(0).cast("long").alias("seq"), declared.alias("declared_lang"), dominant.alias("detected_lang"),
         F.lit("WU1").alias("issue_type"), F.lit("").alias("snippet"), F.lit("html").alias("element"),
         page_fix(declared, dominant).alias("suggested_fix"))
     part_issue = F.struct(
-        F.col(order).cast("long").alias("seq"), dominant.alias("declared_lang"), lang.alias("detected_lang"),
+        (F.col(order) + 1).cast("long").alias("seq"), dominant.alias("declared_lang"), lang.alias("detected_lang"),
         F.lit("WU2").alias("issue_type"), F.col("snippet").alias("snippet"), F.col("element").alias("element"),
         part_fix(lang).alias("suggested_fix"))
     issues = F.array_compact(F.array(

@@ -86,15 +86,19 @@ def audit_documents(
     return audit_texts(texts, declared, model, None, params)
 
 
+def line_blocks(documents: DataFrame) -> DataFrame:
+    """(page, idx, text, tag, classes, id): the lines of every document."""
+    return documents.select(
+        F.col("doc_id").cast("string").alias("page"), F.posexplode(F.split("text", "\n")).alias("idx", "text"),
+        F.lit("line").alias("tag"), F.lit("").alias("classes"), F.lit("").alias("id"))
+
+
 def audit_lines(
     documents: DataFrame, model: LanguageModel, params: AuditParams = AuditParams(),
 ) -> DataFrame:
     """Lines as blocks of their document; the document's label is what it declares."""
-    texts = documents.select(
-        F.col("doc_id").cast("string").alias("page"), F.posexplode(F.split("text", "\n")).alias("idx", "text"),
-        F.lit("line").alias("tag"), F.lit("").alias("classes"), F.lit("").alias("id"))
     declared = documents.select(F.col("doc_id").cast("string").alias("page"), F.col("lang").alias("declared_lang"))
-    return audit_texts(texts, declared, model, None, params)
+    return audit_texts(line_blocks(documents), declared, model, None, params)
 
 
 def audit_conversations(

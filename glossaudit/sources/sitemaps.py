@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaudit.fixed_values import MAX_SITEMAP_DEPTH, SITEMAP_NAMESPACE
-from glossaudit.functions.text import strip
+from glossaudit.functions.text import decode_xml_entities, strip
 from glossaudit.operators.slicing import with_position
 
-# Spark's XPath keeps prefixes apart from names, so the namespace is tested on the in-scope
-# declarations: the default one for plain names, a prefixed one for prefixed names.
-LOC_XPATH = (
-    f"//*[(name() = 'loc' and namespace::*[name() = '' or name() = 'xmlns'] = '{SITEMAP_NAMESPACE}')"
-    f" or name() = concat(name(namespace::*[. = '{SITEMAP_NAMESPACE}' and name() != '' and name() != 'xmlns'][1]),"
-    " ':loc')]/text()"
-)
+ANY_NAMESPACE = "[\"'][^\"']*[\"']"
+OUR_NAMESPACE = f"[\"']{SITEMAP_NAMESPACE}[\"']"
+COMMENT_RE = "(?s)<!--.*?-->"
+ROOT_TAG_RE = r"(?s)^.*?(<[A-Za-z_][^>]*>)"
+BINDING_RE = rf"xmlns(?::([\w.-]+))?\s*=\s*{OUR_NAMESPACE}"
+# An element that changes the default namespace to another one, with all it holds.
+FOREIGN_RE = rf"(?s)<([\w:.-]+)(?=\s[^>]*xmlns\s*=\s*(?!{OUR_NAMESPACE}){ANY_NAMESPACE})[^>]*(?<!/)>.*?</\1\s*>"
+CDATA_RE = r"(?s)<!\[CDATA\[(.*?)\]\]>"
 
 
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
@@ -33,11 +34,32 @@ def parse_sitemaps(sitemaps: DataFrame, on_malformed: str = "fail") -> DataFrame
     if on_malformed == "skip":
         broken = F.from_xml(F.col("xml"), "_corrupt_record string")["_corrupt_record"]
         sitemaps = sitemaps.where(broken.isNull())
-    locs = F.transform(F.xpath("xml", F.lit(LOC_XPATH)), strip)
-    return sitemaps.select(
-        "sitemap_url",
-        F.xpath_string("xml", F.lit("local-name(/*)")).alias("kind"),
-        F.filter(locs, lambda loc: loc != "").alias("locs"))
+    # The XPath functions know prefixes but no namespaces: they check the document and name its
+    # root; the element names bound to the sitemap namespace are read from the declarations.
+    clean = F.regexp_replace("xml", COMMENT_RE, "")
+    root_tag = F.regexp_extract("clean", ROOT_TAG_RE, 1)
+    bound = F.regexp_extract_all("clean", F.lit(BINDING_RE), F.lit(1))
+    default_is_ours = F.col("root_tag").rlike(rf"\sxmlns\s*=\s*{OUR_NAMESPACE}")
+    names = F.array_union(
+        F.when(default_is_ours, F.array(F.lit("loc"))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.filter("bound", lambda p: p != ""), lambda p: F.concat(p, F.lit(":loc"))))
+    body = F.regexp_replace(F.replace("clean", "root_tag", F.lit("")), FOREIGN_RE, "")
+    pattern = F.concat(F.lit("(?s)<("), F.array_join("names", "|"), F.lit(r")(?:\s[^>]*)?>(.*?)</\1\s*>"))
+    found = F.when(F.size("names") > 0, F.regexp_extract_all("body", pattern, F.lit(2)))
+    return (
+        sitemaps.select("sitemap_url", F.xpath_string("xml", F.lit("local-name(/*)")).alias("kind"), clean.alias("clean"))
+        .select("sitemap_url", "kind", "clean", root_tag.alias("root_tag"), bound.alias("bound"))
+        .select("sitemap_url", "kind", body.alias("body"), names.alias("names"))
+        .select("sitemap_url", "kind", F.coalesce(found, F.array().cast("array<string>")).alias("found"))
+        .select("sitemap_url", "kind", F.filter(
+            F.transform("found", _location), lambda loc: loc != "").alias("locs"))
+    )
+
+
+def _location(content: Column) -> Column:
+    """Text of a location: CDATA taken as it is, references resolved elsewhere."""
+    plain = decode_xml_entities(F.regexp_extract(content, "^[^<]*", 0))
+    return strip(F.when(F.contains(content, F.lit("<![CDATA[")), F.regexp_replace(content, CDATA_RE, "$1")).otherwise(plain))
 
 
 def sitemap_entries(documents: DataFrame) -> DataFrame:
