@@ -27,7 +27,7 @@ from glossaudit.streaming import incremental  # noqa: E402
 ENTRY_DIR = "/root/testdata/sf0.001"
 ARGUMENTS = {
     "offset": 60, "limit": 120, "batch_size": 40, "sitemap_url": "https://maps.example.org/index-0.xml",
-    "scan_time": "2024-05-06T07:08:09", "search": "license",
+    "scan_time": "2024-05-06T07:08:09", "search": 'change <html lang="en"',
 }
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaudit.functions.text import clean_label, flatten_newlines, normalize_text, trigrams
+from glossaudit.functions.text import NO_GRAM, clean_label, explode_trigrams, flatten_newlines, normalize_text
 from glossaudit.storage import small_enough, staged
 
 SCALE = 1_000_000  # log-probabilities are kept as whole millionths: sums do not depend on order
@@ -49,7 +49,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Langua
         raise ValueError(f"more than {MAX_LANGUAGES} labels: is {lang!r} really a language column?")
     languages = tuple(row.lang for row in found)
 
-    grams = known.select("lang", F.explode(trigrams(F.col("text"))).alias("gram"))
+    grams = explode_trigrams(known, "text", "lang").where(F.col("gram") != NO_GRAM)
     per_language = [F.count(F.when(F.col("lang") == code, 1)) for code in languages]
     counts = staged(
         grams.groupBy("gram").agg(*[c.alias(f"n{i}") for i, c in enumerate(per_language)]), "gram-counts")
@@ -81,8 +81,8 @@ def detect_language(
     in one partition, which makes the partial sums complete: one short row per text is shuffled.
     """
     keys = [c for c in texts.columns if c != text]
-    grams = texts.select(
-        *keys, F.explode_outer(trigrams(flatten_newlines(normalize_text(F.col(text))))).alias("gram"))
+    normal = texts.withColumn(text, flatten_newlines(normalize_text(F.col(text))))
+    grams = explode_trigrams(normal, text, *keys)
     if model.broadcastable:
         hits = grams.withColumn("n", F.lit(1)).join(F.broadcast(model.grams), "gram", "left")
     else:
