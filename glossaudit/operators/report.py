@@ -70,12 +70,14 @@ def write_json(issues: DataFrame, output: str, stamp: str) -> str:
 
 
 def read_report(spark, path: str) -> DataFrame:
+    """A saved CSV report; empty cells are empty strings."""
     schema = T.StructType([
         T.StructField(c, T.LongType() if c in ("total_urls", "flagged_urls") else T.StringType())
         for c in REPORT_COLUMNS
     ])
     return spark.read.schema(schema).csv(
-        path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False).fillna("")
 
 
 def search_report(report: DataFrame, words: str = "", sort_by: str | None = None, descending: bool = False) -> DataFrame:

@@ -52,8 +52,10 @@ def text_detections(
     params: AuditParams = AuditParams(),
 ) -> DataFrame:
     """Detections for text blocks that do not come from HTML: (page, idx, text, tag, classes, id)."""
-    blocks = texts.withColumn("text", collapse_whitespace(F.col("text"))).where(
-        F.char_length("text") >= params.min_length)
+    # Filtering inside the array evaluates the text once, and leaves the work behind the spread scan.
+    collapsed = F.array(collapse_whitespace(F.col("text")))
+    long_enough = F.filter(collapsed, lambda text: F.char_length(text) >= params.min_length)
+    blocks = texts.select(*[c for c in texts.columns if c != "text"], F.explode(long_enough).alias("text"))
     if phrases is not None:
         blocks = drop_ignored(blocks, phrases)
     return detect_language(described(blocks, "page", "idx"), model)

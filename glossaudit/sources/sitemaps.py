@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossaudit.fixed_values import MAX_SITEMAP_DEPTH, SITEMAP_NAMESPACE
 from glossaudit.functions.text import decode_xml_entities, strip
 from glossaudit.operators.slicing import with_position
+from glossaudit.storage import staged
 
 ANY_NAMESPACE = "[\"'][^\"']*[\"']"
 OUR_NAMESPACE = f"[\"']{SITEMAP_NAMESPACE}[\"']"
@@ -67,34 +68,42 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
     return documents.select("sitemap_url", "kind", F.posexplode("locs").alias("ord", "loc"))
 
 
+class SitemapError(RuntimeError):
+    """A sitemap tree that cannot be resolved."""
+
+
 def resolve_urls(documents: DataFrame, root: str, on_missing: str = "fail") -> DataFrame:
     """(path, url): page URLs below ``root``, nested indexes followed; sort by ``path``.
 
     ``path`` lists the entry number at every level, so its order is the depth-first document
-    order. A level is one join of index entries with the parsed sitemaps; there are at most five,
-    and deeper nesting (or a cycle) raises. A child that was not landed raises too, or is dropped
-    with ``on_missing='skip'``.
+    order. A level is one join of index entries with the parsed sitemaps, written before the next
+    one; there are at most five, and deeper nesting (or a cycle) raises. So does a child that was
+    not landed, unless ``on_missing='skip'``.
     """
     is_index = F.col("kind") == "sitemapindex"
+    columns = ["path", "kind", "locs"]
 
     def entries(level: DataFrame, name: str) -> DataFrame:
         opened = level.select("path", F.posexplode("locs").alias("ord", name))
         return opened.select(F.concat("path", F.array("ord")).alias("path"), name)
 
-    level = documents.where(F.col("sitemap_url") == root).withColumn("path", F.array().cast("array<int>"))
+    level = documents.where(F.col("sitemap_url") == root).withColumn("path", F.array().cast("array<int>")).select(*columns)
     pages = entries(level.where(~is_index), "url")
-    children = entries(level.where(is_index), "child")
-    for _ in range(MAX_SITEMAP_DEPTH):
-        level = children.join(documents, children["child"] == documents["sitemap_url"],
-                              "inner" if on_missing == "skip" else "left")
-        if on_missing != "skip":
-            missing = F.raise_error(F.concat(F.lit("sitemap was not landed: "), F.col("child"))).cast("string")
-            level = level.withColumn("kind", F.when(F.col("sitemap_url").isNull(), missing).otherwise(F.col("kind")))
+    for depth in range(MAX_SITEMAP_DEPTH + 1):
+        children = staged(entries(level.where(is_index), "child"), "index-entries")
+        if children.isEmpty():
+            return pages
+        if depth == MAX_SITEMAP_DEPTH:
+            break
+        found = children.join(documents, children["child"] == documents["sitemap_url"], "left")
+        level = staged(found.select(*columns, "child", F.col("sitemap_url").isNull().alias("missing")), "index-level")
+        missing = level.where("missing").select("child").head(1)
+        if missing and on_missing != "skip":
+            raise SitemapError(f"sitemap was not landed: {missing[0].child}")
+        level = level.where("NOT missing")
         pages = pages.unionByName(entries(level.where(~is_index), "url"))
-        children = entries(level.where(is_index), "child")
-    too_deep = F.raise_error(F.concat(
-        F.lit(f"sitemap index nesting exceeded {MAX_SITEMAP_DEPTH} levels at "), F.col("child"))).cast("string")
-    return pages.unionByName(children.select("path", too_deep.alias("url")))
+    raise SitemapError(
+        f"sitemap index nesting exceeded {MAX_SITEMAP_DEPTH} levels at {children.head(1)[0].child}")
 
 
 def url_list(documents: DataFrame, root: str, on_missing: str = "fail") -> DataFrame:
