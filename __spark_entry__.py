@@ -36,10 +36,21 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.table(spark, sf, "documents")
 
 
-def _model(spark: SparkSession, sf: str) -> langid.LanguageModel:
+_MODELS: dict[tuple[str, str], langid.LanguageModel] = {}
+
+
+def _trained(spark: SparkSession, sf: str) -> langid.LanguageModel:
     return langid.train(page_source.spread(_documents(spark, sf)))
 
 
+def _model(spark: SparkSession, sf: str) -> langid.LanguageModel:
+    """The model of a data folder: trained and written once per application, then shared."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = _trained(spark, sf)
+    return _MODELS[key]
+
+
 def _plain(spark: SparkSession, sf: str) -> DataFrame:
     return page_source.audit_input(inputs.pages(spark, sf))
 
@@ -127,7 +138,7 @@ def issues_json(spark: SparkSession, sf: str) -> DataFrame:
 # --- Detection -------------------------------------------------------------------------------------
 
 def lang_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _model(spark, sf).as_table()
+    return _trained(spark, sf).as_table()
 
 
 def detect_language(spark: SparkSession, sf: str) -> DataFrame:

@@ -195,7 +195,7 @@ def _level(targets: str, barrier: str) -> str:
 def _levels_closed(event: str) -> str:
     """How many open elements a tag closes: up to its own start tag, or those whose end tag may be
     left out before it."""
-    tag, is_close = f"{event}.tag", f"{event}.kind = 'close'"
+    tag, is_close = f"{event}.tag", f"{event}.closes"
     targets = f"""CASE
         WHEN {is_close} OR {tag} IN ('li', 'a', 'tr') THEN array({tag})
         WHEN {_is_in(tag, ["dd", "dt"])} THEN {_list(["dd", "dt"])}
@@ -226,12 +226,13 @@ def _levels_closed(event: str) -> str:
 
 def _tag_events(toks: str, names: str) -> str:
     """The tags among the tokens, with what the tree walk needs to know about them."""
-    event = f"""named_struct('pos', i, 'kind', kind, 'tag', tag,
+    event = f"""named_struct('pos', i, 'tag', tag, 'closes', kind = 'close', 'holds', kind = 'open',
         'has_lang', kind <> 'close' AND tag <> 'html' AND {_declared('t', names)} IS NOT NULL,
         'inline', {_is_in('tag', INLINE_TAGS)})"""
-    tagged = _let("tag", _tag_name("t"), _let("kind", _kind("t", "tag"), event))
-    return f"""filter(transform({toks}, (t, i) -> if({_is_markup('t')}, {tagged}, NULL)),
-        e -> e.kind IN ('open', 'close', 'void', 'raw'))"""
+    known = f"if(kind IN ('open', 'close', 'void', 'raw'), {event}, NULL)"
+    tagged = _let("tag", _tag_name("t"), _let("kind", _kind("t", "tag"), known))
+    found = f"transform({toks}, (t, i) -> if({_is_markup('t')}, {tagged}, NULL))"
+    return f"filter({found}, e -> e IS NOT NULL)"
 
 
 def _copied(element: str, *extra: str, **changed: str) -> str:
@@ -246,24 +247,28 @@ def _closed(elements: str, end_pos: str) -> str:
 
 
 def _step() -> str:
-    """One tag ``ev``: close what it ends, then open it, or emit it at once if it holds nothing."""
-    element = """array(named_struct('tag', ev.tag, 'pos', ev.pos, 'parent_pos', kept[0].pos,
-        'depth', size(kept) + 1, 'scoped', ev.has_lang OR coalesce(kept[0].scoped, false),
-        'block_child', false))""".replace("kept[0]", "get(kept, 0)")
-    marked = f"""if(ev.inline OR size(kept) = 0 OR get(kept, 0).block_child, kept,
-        concat(array({_copied('get(kept, 0)', block_child='true')}), slice(kept, 2, size(kept))))"""
-    opened = f"""if(ev.kind = 'open',
-        named_struct('open', concat({element}, {marked}), 'done', concat(s.done, ended)),
-        named_struct('open', {marked}, 'done', concat(s.done, ended, {_closed(element, 'ev.pos')})))"""
-    after_cut = _let("kept", "if(cut = 0, s.open, slice(s.open, cut + 1, size(s.open)))", _let(
-        "ended", _closed("slice(s.open, 1, cut)", "ev.pos"),
-        f"if(ev.kind = 'close', named_struct('open', kept, 'done', concat(s.done, ended)), {opened})"))
-    repeated = f"(ev.kind <> 'close' AND {_is_in('ev.tag', SINGLETONS)} AND array_contains(s.open.tag, ev.tag))"
-    idle = "(ev.kind = 'close' AND cut = 0)"
-    return f"if({repeated}, s, {_let('cut', _levels_closed('ev'), f'if({idle}, s, {after_cut})')})"
-
-
-def _elements(toks: str, names: str, chunk: int = 256) -> str:
+    """One tag ``ev``: close what it ends, then open it, or emit it at once if it holds nothing.
+
+    The usual cases build their structs directly, because ``transform`` copies them deeply.
+    """
+    end_pos = "'end_pos', ev.pos"
+    innermost = f"array({_copied('get(s.open, 0)', end_pos)})"
+    ended = f"if(cut = 1, {innermost}, {_closed('slice(s.open, 1, cut)', 'ev.pos')})"
+    done = f"if(cut = 0, s.done, concat(s.done, {ended}))"
+    fields = """'tag', ev.tag, 'pos', ev.pos, 'parent_pos', top.pos, 'depth', size(kept) + 1,
+        'scoped', ev.has_lang OR coalesce(top.scoped, false), 'block_child', false"""
+    marked = f"""if(ev.inline OR top IS NULL OR top.block_child, kept,
+        concat(array({_copied('top', block_child='true')}), slice(kept, 2, size(kept))))"""
+    opened = _let("top", "get(kept, 0)", f"""if(ev.holds,
+        named_struct('open', concat(array(named_struct({fields})), {marked}), 'done', {done}),
+        named_struct('open', {marked}, 'done', concat({done}, array(named_struct({fields}, {end_pos})))))""")
+    after_cut = _let("kept", "if(cut = 0, s.open, slice(s.open, cut + 1, size(s.open)))",
+                     f"if(ev.closes, named_struct('open', kept, 'done', {done}), {opened})")
+    repeated = f"(NOT ev.closes AND {_is_in('ev.tag', SINGLETONS)} AND array_contains(s.open.tag, ev.tag))"
+    return f"if({repeated}, s, {_let('cut', _levels_closed('ev'), f'if(ev.closes AND cut = 0, s, {after_cut})')})"
+
+
+def _elements(toks: str, names: str, chunk: int = 64) -> str:
     """Tokens -> array of elements in document order.
 
     A fold over the tags keeps the open elements, innermost first. Finished elements are gathered
