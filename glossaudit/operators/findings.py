@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glossaudit.fixed_values import DEFAULT_CONFIDENCE
 from glossaudit.functions.text import ignore_key, page_fix, part_fix
-from glossaudit.storage import broadcast_if_small
+from glossaudit.storage import broadcast_if_small, staged
 
 ISSUE_COLUMNS = [
     "url", "declared_lang", "detected_lang", "issue_type", "snippet", "element", "suggested_fix",
@@ -90,7 +90,7 @@ def findings_by_join(
     ``sure`` is read three times and should be a staged table. The dominant languages are few
     against the blocks; they are broadcast only after counting, otherwise AQE splits hot pages.
     """
-    dominant = broadcast_if_small(dominant_language(sure, page, order), 128)
+    dominant = broadcast_if_small(staged(dominant_language(sure, page, order), "dominant"), 128)
     return wu1_page_mismatch(declared, dominant, page).unionByName(
         wu2_part_mismatch(sure, dominant, page, order))
 

@@ -30,17 +30,19 @@ def pending_batches(pages: DataFrame, output: str) -> DataFrame:
 
 def run_batches(
     pages: DataFrame, model: LanguageModel, output: str, phrases: DataFrame | None = None,
-    params: AuditParams = AuditParams(), batches_per_commit: int = 0, position: str = "page_id",
+    params: AuditParams = AuditParams(), batches_per_commit: int = 0,
 ) -> int:
     """Audit the batches that are not done yet; returns how many were audited.
 
+    ``page_id`` is the position of a page in the URL list (see ``slicing.with_position``).
     Findings go to ``output/findings/batch_id=N`` and completion marks to ``output/done``. A commit
     covers ``batches_per_commit`` consecutive batches (0: all of them); the first failing commit
     stops the run, and the next run starts from there. Writing a batch again replaces its
     partition, so a crash between findings and mark leaves no duplicates.
     """
     spark = pages.sparkSession
-    sliced = with_batch(url_slice(pages, params.offset, params.limit, position), params.batch_size, position)
+    chosen = url_slice(pages, params.offset, params.limit, "page_id")
+    sliced = with_batch(chosen, params.batch_size, "page_id")
     todo = pending_batches(sliced, output).agg(
         F.min("batch_id").alias("first"), F.max("batch_id").alias("last"), F.count("*").alias("n")).first()
     if not todo["n"]:

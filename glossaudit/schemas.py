@@ -18,7 +18,7 @@ IGNORE_PHRASES = T.StructType([T.StructField("phrase", T.StringType())])
 
 ISSUES = T.StructType([
     T.StructField("page_id", T.LongType()),
-    T.StructField("seq", T.IntegerType()),
+    T.StructField("seq", T.LongType()),
     T.StructField("url", T.StringType()),
     T.StructField("declared_lang", T.StringType()),
     T.StructField("detected_lang", T.StringType()),
