@@ -52,10 +52,13 @@ def text_blocks(pages: DataFrame, params: AuditParams = AuditParams()) -> DataFr
     """
     kept = [c for c in pages.columns if c not in ("html", "status")]
     parsed = html.parsed_page("html", params.min_length, params.prune_skipped)
+    # Two columns before the explode, so that an exploded row does not carry all blocks of its page;
+    # the outer form, because Spark would test the blocks of an inner one by parsing once more.
     return (
         pages.select(*kept, parsed.alias("parsed"))
-        .select(*kept, F.col("parsed.declared_lang").alias("declared_lang"),
-                F.posexplode("parsed.blocks").alias("idx", "block"))
+        .select(*kept, F.col("parsed.declared_lang").alias("declared_lang"), F.col("parsed.blocks").alias("blocks"))
+        .select(*kept, "declared_lang", F.posexplode_outer("blocks").alias("idx", "block"))
+        .where("idx IS NOT NULL")
         .select(*kept, "declared_lang", "idx", "block.*")
     )
 
