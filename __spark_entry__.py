@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -24,6 +25,11 @@ from glossaudit.sources import sitemaps as sitemap_source  # noqa: E402
 from glossaudit.storage import stage_path, staged  # noqa: E402
 from glossaudit.streaming import incremental  # noqa: E402
 
+if importlib.util.find_spec("glossaudit.llm") and importlib.util.find_spec("corpus_pipeline"):
+    from glossaudit.llm import queries as llm  # noqa: E402
+else:  # the rest stands without this subpackage
+    llm = None
+
 ENTRY_DIR = "/root/testdata/sf0.001"
 ARGUMENTS = {
     "offset": 60, "limit": 120, "batch_size": 40, "sitemap_url": "https://maps.example.org/index-0.xml",
@@ -245,7 +251,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per operator; each reads whole tables."""
-    return {
+    found = {
         "usable_pages": usable_pages,
         "sitemap_entries": sitemap_entries,
         "resolved_urls": resolved_urls,
@@ -289,8 +295,9 @@ def queries() -> dict[str, Query]:
         "batched_audit": batched_audit,
         "incremental_audit": incremental_audit,
     }
+    return found | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results by DuckDB, one statement per query."""
-    return oracles.oracle_statements(ARGUMENTS)
+    return oracles.oracle_statements(ARGUMENTS) | (llm.oracle_sql() if llm else {})
