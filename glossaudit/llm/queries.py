@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glossaudit.llm.bpe import bpe_round_trip
+from glossaudit.llm.mixing import mix_sources
 from glossaudit.llm.ngram_join import ngram_join
+from glossaudit.llm.pii import detect_pii
+from glossaudit.llm.quality_rules import quality_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +19,24 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(documents(spark, sf_dir))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_pii(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op4_quality_rules, op5_byte_bpe, op6_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
