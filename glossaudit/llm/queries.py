@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from glossaudit.llm import quality_classifier, toxicity
 from glossaudit.llm.bpe import bpe_round_trip
+from glossaudit.llm.fingerprints import edited_fingerprints
+from glossaudit.llm.labelled import remainder
 from glossaudit.llm.mixing import mix_sources
 from glossaudit.llm.ngram_join import ngram_join
 from glossaudit.llm.pii import detect_pii
@@ -35,8 +39,31 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(documents(spark, sf_dir))
 
 
+def _judged(scores: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
+    held_out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train_toxicity(docs, labels, remainder(F.col("doc_id"), 3) != 1)
+    return _judged(toxicity.score_toxicity(docs, model), 3, 1, toxicity.THRESHOLD)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.train_quality(docs, labels, remainder(F.col("doc_id"), 5) != 0)
+    return _judged(quality_classifier.score_quality(docs, model), 5, 0, quality_classifier.THRESHOLD)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op4_quality_rules, op5_byte_bpe, op6_pii)}
+    return {f.__name__: f for f in (
+        op1_ngram_jaccard_join, op2_mix_sources, op4_quality_rules, op5_byte_bpe, op6_pii, op8_toxicity,
+        op9_quality_classifier, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

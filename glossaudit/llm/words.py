@@ -35,15 +35,15 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes the words of texts; made once for each task."""
+    """Hashes the words of texts; made once for each task. ``separators`` are the bytes between words."""
 
-    def __init__(self, lower: bool = True):
+    def __init__(self, lower: bool = True, separators: bytes = b" \t\n\x0b\x0c\r"):
         values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
         if lower:
             values[65:91] = values[97:123]
         self.values = values
         self.space = np.zeros(256, bool)
-        self.space[[32, 9, 10, 11, 12, 13]] = True
+        self.space[list(separators)] = True
         self.up, self.down = powers(BASE, BLOCK), powers(BASE_INVERSE, BLOCK)
 
     def blocks(self, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
