@@ -1,12 +1,14 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashes of its words, of pairs of neighbours, and of pairs with one word between.
-The sample of labelled texts is split over SHARDS tasks; each learns a model with a rate per coordinate and L1
-shrinkage, and the models are averaged. What is left of the weights is one small array that all tasks get.
+Features of a text are the distinct hashes of its words, of their stems (first bytes), of pairs of neighbours, and of
+pairs with one word between.
+The sample of labelled texts is split over tasks; each learns a model with a rate per coordinate and L1 shrinkage,
+and the models are averaged. What is left of the weights is one small array that all tasks get.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +22,11 @@ from glossaudit.llm.words import STEP, Hasher, mix, word_bounds
 
 BITS = 20
 SAMPLE = 24_576  # labelled texts to learn from at most
-SHARDS = 8
-PASSES = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.5
+ROWS_IN_SHARD = 6_144  # texts that one task learns from
+PASSES = 8
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.0
 THRESHOLD = 0.7
+STEMS = (4, 5, 6)
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
@@ -31,9 +34,14 @@ def features(hasher: Hasher, column) -> Iterator[tuple[np.ndarray, np.ndarray, i
     """(feature numbers, row of each, rows) for each block of texts; a text's features may repeat."""
     shift = np.uint64(64 - BITS)
     for row, end, data, offsets in hasher.blocks(column):
-        words, starts, _ = hasher.words(data, offsets)
+        words, starts, ends = hasher.words(data, offsets)
         rows = np.repeat(np.arange(end - row), np.diff(word_bounds(starts, offsets)))
         found, owners = [words >> shift], [rows]
+        for size in STEMS:
+            long = ends - starts > size
+            if long.any():
+                found.append((hasher.stems(starts[long], starts[long] + size) + np.uint64(size)) >> shift)
+                owners.append(rows[long])
         for gap in (1, 2):
             if len(words) > gap:
                 same = rows[gap:] == rows[:-gap]
@@ -80,11 +88,12 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, sampl
                          "weight": pa.array(np.append(weights[at], bias), pa.float64())})
 
     stages = Stages(documents.sparkSession, "toxicity")
+    shards = max(1, math.ceil(min(sample, labels.where(learn).count()) / ROWS_IN_SHARD))
     texts = labelled_sample(documents, labels, "toxic", learn, sample)
-    learnt = texts.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SHARDS))).groupBy("shard")
+    learnt = texts.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards))).groupBy("shard")
     learnt = stages.keep(learnt.applyInArrow(run, "feature long, weight double"), "weights")
-    shards = max(1, learnt.where("feature = -1").count())
-    found = learnt.groupBy("feature").agg((F.sum("weight") / shards).alias("weight")).toArrow()
+    models = max(1, learnt.where("feature = -1").count())
+    found = learnt.groupBy("feature").agg((F.sum("weight") / models).alias("weight")).toArrow()
     at, values = found.column("feature").to_numpy(), found.column("weight").to_numpy()
     weights = np.zeros(1 << BITS)
     weights[at[at >= 0]] = values[at >= 0]

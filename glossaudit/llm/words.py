@@ -76,8 +76,13 @@ class Hasher:
         up, down = (self.up, self.down) if n <= BLOCK else (powers(BASE, n), powers(BASE_INVERSE, n))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.values[data] * up[:n], out=sums[1:])
-        hashed = (sums[ends] - sums[starts]) * down[starts]
-        return mix(hashed + (ends - starts).astype(np.uint64)), starts, ends
+        self.sums, self.scale = sums, down
+        return self.stems(starts, ends), starts, ends
+
+    def stems(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from each start to its end, in the bytes that :meth:`words` read last."""
+        hashed = (self.sums[ends] - self.sums[starts]) * self.scale[starts]
+        return mix(hashed + (ends - starts).astype(np.uint64))
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
