@@ -13,6 +13,8 @@ from glossaudit.llm.mixing import mix_sources
 from glossaudit.llm.ngram_join import ngram_join
 from glossaudit.llm.pii import detect_pii
 from glossaudit.llm.quality_rules import quality_rules
+from glossaudit.llm.substring_dedup import repeated_spans
+from glossaudit.llm.url_filter import filter_urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir))
 
@@ -39,6 +45,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(documents(spark, sf_dir))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def _judged(scores: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
     held_out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -62,7 +72,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_mix_sources, op4_quality_rules, op5_byte_bpe, op6_pii, op8_toxicity,
+        op1_ngram_jaccard_join, op2_mix_sources, op3_substring_dedup, op4_quality_rules, op5_byte_bpe, op6_pii, op7_url_filter, op8_toxicity,
         op9_quality_classifier, op10_fingerprints)}
 
 
