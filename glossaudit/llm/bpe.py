@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
-STEPS_MOST = 400_000
-PIECES_MOST = 120_000
+STEPS_MOST = 700_000
+PIECES_MOST = 300_000
 FEW = 12
 PIECE_BYTES = 64  # longer pieces are not remembered
 BLOCK = 1 << 18

@@ -81,7 +81,7 @@ def _chunks(texts: DataFrame) -> DataFrame:
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """One row per passage found elsewhere too: doc_id, start, end (bytes of the UTF-8 text), n_chunks, original, kept.
 
-    ``original`` is the smallest doc_id that holds the span's first chunk; ``kept`` says that the span is itself the
+    ``original`` is the smallest doc_id that holds a chunk, for most of the span's chunks; ``kept`` says that the span is itself the
     first occurrence. Passages repeated within one text count as well. Reads doc_id and text, whatever else there is.
     Rows without an id are left out, as no place can be named in them; null and empty texts have no chunks. Rows that
     repeat an id count as copies of each other. An empty table gives no rows. Runs its steps when called.
@@ -101,6 +101,6 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     runs = copies.withColumn("run", F.sum(F.when(breaks, 1).otherwise(0)).over(by))
     spans = runs.groupBy("doc_id", "run", "kept").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"),
-        F.min_by("original", "start").alias("original"))
+        F.mode("original", deterministic=True).alias("original"))
     return spans.where(F.col("end") - F.col("start") >= SPAN_BYTES).select(
         "doc_id", "start", "end", "n_chunks", "original", "kept")
