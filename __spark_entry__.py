@@ -26,6 +26,7 @@ from glossaudit.storage import stage_path, staged  # noqa: E402
 from glossaudit.streaming import incremental  # noqa: E402
 
 if importlib.util.find_spec("glossaudit.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline  # noqa: E402
     from glossaudit.llm import queries as llm  # noqa: E402
 else:  # the rest stands without this subpackage
     llm = None
@@ -295,9 +296,12 @@ def queries() -> dict[str, Query]:
         "batched_audit": batched_audit,
         "incremental_audit": incremental_audit,
     }
-    return found | (llm.queries() if llm else {})
+    return found | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results by DuckDB, one statement per query."""
-    return oracles.oracle_statements(ARGUMENTS) | (llm.oracle_sql() if llm else {})
+    found = oracles.oracle_statements(ARGUMENTS)
+    if llm:
+        found |= llm.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return found
