@@ -5,7 +5,7 @@ import corpus_pipeline as pipeline
 from glossaudit.llm import mixing, pii, queries
 from glossaudit.llm.ngram_join import ngram_join
 from glossaudit.llm.quality_rules import quality_rules
-from tests.llm.test_bpe import library
+from test_bpe import library
 
 DATA = "/root/testdata/sf0.001"
 
