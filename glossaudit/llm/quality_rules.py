@@ -98,8 +98,9 @@ def text_statistics(documents: DataFrame, *carry: Column) -> DataFrame:
 
 def _vector(stats: DataFrame) -> DataFrame:
     chars, n = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    sure = F.sqrt(n / (n + 20))  # the mean of a few words says little
     values = {
-        "x_length": F.log(n + 0.0), "x_word": F.col("word_chars") / n,
+        "x_length": F.log(n + 0.0), "x_word": (F.col("word_chars") / n - 5) * sure,
         "x_symbol": F.sqrt(F.col("n_symbols") / chars), "x_upper": F.sqrt(F.col("n_upper") / chars),
         "x_punct": F.sqrt(F.col("n_punct") / chars)}
     return stats.withColumns({k: F.round(v * GRID) / GRID for k, v in values.items()})
