@@ -19,7 +19,8 @@ WS = r" \t\r\n\f"
 SQ, DQ = r"\x27", r"\x22"  # quotes, written so that a pattern fits into r'...'
 
 # Comments, raw-text elements, tags (a quoted value may hold ">"), other markup, text. The groups
-# are possessive, which makes Java match them in a loop: no recursion on tags with many attributes.
+# are possessive, which makes Java match them in a loop: no recursion on tags with many attributes. A
+# tag that nothing ends is one token up to the end of the page, so no page is scanned again for each "<".
 TOKEN_RE = (
     r"(?is)(<!--.*?(?:-->|\z)"
     rf"|<script\b.*?(?:</script[{WS}]*>|\z)"
@@ -27,10 +28,12 @@ TOKEN_RE = (
     rf"|</?[a-zA-Z](?:[^>=]++|=[{WS}]*{DQ}[^{DQ}]*{DQ}|=[{WS}]*{SQ}[^{SQ}]*{SQ}|=)*+>"
     r"|</?[a-zA-Z][^>]*>"
     r"|<[!?/][^>]*>"
+    r"|<[a-zA-Z!?/][^>]*+\z"
     r"|(?:[^<]++|<++[^a-zA-Z/!?<])++"
     r"|<)"
 )
-MARKUP_RE = r"^<(?:/?[a-zA-Z]|[!?/][^>]*>|!--)"
+# Markup that no ">" ends is text, but for comments, scripts and styles, which may run to the end.
+MARKUP_RE = r"(?is)^<(?:/?[a-zA-Z][^>]*>|[!?/][^>]*>|!--|script\b|style\b)"
 TAG_NAME_RE = rf"^</?([a-zA-Z][^{WS}/>]*)"
 HTML_TAG_RE = rf"(?i)^<html[{WS}/>]"
 ATTRIBUTE_RE = (

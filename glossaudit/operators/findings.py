@@ -95,35 +95,46 @@ def findings_by_join(
         wu2_part_mismatch(sure, dominant, page, order))
 
 
-def findings_by_window(sure: DataFrame, page: str = "page_id", order: str = "idx") -> DataFrame:
-    """The same findings in one pass, for pages that are single rows of HTML.
+def findings_in_pages(sure: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(page_id, row, seq, declared_lang, detected_lang, issue_type) of pages that are single rows of HTML.
 
-    All blocks of such a page came out of one row, so a window over them is bounded by that row.
-    One shuffle on the page serves both windows, and nothing is joined: ``sure`` also carries url
-    and declared_lang. ``seq`` gives the order in the page: 0 for WU1, block number + 1 for WU2.
+    ``sure``: page_id, idx, row, lang, ... numbers alone; ``declarations``: row, declared_lang. All blocks of such a
+    page came out of one row, so a window over them is bounded by that row. ``row`` names a block of the page (for WU1
+    its first one in the dominant language). ``seq`` gives the order: 0 for WU1, block number + 1 for WU2.
     """
-    per_lang = Window.partitionBy(page, "lang")
-    best_first = Window.partitionBy(page).orderBy(F.desc("n"), "first_seen", order)
+    per_lang = Window.partitionBy("page_id", "lang")
+    best_first = Window.partitionBy("page_id").orderBy(F.desc("n"), "first_seen", "idx")
     ranked = (
-        sure.repartition(page).withColumn("n", F.count("*").over(per_lang))
-        .withColumn("first_seen", F.min(order).over(per_lang))
+        sure.repartition("page_id").withColumn("n", F.count("*").over(per_lang))
+        .withColumn("first_seen", F.min("idx").over(per_lang))
         .withColumn("dominant_lang", F.first("lang").over(best_first))
         .withColumn("leads_page", F.row_number().over(best_first) == 1)
     )
+    told = ranked.where(F.col("leads_page") | (F.col("lang") != F.col("dominant_lang"))).join(declarations, "row")
     declared, dominant, lang = F.col("declared_lang"), F.col("dominant_lang"), F.col("lang")
-    page_issue = F.struct(
-        F.lit(0).cast("long").alias("seq"), declared.alias("declared_lang"), dominant.alias("detected_lang"),
-        F.lit("WU1").alias("issue_type"), F.lit("").alias("snippet"), F.lit("html").alias("element"),
-        page_fix(declared, dominant).alias("suggested_fix"))
-    part_issue = F.struct(
-        (F.col(order) + 1).cast("long").alias("seq"), dominant.alias("declared_lang"), lang.alias("detected_lang"),
-        F.lit("WU2").alias("issue_type"), F.col("snippet").alias("snippet"), F.col("element").alias("element"),
-        part_fix(lang).alias("suggested_fix"))
+
+    def issue(seq: Column, said: Column, found: Column, kind: str) -> Column:
+        return F.struct(seq.cast("long").alias("seq"), said.alias("declared_lang"), found.alias("detected_lang"),
+                        F.lit(kind).alias("issue_type"))
+
     issues = F.array_compact(F.array(
-        F.when(F.col("leads_page") & wu1_differs(declared, dominant), page_issue),
-        F.when(lang != dominant, part_issue)))
-    return ranked.where(F.col("leads_page") | (lang != dominant)).select(page, "url", F.explode(issues).alias("issue")).select(
-        page, "issue.seq", "url", *[f"issue.{c}" for c in ISSUE_COLUMNS if c != "url"])
+        F.when(F.col("leads_page") & wu1_differs(declared, dominant), issue(F.lit(0), declared, dominant, "WU1")),
+        F.when(lang != dominant, issue(F.col("idx") + 1, dominant, lang, "WU2"))))
+    return told.select("page_id", "row", F.explode(issues).alias("issue")).select("page_id", "row", "issue.*")
+
+
+def described_findings(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Findings with what they show: url, snippet and element of their block, and the suggested fix.
+
+    ``blocks``: row, url, snippet, element. Findings are few against the blocks.
+    """
+    whole = F.col("issue_type") == "WU1"
+    return found.join(blocks, "row").select(
+        "page_id", "seq", "url", "declared_lang", "detected_lang", "issue_type",
+        F.when(whole, F.lit("")).otherwise(F.col("snippet")).alias("snippet"),
+        F.when(whole, F.lit("html")).otherwise(F.col("element")).alias("element"),
+        F.when(whole, page_fix(F.col("declared_lang"), F.col("detected_lang"))).otherwise(
+            part_fix(F.col("detected_lang"))).alias("suggested_fix"))
 
 
 def scan_summary(urls: DataFrame, issues: DataFrame) -> DataFrame:

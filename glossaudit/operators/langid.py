@@ -13,7 +13,6 @@ from glossaudit.functions.text import NO_GRAM, clean_label, explode_trigrams, fl
 from glossaudit.storage import small_enough, staged
 
 SCALE = 1_000_000  # log-probabilities are kept as whole millionths: sums do not depend on order
-MAX_LANGUAGES = 1_000
 
 
 @dataclass(frozen=True)
@@ -35,18 +34,19 @@ class LanguageModel:
             "gram", "lang", "lp")
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most_languages: int = 1_000) -> LanguageModel:
     """Count trigrams per language and smooth them (Laplace) into fixed-point log-probabilities.
 
     One pass over the text: a counter per language and gram is summed before the only shuffle,
     which then moves at most one row per distinct gram and task, however skewed the text is. The
-    counts are written to the shared folder; only the totals (one row) come to the driver.
+    counts are written to the shared folder; only the totals (one row) come to the driver. A model has
+    one score per language, so a table with more than ``most_languages`` labels raises.
     """
     known = labelled.select(clean_label(F.col(lang)).alias("lang"), F.col(text).alias("text")).where(
         F.col("lang").isNotNull())
-    found = known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels: is {lang!r} really a language column?")
+    found = known.select("lang").distinct().orderBy("lang").limit(most_languages + 1).collect()
+    if len(found) > most_languages:
+        raise ValueError(f"more than {most_languages} labels: is {lang!r} really a language column?")
     languages = tuple(row.lang for row in found)
 
     grams = explode_trigrams(known, "text", "lang").where(F.col("gram") != NO_GRAM)
@@ -71,17 +71,15 @@ def _top(scores: list[Column], languages: tuple[str, ...], temperature: float) -
     return F.get(names, (F.array_position(array, best) - 1).cast("int")), F.lit(1.0) / reduce(operator.add, shares)
 
 
-def detect_language(
-    texts: DataFrame, model: LanguageModel, text: str = "text", temperature: float = 1.0,
-) -> DataFrame:
-    """Add ``lang`` and ``confidence`` to rows that are distinct without their text.
+def language_scores(texts: DataFrame, model: LanguageModel, *keys: str, text: str = "text",
+                    temperature: float = 1.0) -> DataFrame:
+    """(keys, lang, confidence): the language of each text, for keys that are unique and narrow.
 
-    All columns but ``text`` identify a row and are carried through the aggregation, so nothing is
-    joined back. Texts without a known gram keep their row, as (null, 0.0). Grams of one row sit
-    in one partition, which makes the partial sums complete: one short row per text is shuffled.
+    The keys are copied to every character of a text, so they should be a few numbers. Texts without a known gram keep
+    their row, as (null, 0.0). Grams of one text sit in one partition, which makes the partial sums complete: one short
+    row per text is shuffled. Rows with equal keys would be taken as one text.
     """
-    keys = [c for c in texts.columns if c != text]
-    normal = texts.withColumn(text, flatten_newlines(normalize_text(F.col(text))))
+    normal = texts.select(*keys, flatten_newlines(normalize_text(F.col(text))).alias(text))
     grams = explode_trigrams(normal, text, *keys)
     if model.broadcastable:
         hits = grams.withColumn("n", F.lit(1)).join(F.broadcast(model.grams), "gram", "left")
@@ -94,3 +92,21 @@ def detect_language(
     known = F.col("s0").isNotNull()
     return scored.select(
         *keys, F.when(known, lang).alias("lang"), F.when(known, confidence).otherwise(0.0).alias("confidence"))
+
+
+def numbered(texts: DataFrame, name: str = "texts") -> DataFrame:
+    """``texts`` written once, with a number ``row`` of their own; equal rows stay apart. Runs when called."""
+    return staged(texts.withColumn("row", F.monotonically_increasing_id()), name)
+
+
+def detect_language(
+    texts: DataFrame, model: LanguageModel, text: str = "text", temperature: float = 1.0,
+) -> DataFrame:
+    """The columns of ``texts`` but the text, with ``lang`` and ``confidence``; one row per row.
+
+    The texts are written once with a row number. Only that number goes through the aggregation, however many columns
+    there are; they are joined back by it. Runs its first step when called.
+    """
+    rows = numbered(texts)
+    scores = language_scores(rows, model, "row", text=text, temperature=temperature)
+    return rows.drop(text).join(scores, "row").drop("row")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaudit.functions.text import collapse_whitespace, element_descriptor, snippet
 from glossaudit.operators.dom import text_blocks
-from glossaudit.operators.findings import confident, drop_ignored, findings_by_join, findings_by_window
-from glossaudit.operators.langid import LanguageModel, detect_language
+from glossaudit.operators.findings import (
+    confident, described_findings, drop_ignored, findings_by_join, findings_in_pages)
+from glossaudit.operators.langid import LanguageModel, detect_language, language_scores, numbered
+from glossaudit.operators.slicing import url_slice
 from glossaudit.params import AuditParams
-from glossaudit.sources.pages import audit_input
+from glossaudit.sources.pages import audit_input, scan_input
 from glossaudit.storage import staged
 
 
@@ -27,12 +31,20 @@ def page_detections(
 ) -> DataFrame:
     """(page_id, url, declared_lang, idx, snippet, element, lang, confidence) per text block.
 
-    Ignored blocks are absent. Shuffles one short row per block.
+    Ignored blocks are absent. The blocks are written once when this is called.
     """
-    blocks = text_blocks(audit_input(pages, params.strict), params)
+    blocks = page_blocks(pages, phrases, params)
+    scores = language_scores(blocks, model, "page_id", "idx", "row", temperature=params.temperature)
+    return blocks.drop("text").join(scores.drop("page_id", "idx"), "row").drop("row")
+
+
+def page_blocks(pages: DataFrame, phrases: DataFrame | None, params: AuditParams) -> DataFrame:
+    """The described text blocks of the pages in the slice, written once and numbered."""
+    sliced = url_slice(pages, params.offset, params.limit, "page_id")
+    blocks = text_blocks(audit_input(sliced, params.strict), params)
     if phrases is not None:
         blocks = drop_ignored(blocks, phrases)
-    return detect_language(described(blocks, "page_id", "url", "declared_lang", "idx"), model)
+    return numbered(described(blocks, "page_id", "url", "declared_lang", "idx"), "blocks")
 
 
 def audit(
@@ -41,10 +53,28 @@ def audit(
 ) -> DataFrame:
     """All findings of a table of pages: (page_id, seq, url, declared_lang, ..., suggested_fix).
 
-    Findings are ordered by (page_id, seq); the order is left to whoever writes them.
+    ``page_id`` is the place of a page in the URL list, which ``params`` may slice. Pages are parsed once and their
+    blocks written when this is called. Languages are decided on numbers alone; what a finding shows of its block is
+    joined to the findings only. Findings are ordered by (page_id, seq); the order is left to whoever writes them.
+    """
+    blocks = page_blocks(pages, phrases, params)
+    scores = language_scores(blocks, model, "page_id", "idx", "row", temperature=params.temperature)
+    sure = confident(scores, params.confidence)
+    marked = findings_in_pages(sure, blocks.select("row", "declared_lang"))
+    return described_findings(marked, blocks.select("row", "url", "snippet", "element"))
+
+
+def scan(
+    urls: DataFrame, pages: DataFrame, model: LanguageModel, phrases: DataFrame | None = None,
+    params: AuditParams = AuditParams(),
+) -> tuple[DataFrame, DataFrame]:
+    """(scanned pages, findings) of a URL list (ord, url): its slice, in its order, with what was landed.
+
+    The scanned pages hold every URL of the slice, also those that were not landed (status 0), and are what
+    ``findings.scan_summary`` counts. They are joined with the pages by URL and read again as they are.
     """
-    sure = confident(page_detections(pages, model, phrases, params), params.confidence)
-    return findings_by_window(sure)
+    scanned = scan_input(url_slice(urls, params.offset, params.limit), pages)
+    return scanned, audit(scanned, model, phrases, replace(params, offset=0, limit=0))
 
 
 def text_detections(
@@ -58,7 +88,7 @@ def text_detections(
     blocks = texts.select(*[c for c in texts.columns if c != "text"], F.explode(long_enough).alias("text"))
     if phrases is not None:
         blocks = drop_ignored(blocks, phrases)
-    return detect_language(described(blocks, "page", "idx"), model)
+    return detect_language(described(blocks, "page", "idx"), model, temperature=params.temperature)
 
 
 def audit_texts(
@@ -68,8 +98,8 @@ def audit_texts(
     """The audit rules over any grouping of texts, e.g. documents by source.
 
     ``texts``: page, idx, text, tag, classes, id; ``declared``: page, declared_lang. A page may
-    hold any share of all rows: detections are written once, counted with partial sums, and
-    compared with their page's dominant language by a join.
+    hold any share of all rows: detections are written once (when this is called), counted with partial
+    sums, and compared with their page's dominant language by a join.
     """
     sure = staged(confident(text_detections(texts, model, phrases, params), params.confidence), "detections")
     named = sure.withColumn("url", F.col("page"))

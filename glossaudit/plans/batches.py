@@ -2,68 +2,112 @@
 
 from __future__ import annotations
 
+import time
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from glossaudit import schemas
 from glossaudit.operators.langid import LanguageModel
 from glossaudit.operators.slicing import url_slice, with_batch
 from glossaudit.params import AuditParams
 from glossaudit.plans.audit import audit
+from glossaudit.storage import staged
+
+MARKS = "batch_id long, first long, last long, n_pages long, digest long, settings string, commit long"
+BATCHES_PER_COMMIT = 100_000  # the batches of a commit are broadcast: some 40 bytes each
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``; empty if nothing was written yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path) if spark.read.parquet(path).columns else spark.createDataFrame([], schema)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
+            return spark.createDataFrame([], schema)
         raise
 
 
-def pending_batches(pages: DataFrame, output: str) -> DataFrame:
-    """(batch_id) of the batches without a completion mark."""
-    wanted = pages.select("batch_id").distinct()
-    done = _read_if_there(pages.sparkSession, f"{output}/done")
-    return wanted if done is None else wanted.join(done.select("batch_id").distinct(), "batch_id", "left_anti")
+def completion_marks(spark: SparkSession, output: str) -> DataFrame:
+    """The last mark of each batch: which pages its findings cover, under which settings, in which commit."""
+    marks = _read_if_there(spark, f"{output}/done", MARKS)
+    fields = [f.split()[0] for f in MARKS.split(", ")[1:]]
+    latest = marks.groupBy("batch_id").agg(F.max_by(F.struct(*fields), "commit").alias("mark"))
+    return latest.select("batch_id", "mark.*")
+
+
+def _settings(params: AuditParams) -> str:
+    return str(replace(params, offset=0, limit=0))
+
+
+def pending_batches(pages: DataFrame, output: str, params: AuditParams) -> DataFrame:
+    """(batch_id, first, last, n_pages, digest) of the batches of the slice whose mark does not cover them.
+
+    A batch covers the pages of the slice and those of its mark. It is done if its mark names just these pages, by
+    range, number and digest of their URLs, under the same settings. Reads page_id and url only.
+    """
+    narrow = with_batch(pages.select("page_id", F.xxhash64("page_id", "url").alias("key")), params.batch_size, "page_id")
+    marks = completion_marks(pages.sparkSession, output).select(
+        "batch_id", *(F.col(c).alias(f"old_{c}") for c in ("first", "last", "n_pages", "digest", "settings")))
+    wanted = url_slice(narrow, params.offset, params.limit, "page_id").groupBy("batch_id").agg(
+        F.min("page_id").alias("low"), F.max("page_id").alias("high")).join(marks, "batch_id", "left")
+    wanted = wanted.withColumns({"low": F.least("low", "old_first"), "high": F.greatest("high", "old_last")})
+    covered = narrow.join(wanted, "batch_id").where(F.col("page_id").between(F.col("low"), F.col("high")))
+    old = [c for c in wanted.columns if c.startswith("old_")]
+    found = covered.groupBy("batch_id", *old).agg(
+        F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n_pages"),
+        F.sum(F.shiftright("key", 24)).alias("digest"))
+    same = F.lit(True)
+    for name in ("first", "last", "n_pages", "digest"):
+        same = same & F.col(name).eqNullSafe(F.col(f"old_{name}"))
+    done = same & F.col("old_settings").eqNullSafe(F.lit(_settings(params)))
+    return found.where(~done).select("batch_id", "first", "last", "n_pages", "digest")
 
 
 def run_batches(
     pages: DataFrame, model: LanguageModel, output: str, phrases: DataFrame | None = None,
-    params: AuditParams = AuditParams(), batches_per_commit: int = 0,
+    params: AuditParams = AuditParams(), batches_per_commit: int = BATCHES_PER_COMMIT,
 ) -> int:
     """Audit the batches that are not done yet; returns how many were audited.
 
-    ``page_id`` is the position of a page in the URL list (see ``slicing.with_position``).
-    Findings go to ``output/findings/batch_id=N`` and completion marks to ``output/done``. A commit
-    covers ``batches_per_commit`` consecutive batches (0: all of them); the first failing commit
-    stops the run, and the next run starts from there. Writing a batch again replaces its
-    partition, so a crash between findings and mark leaves no duplicates.
+    ``page_id`` is the position of a page in the URL list (see ``slicing.with_position``). A commit audits up to
+    ``batches_per_commit`` batches, writes their findings to ``output/findings/commit=T`` and then their completion
+    marks to ``output/done``. Only what a batch's last mark points to counts, so neither a crash between the two nor
+    findings of an earlier run are ever read. The first failing commit stops the run, and the next run starts there.
+    Pages are read by the ids of a commit's batches, without moving them.
     """
-    spark = pages.sparkSession
-    chosen = url_slice(pages, params.offset, params.limit, "page_id")
-    sliced = with_batch(chosen, params.batch_size, "page_id")
-    todo = pending_batches(sliced, output).agg(
-        F.min("batch_id").alias("first"), F.max("batch_id").alias("last"), F.count("*").alias("n")).first()
-    if not todo["n"]:
-        return 0
-    step = batches_per_commit or todo["last"] - todo["first"] + 1
-    audited = 0
-    for first in range(todo["first"], todo["last"] + 1, step):
-        chunk = sliced.where(F.col("batch_id").between(first, first + step - 1))
-        left = pending_batches(chunk, output)
-        marks = left.withColumn("run", F.lit(first)).persist()
-        n = marks.count()
-        if n:
-            part = chunk.join(left, "batch_id", "left_semi").drop("batch_id")
-            issues = with_batch(audit(part, model, phrases, params), params.batch_size, "page_id")
-            (issues.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(f"{output}/findings"))
-            marks.write.mode("append").parquet(f"{output}/done")
-            audited += n
-        marks.unpersist()
-    return audited
-
-
-def batch_findings(spark: SparkSession, output: str) -> DataFrame | None:
-    return _read_if_there(spark, f"{output}/findings")
+    if not 0 < batches_per_commit <= BATCHES_PER_COMMIT:
+        raise ValueError(f"batches_per_commit must be between 1 and {BATCHES_PER_COMMIT}")
+    pending = staged(pending_batches(pages, output, params), "pending")
+    total = pending.agg(F.min("batch_id").alias("low"), F.max("batch_id").alias("high"), F.count("*").alias("n")).first()
+    plain, commit = replace(params, offset=0, limit=0), 0
+    for low in range(total["low"], total["high"] + 1, batches_per_commit) if total["n"] else ():
+        part = pending.where(F.col("batch_id").between(low, low + batches_per_commit - 1))
+        if part.isEmpty():
+            continue
+        commit = max(commit + 1, time.time_ns())
+        edges = F.broadcast(part.select(F.col("batch_id").alias("of_batch"), "first", "last"))
+        inside = with_batch(pages, params.batch_size, "page_id").where(F.col("page_id").between(
+            low * params.batch_size, (low + batches_per_commit) * params.batch_size - 1))  # pruned at the scan
+        inside = inside.join(edges, (F.col("batch_id") == F.col("of_batch"))
+                             & F.col("page_id").between(F.col("first"), F.col("last"))).select(pages.columns)
+        issues = with_batch(audit(inside, model, phrases, plain), params.batch_size, "page_id")
+        issues.write.mode("overwrite").parquet(f"{output}/findings/commit={commit}")
+        marks = part.withColumns({"settings": F.lit(_settings(params)), "commit": F.lit(commit)})
+        marks.write.mode("append").parquet(f"{output}/done")
+    return total["n"]
+
+
+def batch_findings(spark: SparkSession, output: str) -> DataFrame:
+    """(batch_id, findings) of all batches that are done; empty before the first."""
+    schema = f"{schemas.ISSUES.simpleString()[7:-1].replace(':', ' ')}, batch_id bigint, commit bigint"
+    found = _read_if_there(spark, f"{output}/findings", schema)
+    return found.join(completion_marks(spark, output).select("batch_id", "commit"), ["batch_id", "commit"]).drop("commit")
+
+
+def write_batch_reports(spark: SparkSession, output: str, folder: str) -> None:
+    """The findings as CSV, a folder ``batch_id=N`` for each batch that has any; clustered, so few files each."""
+    rows = batch_findings(spark, output).repartition("batch_id").sortWithinPartitions("batch_id", "page_id", "seq")
+    rows.write.partitionBy("batch_id").csv(folder, header=True, escape='"', emptyValue="")

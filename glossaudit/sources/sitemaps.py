@@ -20,10 +20,49 @@ FOREIGN_RE = rf"(?s)<([\w:.-]+)(?=\s[^>]*xmlns\s*=\s*(?!{OUR_NAMESPACE}){ANY_NAM
 CDATA_RE = r"(?s)<!\[CDATA\[(.*?)\]\]>"
 
 
-def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """(sitemap_url, xml): one row per file. The protocol bounds a file to 50 MB."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("sitemap_url"), F.col("value").alias("xml"))
+def decoded_xml(content: Column) -> Column:
+    """XML bytes as text: by byte order mark, else by the declared encoding, else as UTF-8.
+
+    Invalid UTF-8 becomes the replacement character; an encoding that is not known raises.
+    """
+    head = F.decode(F.substring(content, 1, 200), "ISO-8859-1")
+    declared = F.upper(F.regexp_extract(head, r"(?s)^(?:\xEF\xBB\xBF)?\s*<\?xml[^>]*?encoding\s*=\s*[\x22\x27]([\w.:-]+)", 1))
+    mark = F.hex(F.substring(content, 1, 2))
+    latin = F.decode(content, "ISO-8859-1")
+    utf8 = F.make_valid_utf8(F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.expr("substring(content, 4)")).otherwise(
+        content).cast("string"))
+    return (
+        F.when(mark.isin("FEFF", "FFFE"), F.decode(content, "UTF-16"))
+        .when(mark == "003C", F.decode(content, "UTF-16BE")).when(mark == "3C00", F.decode(content, "UTF-16LE"))
+        .when(declared.isin("", "UTF-8", "UTF8", "US-ASCII", "ASCII"), utf8)
+        .when(declared.isin("ISO-8859-1", "LATIN1", "LATIN-1"), latin)
+        .when(declared.isin("WINDOWS-1252", "CP1252"), F.translate(latin, *_WINDOWS_1252))
+        .otherwise(F.raise_error(F.concat(F.lit("sitemap in an unknown encoding: "), declared)).cast("string")))
+
+
+def _windows_1252() -> tuple[str, str]:
+    """The characters whose code is not their byte, as ISO-8859-1 reads them and as they are meant."""
+    known = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, c in known if c), "".join(c for _, c in known if c)
+
+
+_WINDOWS_1252 = _windows_1252()
+
+
+def read_sitemap_files(
+    spark: SparkSession, path: str, base_url: str | None = None, addresses: DataFrame | None = None,
+) -> DataFrame:
+    """(sitemap_url, xml): one row per file. The protocol bounds a file to 50 MB.
+
+    Indexes name their children by URL, so landed files need their addresses: ``addresses`` (file, sitemap_url) tells
+    them by file name, ``base_url`` is put before the file name. Without either a file is named by its path.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), decoded_xml(F.col("content")).alias("xml"))
+    if addresses is not None:
+        return files.join(addresses, "file").select("sitemap_url", "xml")
+    where = F.col("path") if base_url is None else F.concat(F.lit(base_url.rstrip("/") + "/"), F.col("file"))
+    return files.select(where.alias("sitemap_url"), "xml")
 
 
 def parse_sitemaps(sitemaps: DataFrame, on_malformed: str = "fail") -> DataFrame:
@@ -76,7 +115,7 @@ def resolve_urls(documents: DataFrame, root: str, on_missing: str = "fail") -> D
     """(path, url): page URLs below ``root``, nested indexes followed; sort by ``path``.
 
     ``path`` lists the entry number at every level, so its order is the depth-first document
-    order. A level is one join of index entries with the parsed sitemaps, written before the next
+    order. A root that was not landed raises. A level is one join of index entries with the parsed sitemaps, written before the next
     one; there are at most five, and deeper nesting (or a cycle) raises. So does a child that was
     not landed, unless ``on_missing='skip'``.
     """
@@ -88,6 +127,8 @@ def resolve_urls(documents: DataFrame, root: str, on_missing: str = "fail") -> D
         return opened.select(F.concat("path", F.array("ord")).alias("path"), name)
 
     level = documents.where(F.col("sitemap_url") == root).withColumn("path", F.array().cast("array<int>")).select(*columns)
+    if level.isEmpty():
+        raise SitemapError(f"sitemap was not landed: {root}")
     pages = entries(level.where(~is_index), "url")
     for depth in range(MAX_SITEMAP_DEPTH + 1):
         children = staged(entries(level.where(is_index), "child"), "index-entries")

@@ -30,6 +30,18 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all tables that this application has staged; call it once their results are written."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -37,6 +49,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     consumers share one evaluation.
     """
     path = stage_path(df.sparkSession, name)
+    _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,12 +66,19 @@ def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df.count(), bytes_per_row) else df
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the size of ``df``, from file sizes; runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than cores more partitions; leave large scans alone.
+    """Give a table that is planned smaller than one full split per core more partitions.
 
-    A table at scale has far more splits than cores and passes through without a shuffle.
+    A table at scale, and a plan whose size Spark cannot tell (a join), pass through without a shuffle. Nothing runs.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if df.isStreaming or planned_bytes(df) >= cores * split:
         return df
     return df.repartition(cores, *keys)

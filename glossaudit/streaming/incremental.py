@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
+from glossaudit import schemas
 from glossaudit.operators.langid import LanguageModel
 from glossaudit.params import AuditParams
 from glossaudit.plans.audit import audit
@@ -38,5 +40,10 @@ def start_incremental_audit(
 
 
 def incremental_findings(spark: SparkSession, output: str) -> DataFrame:
-    """All findings written so far."""
-    return spark.read.option("basePath", output).parquet(f"{output}/chunk=*")
+    """All findings written so far; empty before the first chunk."""
+    try:
+        return spark.read.option("basePath", output).parquet(f"{output}/chunk=*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType([*schemas.ISSUES.fields, T.StructField("chunk", T.IntegerType())]))

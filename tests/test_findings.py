@@ -28,11 +28,17 @@ ROWS = [
 ]
 
 
+def in_pages(sure):
+    rows = sure.withColumn("row", F.monotonically_increasing_id()).cache()
+    found = findings.findings_in_pages(rows.select("page_id", "idx", "row", "lang"), rows.select("row", "declared_lang"))
+    return findings.described_findings(found, rows.select("row", "url", "snippet", "element"))
+
+
 def test_rules(spark):
     sure = findings.confident(detections(spark, ROWS))
     dominant = {r.page_id: (r.dominant_lang, r.n_blocks) for r in findings.dominant_language(sure).collect()}
     assert dominant == {1: ("en", 2), 2: ("de", 1), 3: ("de", 2), 5: ("en", 2), 6: ("de", 1)}
-    issues = findings.findings_by_window(sure).orderBy("page_id", "seq").collect()
+    issues = in_pages(sure).orderBy("page_id", "seq").collect()
     got = [(r.page_id, r.seq, r.issue_type, r.declared_lang, r.detected_lang, r.snippet, r.element) for r in issues]
     assert got == [
         (1, 0, "WU1", "fr", "en", "", "html"), (1, 1, "WU2", "en", "de", "s0", "p"),
@@ -46,7 +52,7 @@ def test_rules(spark):
 def test_join_and_window_agree(spark):
     sure = findings.confident(detections(spark, ROWS))
     declared = detections(spark, ROWS).select("page_id", "url", "declared_lang").distinct()
-    one = findings.findings_by_window(sure)
+    one = in_pages(sure)
     other = findings.findings_by_join(sure.drop("declared_lang"), declared, "page_id").select(*one.columns)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
 
@@ -118,3 +124,23 @@ def test_hot_group_of_texts(spark, model):
 def test_threshold_is_inclusive(spark, threshold, kept):
     rows = [(1, 0, "en", 0.7, None), (1, 1, "en", 0.8, None), (1, 2, None, 0.9, None), (1, 3, "en", 0.6, None)]
     assert findings.confident(detections(spark, rows), threshold).count() == kept
+
+
+def test_rows_are_never_merged(spark, model):
+    one = spark.createDataFrame([("the quick brown fox",), ("the quick brown fox",), (None,)], "text string")
+    assert langid.detect_language(one, model).count() == 3
+    same_id = spark.createDataFrame([(1, "the quick brown fox"), (1, "der schnelle braune fuchs")], "id int, text string")
+    assert sorted(r.lang for r in langid.detect_language(same_id, model).collect()) == ["de", "en"]
+
+
+def test_only_numbers_go_through_the_aggregation(spark, model):
+    wide = spark.createDataFrame([(1, "x" * 300, "the quick brown fox")], "id int, snippet string, text string")
+    plan = langid.language_scores(langid.numbered(wide), model, "row")._jdf.queryExecution().executedPlan().toString()
+    assert "snippet" not in plan.split("ReadSchema")[1]
+
+
+def test_too_many_labels_raise(spark):
+    rows = spark.range(9).selectExpr("concat('l', id) AS lang", "'some text' AS text")
+    with pytest.raises(ValueError):
+        langid.train(rows, most_languages=8)
+    assert len(langid.train(rows, most_languages=9).languages) == 9

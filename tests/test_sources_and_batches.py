@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossaudit.fixed_values import REPORT_COLUMNS, SITEMAP_NAMESPACE
-from glossaudit.operators import report, slicing
+from glossaudit.operators import findings, report, slicing
 from glossaudit.params import AuditParams
 from glossaudit.plans import audit as audits
 from glossaudit.plans import batches
@@ -105,6 +105,43 @@ def test_batches(spark, total, sizes):
     assert [r.n_urls for r in rows] == sizes and slicing.batch_count(total) == len(sizes)
 
 
+def test_landed_bytes_are_read_whatever_they_are(spark, tmp_path):
+    path = str(tmp_path / "bytes")
+    rows = [(1, "u", bytearray(b"caf\xe9 \xff<p>x")), (2, "v", bytearray(b"")), (3, "w", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html binary").write.parquet(path)
+    got = {r.page_id: r.html for r in page_source.read_pages(spark, path).collect()}
+    assert got == {1: "caf\ufffd \ufffd<p>x", 2: "", 3: None}
+
+
+def test_sitemap_files_by_encoding_and_address(spark, tmp_path):
+    space = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    index = f'<sitemapindex {space}><sitemap><loc>https://m.org/a.xml</loc></sitemap><sitemap><loc>https://m.org/b.xml</loc></sitemap></sitemapindex>'
+    leaf = '<?xml version="1.0" encoding="{}"?><urlset ' + space + "><url><loc>https://example.org/café{}</loc></url></urlset>"
+    (tmp_path / "top.xml").write_text(index)
+    (tmp_path / "a.xml").write_bytes(leaf.format("ISO-8859-1", "").encode("latin-1"))
+    (tmp_path / "b.xml").write_bytes(leaf.format("windows-1252", "€").encode("cp1252"))
+    want = ["https://example.org/café", "https://example.org/café€"]
+    named = sitemaps.parse_sitemaps(sitemaps.read_sitemap_files(spark, str(tmp_path), "https://m.org"))
+    assert [r.url for r in sitemaps.url_list(named, "https://m.org/top.xml").orderBy("ord").collect()] == want
+    table = spark.createDataFrame([(f"{n}.xml", f"https://m.org/{n}.xml") for n in ("top", "a", "b")], "file string, sitemap_url string")
+    named = sitemaps.parse_sitemaps(sitemaps.read_sitemap_files(spark, str(tmp_path), addresses=table))
+    assert sitemaps.url_count(named, "https://m.org/top.xml").first().n_urls == 2
+    with pytest.raises(sitemaps.SitemapError):
+        sitemaps.url_list(named, "https://m.org/other.xml")
+    (tmp_path / "b.xml").write_bytes(b"\xff\xfe" + leaf.format("UTF-16", "").encode("utf-16-le"))
+    (tmp_path / "a.xml").write_bytes(b"\xef\xbb\xbf" + leaf.format("utf-8", "é").encode())
+    got = {r.sitemap_url: r.xml for r in sitemaps.read_sitemap_files(spark, str(tmp_path), "https://m.org/").collect()}
+    assert "café</loc>" in got["https://m.org/b.xml"] and got["https://m.org/a.xml"].startswith("<?xml") and "caféé" in got["https://m.org/a.xml"]
+
+
+def test_spreading_a_joined_table_runs_no_job(spark, site):
+    joined = site.join(site.select("page_id"), "page_id")
+    spark.sparkContext.setJobGroup("composing", "nothing should run")
+    assert page_source.audit_input(joined).columns == site.columns
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("composing")) == []
+    spark.sparkContext._jsc.clearJobGroup()
+
+
 def test_positions_are_dense(spark):
     table = spark.range(1000).select((F.col("id") * 7919 % 1000 - 500).alias("key"))
     rows = slicing.with_position(table, "key").collect()
@@ -138,23 +175,65 @@ def rows_of(df):
 def test_batched_audit_resumes(spark, site, model, tmp_path):
     output, params = str(tmp_path / "out"), AuditParams(batch_size=3)
     whole = rows_of(audits.audit(site, model))
+    assert batches.batch_findings(spark, output).count() == 0
     assert batches.run_batches(site.where("page_id < 7"), model, output, params=params) == 3
-    os.makedirs(f"{output}/findings/batch_id=99", exist_ok=True)
-    assert batches.run_batches(site, model, output, params=params, batches_per_commit=2) == 4
+    os.makedirs(f"{output}/findings/commit=99", exist_ok=True)
+    # The list has grown: the batch that had one page is audited again, as a whole.
+    assert batches.run_batches(site, model, output, params=params, batches_per_commit=2) == 5
     assert batches.run_batches(site, model, output, params=params) == 0
-    # batch 2 was completed when it had one page; everything else is there once
-    expected = [r for r in whole if r[0] not in (7, 8)]
-    assert rows_of(batches.batch_findings(spark, output)) == expected
+    assert rows_of(batches.batch_findings(spark, output)) == whole
+
 
+def test_a_slice_does_not_complete_a_batch(spark, site, model, tmp_path):
+    output, whole = str(tmp_path / "out"), rows_of(audits.audit(site, model))
+    assert batches.run_batches(site, model, output, params=AuditParams(batch_size=6, limit=10)) == 2
+    assert rows_of(batches.batch_findings(spark, output)) == [r for r in whole if r[0] < 10]
+    assert batches.run_batches(site, model, output, params=AuditParams(batch_size=6, offset=8, limit=3)) == 1
+    assert rows_of(batches.batch_findings(spark, output)) == [r for r in whole if r[0] < 11]
+    assert batches.run_batches(site, model, output, params=AuditParams(batch_size=6)) == 3
+    assert rows_of(batches.batch_findings(spark, output)) == whole
+    assert batches.run_batches(site, model, output, params=AuditParams(batch_size=6, limit=7)) == 0
 
-def test_batched_audit_replaces_a_half_written_batch(spark, site, model, tmp_path):
+
+def test_a_rerun_that_finds_nothing_leaves_nothing(spark, site, model, tmp_path):
+    output, folder = str(tmp_path / "out"), str(tmp_path / "reports")
+    batches.run_batches(site, model, output, params=AuditParams(batch_size=5))
+    assert batches.batch_findings(spark, output).count() > 0
+    batches.write_batch_reports(spark, output, folder)
+    assert sorted(n for n in os.listdir(folder) if n.startswith("batch")) == [f"batch_id={i}" for i in range(4)]
+    changed = site.withColumn("url", F.concat("url", F.lit("?"))).withColumn("html", F.lit("<html></html>"))
+    assert batches.run_batches(changed, model, output, params=AuditParams(batch_size=5)) == 4
+    assert batches.batch_findings(spark, output).count() == 0
+
+
+def test_batched_audit_ignores_findings_without_a_mark(spark, site, model, tmp_path):
     output, params = str(tmp_path / "out"), AuditParams(batch_size=5, offset=5, limit=10)
     part = site.where("page_id >= 5 AND page_id < 15")
-    slicing.with_batch(audits.audit(part, model), 5, "page_id").write.partitionBy("batch_id").parquet(f"{output}/findings")
+    slicing.with_batch(audits.audit(part, model), 5, "page_id").write.parquet(f"{output}/findings/commit=5")
+    assert batches.batch_findings(spark, output).count() == 0
     assert batches.run_batches(site, model, output, params=params) == 2
     assert rows_of(batches.batch_findings(spark, output)) == rows_of(audits.audit(part, model))
 
 
+def test_audit_and_scan_honour_the_slice(spark, site, model):
+    whole = rows_of(audits.audit(site, model))
+    assert rows_of(audits.audit(site, model, params=AuditParams(offset=3, limit=9))) == [r for r in whole if 3 <= r[0] < 12]
+    urls = [r.url for r in site.orderBy("page_id").collect()]
+    wanted = [urls[5], urls[3], "https://example.org/not-landed", urls[3], urls[8]]
+    listed = spark.createDataFrame(list(enumerate(wanted)), "ord long, url string")
+    scanned, found = audits.scan(listed, site, model, params=AuditParams(offset=1, limit=3))
+    assert sorted((r.page_id, r.url, r.status) for r in scanned.collect()) == [
+        (1, urls[3], 200), (2, wanted[2], 0), (3, urls[3], 200)]
+    of_third = [r[1:] for r in whole if r[0] == 3]
+    assert rows_of(found) == [(i, *r) for i in (1, 3) for r in of_third]
+    total = findings.scan_summary(scanned, found).first()
+    assert (total.total_urls, total.flagged_urls) == (3, bool(of_third))
+
+
+def test_incremental_audit_of_nothing(spark, tmp_path):
+    assert incremental.incremental_findings(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_incremental_audit_equals_batch(spark, site, model, tmp_path):
     arriving, output, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     site.where("page_id < 11").repartition(3).write.parquet(arriving)
