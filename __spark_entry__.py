@@ -35,6 +35,7 @@ ENTRY_DIR = "/root/testdata/sf0.001"
 ARGUMENTS = {
     "offset": 60, "limit": 120, "batch_size": 40, "sitemap_url": "https://maps.example.org/index-0.xml",
     "scan_time": "2024-05-06T07:08:09", "search": 'change <html lang="en"',
+    "temperature": 40,
 }
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +78,23 @@ def usable_pages(spark: SparkSession, sf: str) -> DataFrame:
     return usable.select("page_id", "url", "status", F.char_length("html").alias("html_chars"))
 
 
+def _by_status(spark: SparkSession, sf: str, strict: bool) -> DataFrame:
+    """Pages of which some failed, some are errors, and some are empty."""
+    kind = F.col("page_id") % 5
+    pages = inputs.pages(spark, sf).withColumns({
+        "status": F.when(kind == 0, 0).when(kind == 1, 404).otherwise(200),
+        "html": F.when(kind == 2, "").otherwise(F.col("html"))})
+    return page_source.usable_pages(pages, strict).select("page_id", "url", "status", F.char_length("html").alias("html_chars"))
+
+
+def usable_pages_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_status(spark, sf, strict=False)
+
+
+def usable_pages_strict(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_status(spark, sf, strict=True)
+
+
 def sitemap_entries(spark: SparkSession, sf: str) -> DataFrame:
     documents, _ = inputs.sitemaps(spark, sf)
     return sitemap_source.sitemap_entries(sitemap_source.parse_sitemaps(documents))
@@ -138,6 +156,21 @@ def csv_safe(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select("cell", text.csv_safe(F.col("cell")).alias("safe"), "n")
 
 
+def clean_label(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("__label__"), "lang", F.lit("_"), "source")
+    return _documents(spark, sf).select("doc_id", text.clean_label(raw).alias("label"))
+
+
+def timestamp_name(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.table(spark, sf, "events").select("event_id", text.timestamp_name(F.col("ts")).alias("name"))
+
+
+def is_remote(spark: SparkSession, sf: str) -> DataFrame:
+    local = F.replace("url", F.lit("://"), F.lit(":/"))
+    return inputs.table(spark, sf, "pages").select(
+        "page_id", text.is_remote(F.col("url")).alias("remote"), text.is_remote(local).alias("local_remote"))
+
+
 def issues_json(spark: SparkSession, sf: str) -> DataFrame:
     return report.issues_json(audit_documents(spark, sf), "page", "seq", *findings.ISSUE_COLUMNS)
 
@@ -166,6 +199,13 @@ def confident_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return _sure(spark, sf).select("page_id", "idx", "lang", F.round("confidence", 4).alias("confidence"))
 
 
+def confident_blocks_flat(spark: SparkSession, sf: str) -> DataFrame:
+    """At a temperature at which not every block is certain."""
+    params = AuditParams(temperature=float(ARGUMENTS["temperature"]))
+    found = findings.confident(audits.page_detections(inputs.pages(spark, sf), _model(spark, sf), None, params), params.confidence)
+    return found.select("page_id", "idx", "lang", F.round("confidence", 4).alias("confidence"))
+
+
 # --- Findings --------------------------------------------------------------------------------------
 
 def dominant_language(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,6 +254,28 @@ def audit_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return audits.audit_conversations(turns, _model(spark, sf))
 
 
+def audit_quoting_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations that quote documents, each document in one of them."""
+    turns, documents = inputs.table(spark, sf, "conversations"), _documents(spark, sf)
+    quotes = documents.select(
+        (F.col("doc_id") % turns.select("conv_id").distinct().count()).alias("conv_id"), (F.col("doc_id") + 1000).alias("turn"),
+        F.lit("quote").alias("role"), "text")
+    return audits.audit_conversations(page_source.spread(turns.unionByName(quotes)), _model(spark, sf))
+
+
+def _scan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    params = AuditParams(offset=ARGUMENTS["offset"], limit=ARGUMENTS["limit"])
+    return audits.scan(inputs.listed_urls(spark, sf), inputs.rewritten_pages(spark, sf), _model(spark, sf), None, params)
+
+
+def sitemap_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return _scan(spark, sf)[1]
+
+
+def sitemap_scan_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return findings.scan_summary(*_scan(spark, sf))
+
+
 def scan_summary(spark: SparkSession, sf: str) -> DataFrame:
     return findings.scan_summary(inputs.pages(spark, sf), page_issues(spark, sf))
 
@@ -227,6 +289,17 @@ def report_search(spark: SparkSession, sf: str) -> DataFrame:
     return report.search_report(report_rows(spark, sf), ARGUMENTS["search"], sort_by="url")
 
 
+def csv_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report as a CSV file gives it back."""
+    return report.read_report(spark, report.write_csv(report_rows(spark, sf), stage_path(spark, "report"), "csv"))
+
+
+def json_feed_scan(spark: SparkSession, sf: str) -> DataFrame:
+    issues, folder = staged(page_issues(spark, sf), "issues"), stage_path(spark, "feed")
+    summary = report.scan_scalars(issues, inputs.pages(spark, sf), ARGUMENTS["sitemap_url"], ARGUMENTS["scan_time"])
+    return spark.read.text(report.write_json(issues, folder, "feed", summary) + "/scan").toDF("json")
+
+
 # --- Resumable and incremental -----------------------------------------------------------------------
 
 def batched_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,15 +309,32 @@ def batched_audit(spark: SparkSession, sf: str) -> DataFrame:
     return batches.batch_findings(spark, output).drop("batch_id")
 
 
-def incremental_audit(spark: SparkSession, sf: str) -> DataFrame:
+def batched_audit_in_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """First a slice that ends within a batch, then the rest: findings as of one whole audit."""
+    output, pages, model = stage_path(spark, "batches"), inputs.rewritten_pages(spark, sf), _model(spark, sf)
+    first = AuditParams(batch_size=ARGUMENTS["batch_size"], limit=ARGUMENTS["offset"])
+    batches.run_batches(pages, model, output, params=first)
+    batches.run_batches(pages, model, output, params=AuditParams(batch_size=ARGUMENTS["batch_size"]))
+    return batches.batch_findings(spark, output).drop("batch_id")
+
+
+def _incremental(spark: SparkSession, sf: str, pages: DataFrame) -> DataFrame:
     arriving, output = stage_path(spark, "arriving"), stage_path(spark, "incremental")
-    inputs.pages(spark, sf).repartition(4, "page_id").write.parquet(arriving)
+    pages.repartition(4, "page_id").write.parquet(arriving)
     incremental.start_incremental_audit(
-        spark, arriving, inputs.pages(spark, sf).schema, output, stage_path(spark, "progress"),
-        _model(spark, sf), files_per_trigger=2).awaitTermination()
+        spark, arriving, pages.schema, output, stage_path(spark, "progress"), _model(spark, sf),
+        files_per_trigger=2).awaitTermination()
     return incremental.incremental_findings(spark, output).drop("chunk")
 
 
+def incremental_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return _incremental(spark, sf, inputs.pages(spark, sf))
+
+
+def incremental_audit_rewritten(spark: SparkSession, sf: str) -> DataFrame:
+    return _incremental(spark, sf, inputs.rewritten_pages(spark, sf))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the audit rules over the labelled documents."""
     return audit_documents(spark, ENTRY_DIR)
@@ -295,6 +385,19 @@ def queries() -> dict[str, Query]:
         "report_search": report_search,
         "batched_audit": batched_audit,
         "incremental_audit": incremental_audit,
+        "usable_pages_by_status": usable_pages_by_status,
+        "usable_pages_strict": usable_pages_strict,
+        "clean_label": clean_label,
+        "timestamp_name": timestamp_name,
+        "is_remote": is_remote,
+        "confident_blocks_flat": confident_blocks_flat,
+        "audit_quoting_conversations": audit_quoting_conversations,
+        "sitemap_audit": sitemap_audit,
+        "sitemap_scan_summary": sitemap_scan_summary,
+        "csv_report": csv_report,
+        "json_feed_scan": json_feed_scan,
+        "batched_audit_in_steps": batched_audit_in_steps,
+        "incremental_audit_rewritten": incremental_audit_rewritten,
     }
     return found | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
 

@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaudit.fixed_values import SITEMAP_NAMESPACE
+from glossaudit.operators.slicing import with_position
 from glossaudit.sources.pages import read_pages
+from glossaudit.sources.sitemaps import parse_sitemaps, url_list
+from glossaudit.storage import staged
 
 SITEMAP_BASE = "https://maps.example.org"
 
@@ -58,6 +61,17 @@ def url_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), "url")
 
 
+def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, url): the URLs the sitemaps resolve to, some of them twice, and some that were never landed."""
+    documents, root = sitemaps(spark, sf_dir)
+    resolved = url_list(staged(parse_sitemaps(documents), "sitemaps"), root)
+    kind = F.col("ord") % 7
+    more = resolved.where(kind.isin(0, 3)).select(
+        "ord", F.lit(1).alias("copy"), F.when(kind == 3, F.concat("url", F.lit("/gone"))).otherwise(F.col("url")).alias("url"))
+    both = resolved.withColumn("copy", F.lit(0)).unionByName(more).withColumnRenamed("ord", "place")
+    return with_position(both, "place", "copy").select("ord", "url")
+
+
 def sitemaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """(sitemap_url, xml) documents listing all page URLs through two levels of indexes.
 

@@ -28,6 +28,12 @@ def report_rows(issues: DataFrame, urls: DataFrame, sitemap_url: str, scan_time:
     ).select(*REPORT_COLUMNS)
 
 
+def scan_scalars(issues: DataFrame, urls: DataFrame, sitemap_url: str, scan_time: str) -> DataFrame:
+    """One row: sitemap_url, total_urls, flagged_urls, scan_time; also when there is no issue."""
+    return scan_summary(urls, issues).select(
+        F.lit(sitemap_url).alias("sitemap_url"), "total_urls", "flagged_urls", F.lit(scan_time).alias("scan_time"))
+
+
 def csv_safe_columns(rows: DataFrame) -> DataFrame:
     """Guard every string column against spreadsheet formulas; other types stay as they are."""
     return rows.select(*[
@@ -62,10 +68,12 @@ def write_csv(report: DataFrame, output: str, stamp: str) -> str:
     return path
 
 
-def write_json(issues: DataFrame, output: str, stamp: str) -> str:
-    """Write the dashboard feed as JSON lines next to the CSV report."""
+def write_json(issues: DataFrame, output: str, stamp: str, scan: DataFrame | None = None) -> str:
+    """Write the dashboard feed as JSON lines next to the CSV report: ``issues``, and ``scan`` with its scalars."""
     path = f"{output}/report_{stamp}_json"
-    issues_json(issues).write.mode("error").text(path)
+    issues_json(issues).write.mode("error").text(f"{path}/issues")
+    if scan is not None:
+        issues_json(scan).coalesce(1).write.mode("error").text(f"{path}/scan")  # one row
     return path
 
 

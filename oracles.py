@@ -253,7 +253,7 @@ MODEL = [
 ]
 
 
-def detection_ctes(source: str, keys: str) -> list[tuple[str, str]]:
+def detection_ctes(source: str, keys: str, temperature: int = 1) -> list[tuple[str, str]]:
     """``detected``: the rows of ``source`` with lang and confidence; ``keys`` identify a row."""
     using = f"USING ({keys})"
     return MODEL + [
@@ -265,7 +265,7 @@ def detection_ctes(source: str, keys: str) -> list[tuple[str, str]]:
         ("scores", f"""SELECT {keys}, lang, sum(n * score)::BIGINT AS score
             FROM row_words JOIN word_scores USING (word) GROUP BY ALL"""),
         ("tops", f"""SELECT {keys}, arg_max(lang, (score, lang_rank)) AS lang,
-                1.0::DOUBLE / sum(exp((score - best)::DOUBLE / 1000000)) AS confidence
+                1.0::DOUBLE / sum(exp((score - best)::DOUBLE / {1000000 * temperature})) AS confidence
             FROM (SELECT *, max(score) OVER (PARTITION BY {keys}) AS best,
                 -row_number() OVER (PARTITION BY {keys} ORDER BY lang) AS lang_rank FROM scores) GROUP BY {keys}"""),
         ("detected", f"""SELECT s.*, t.lang AS detected, coalesce(t.confidence, 0.0)::DOUBLE AS confidence
@@ -292,12 +292,13 @@ def finding_ctes(page: str, idx: str) -> list[tuple[str, str]]:
     ]
 
 
-def page_ctes(ignore: bool) -> list[tuple[str, str]]:
+def page_ctes(ignore: bool, temperature: int = 1) -> list[tuple[str, str]]:
     """From ``input`` to ``issues`` for HTML pages."""
     kept = [("kept", "SELECT * FROM blocks" + (f""" WHERE lower({stripped('text')}) NOT IN
         (SELECT phrase FROM phrases)""" if ignore else ""))]
     declarations = [("declarations", "SELECT page_id, url, declared_lang FROM input JOIN page_langs USING (page_id)")]
-    return (([LINES, PHRASES] if ignore else []) + block_ctes() + kept + detection_ctes("kept", "page_id, idx")
+    return (([LINES, PHRASES] if ignore else []) + block_ctes() + kept
+            + detection_ctes("kept", "page_id, idx", temperature)
             + declarations + finding_ctes("page_id", "idx"))
 
 
@@ -329,6 +330,30 @@ TURN_BLOCKS = text_ctes(
     "SELECT DISTINCT conv_id::VARCHAR AS page, conv_id::VARCHAR AS url, NULL::VARCHAR AS declared_lang FROM conversations")
 
 
+QUOTING_BLOCKS = text_ctes(
+    """SELECT conv_id::VARCHAR AS page, turn AS idx, text, 'turn' AS tag, role AS classes, '' AS id FROM (
+        FROM conversations UNION ALL SELECT doc_id % (SELECT count(DISTINCT conv_id) FROM conversations), 1000 + doc_id, 'quote', text
+        FROM documents)""",
+    "SELECT DISTINCT conv_id::VARCHAR AS page, conv_id::VARCHAR AS url, NULL::VARCHAR AS declared_lang FROM conversations")
+
+# The URL list of the site: some URLs twice, some that were never landed.
+LISTED = ("listed", """SELECT row_number() OVER (ORDER BY page_id, copy) - 1 AS ord, url FROM (
+    SELECT page_id, 0 AS copy, url FROM pages
+    UNION ALL SELECT page_id, 1, CASE WHEN page_id % 7 = 3 THEN url || '/gone' ELSE url END FROM pages WHERE page_id % 7 IN (0, 3))""")
+
+
+def scan_input(offset: int, limit: int) -> list[tuple[str, str]]:
+    return [LISTED, ("rewritten", REWRITTEN[1]), ("input", f"""SELECT l.ord AS page_id, l.url, r.html FROM listed l
+        JOIN rewritten r USING (url) WHERE l.ord >= {offset} AND l.ord < {offset + limit}""")]
+
+
+STATUS = "(CASE page_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 404 ELSE 200 END)::INTEGER"
+
+
+def safe(cell: str) -> str:
+    return f"CASE WHEN {cell}[1] IN ('=', '+', '-', '@', chr(9), chr(13)) THEN {literal(chr(39))} || {cell} ELSE {cell} END"
+
+
 # --- Statements ---------------------------------------------------------------------------------
 
 def statement(ctes: list[tuple[str, str]], select: str) -> str:
@@ -359,6 +384,8 @@ def oracle_statements(params: dict) -> dict[str, str]:
     """Statement per query name. ``params`` holds the arguments the queries use, by name."""
     plain_blocks, odd_blocks = [PLAIN, *block_ctes()], [REWRITTEN, *block_ctes()]
     plain, odd = [PLAIN, *TOKENS], [REWRITTEN, *TOKENS]
+    scanned = [*scan_input(params["offset"], params["limit"]), *page_ctes(ignore=False)]
+    odd_plain = [REWRITTEN, *page_ctes(ignore=False)]
     plain_audit, odd_audit = [PLAIN, *page_ctes(ignore=False)], [REWRITTEN, *page_ctes(ignore=True)]
     audit_select = f"SELECT page_id, {ISSUES} FROM issues"
     start, count, size = params["offset"], params["limit"], params["batch_size"]
@@ -369,6 +396,10 @@ def oracle_statements(params: dict) -> dict[str, str]:
     return {
         # sources
         "usable_pages": "SELECT page_id, url, 200 AS status, length(html)::INTEGER AS html_chars FROM pages WHERE html <> ''",
+        "usable_pages_by_status": f"""SELECT page_id, url, {STATUS} AS status, length(html)::INTEGER AS html_chars FROM pages
+            WHERE {STATUS} <> 0 AND page_id % 5 <> 2 AND html <> ''""",
+        "usable_pages_strict": f"""SELECT page_id, url, {STATUS} AS status, length(html)::INTEGER AS html_chars FROM pages
+            WHERE {STATUS} = 200 AND page_id % 5 <> 2 AND html <> ''""",
         "sitemap_entries": statement(SITEMAP_TABLES, """SELECT sitemap_url, 'urlset' AS kind, ord, loc FROM leaves
             UNION ALL SELECT sitemap_url, 'sitemapindex', ord, loc FROM parts
             UNION ALL SELECT sitemap_url, 'sitemapindex', ord, loc FROM tops"""),
@@ -403,6 +434,9 @@ def oracle_statements(params: dict) -> dict[str, str]:
             ELSE cell END AS safe, n FROM (SELECT cell, count(*) AS n FROM (
                 SELECT unnest(regexp_split_to_array(text, ' ')) AS cell FROM documents
                 UNION ALL SELECT unnest(regexp_split_to_array(text, '(?i)[a-z0-9]+')) FROM conversations) GROUP BY cell)""",
+        "clean_label": "SELECT doc_id, regexp_extract(lang, '^[^_]*') AS label FROM documents",
+        "timestamp_name": "SELECT event_id, strftime(ts, '%Y-%m-%d_%H%M%S') AS name FROM events",
+        "is_remote": "SELECT page_id, url[1:7] = 'http://' OR url[1:8] = 'https://' AS remote, false AS local_remote FROM pages",
         "issues_json": statement(DOCUMENT_BLOCKS, """SELECT replace(to_json({'page': page, 'seq': seq, 'url': url,
             'declared_lang': declared_lang, 'detected_lang': detected_lang, 'issue_type': issue_type, 'snippet': snippet,
             'element': element, 'suggested_fix': suggested_fix})::VARCHAR, '</', '<\\/') AS json FROM issues"""),
@@ -415,6 +449,9 @@ def oracle_statements(params: dict) -> dict[str, str]:
             WHERE lower({stripped('text')}) IN (SELECT phrase FROM phrases)"""),
         "confident_blocks": statement(
             plain_audit, "SELECT page_id, idx, detected AS lang, round(confidence, 4) AS confidence FROM sure"),
+        "confident_blocks_flat": statement(
+            [PLAIN, *page_ctes(ignore=False, temperature=params["temperature"])],
+            "SELECT page_id, idx, detected AS lang, round(confidence, 4) AS confidence FROM sure"),
         # findings
         "dominant_language": statement(plain_audit, "SELECT page_id, dominant_lang, n_blocks FROM dominant"),
         "dominant_language_lines": statement(LINE_BLOCKS, "SELECT page, dominant_lang, n_blocks FROM dominant"),
@@ -425,6 +462,10 @@ def oracle_statements(params: dict) -> dict[str, str]:
         "audit_documents": statement(DOCUMENT_BLOCKS, f"SELECT page, {ISSUES} FROM issues"),
         "audit_lines": statement(LINE_BLOCKS, f"SELECT page, {ISSUES} FROM issues"),
         "audit_conversations": statement(TURN_BLOCKS, f"SELECT page, {ISSUES} FROM issues"),
+        "audit_quoting_conversations": statement(QUOTING_BLOCKS, f"SELECT page, {ISSUES} FROM issues"),
+        "sitemap_audit": statement(scanned, audit_select),
+        "sitemap_scan_summary": statement(scanned, f"""SELECT (SELECT count(*) FROM listed WHERE ord >= {start}
+            AND ord < {start + count}) AS total_urls, count(DISTINCT url) AS flagged_urls, count(*) AS total_issues FROM issues"""),
         "scan_summary": statement(odd_audit, """SELECT (SELECT count(*) FROM pages) AS total_urls,
             count(DISTINCT url) AS flagged_urls, count(*) AS total_issues FROM issues"""),
         "report_rows": statement(odd_audit, f"""SELECT {report}, url, declared_lang, detected_lang, issue_type,
@@ -433,6 +474,13 @@ def oracle_statements(params: dict) -> dict[str, str]:
             snippet, element, suggested_fix FROM issues WHERE contains(lower(concat_ws(chr(10), '{params["sitemap_url"]}',
             '{params["scan_time"]}', url, declared_lang, detected_lang, issue_type, snippet, element, suggested_fix)),
             '{params["search"]}')"""),
+        "csv_report": statement(odd_audit, f"""SELECT {report}, {safe('url')} AS url, {safe('declared_lang')} AS declared_lang,
+            {safe('detected_lang')} AS detected_lang, issue_type, {safe('snippet')} AS snippet, {safe('element')} AS element,
+            suggested_fix FROM issues"""),
+        "json_feed_scan": statement(odd_audit, f"""SELECT to_json({{'sitemap_url': sitemap_url, 'total_urls': total_urls,
+            'flagged_urls': flagged_urls, 'scan_time': scan_time}})::VARCHAR AS json FROM (SELECT {report})"""),
+        "batched_audit_in_steps": statement(odd_plain, audit_select),
+        "incremental_audit_rewritten": statement(odd_plain, audit_select),
         # resumable and incremental: the findings of the plain audit, however they are cut up
         "batched_audit": statement(plain_audit, audit_select),
         "incremental_audit": statement(plain_audit, audit_select),

@@ -266,8 +266,10 @@ def test_report(spark, site, model, tmp_path):
     assert report.search_report(back, "DEUTSCHEM").count() == 7
     ordered = report.search_report(back, sort_by="url", descending=True).collect()
     assert [r.url for r in ordered] == sorted((r.url for r in ordered), reverse=True)
-    json_path = report.write_json(issues, str(tmp_path), "stamp")
-    assert spark.read.json(json_path).count() == issues.count()
+    json_path = report.write_json(issues, str(tmp_path), "stamp", report.scan_scalars(issues, site, "=map", "then"))
+    assert spark.read.json(json_path + "/issues").count() == issues.count()
+    scan = spark.read.json(json_path + "/scan").first()
+    assert (scan.sitemap_url, scan.total_urls, scan.flagged_urls, scan.scan_time) == ("=map", 20, len(flagged), "then")
 
 
 def test_empty_report_has_a_header(spark, site, model, tmp_path):
