@@ -1,10 +1,11 @@
 """Byte-level BPE by a transducer that is determinised as texts need it, and streaming decoding.
 
 A run of tokens is what the merges give if and only if each token and each two neighbours are what the merges give
-alone. So a text can be read byte by byte: a thread is a position up to which the text is encoded, with a node of
-the vocabulary's trie for the bytes since then. All live threads together are a state of the transducer. Tokens
-on which all threads agree are emitted at once; the others wait, for no longer than the longest token. States and
-steps are made when first met, and made anew once there are too many.
+alone. So every prefix of a text has one last token, and a text can be read byte by byte: a thread is a place up to
+which the text may be encoded, with the node of the vocabulary's trie for the bytes since then. All live threads together
+are a state of the transducer, and a step tells the next state and the token that ends at this byte. Which of these
+tokens stand is settled where the live threads' paths back meet: never further back than the longest tokens reach.
+States and steps are made when first met, and made anew once there are too many.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
-STEPS_MOST = 700_000
-PIECES_MOST = 300_000
-FEW = 12
+STEPS_MOST = 400_000
+PAIRS_MOST = 200_000
+PIECES_MOST = 200_000
+SETTLE = 4_096  # bytes of a piece after which settled tokens are given out
+FEW = 32
 PIECE_BYTES = 64  # longer pieces are not remembered
 BLOCK = 1 << 18
 _CUT = re.compile(r"[A-Za-z](?= [A-Za-z])")  # no piece holds a space between two letters: a safe place to cut
@@ -50,38 +53,47 @@ def merged(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[int]:
 
 
 class State(dict):
-    """byte -> (next state, tokens emitted); ``threads`` is what the state stands for."""
+    """byte -> (next state, token that ends here); ``threads`` is what the state stands for."""
 
     __slots__ = ("threads",)
 
 
 class Transducer:
-    """Pieces to token ids. A thread is (tokens not yet emitted, last token, trie node)."""
+    """Pieces to token ids.
+
+    A thread is (trie node, what may follow): the last token while much may follow; once few tokens lie beyond the
+    node, those of them that fit after the last token, so that threads with the same future are the same.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         self.nodes: dict[int, int] = {}  # node << 8 | byte -> node
         self.token_at: dict[int, int] = {}
+        self.depth = [0]
         self.children: dict[int, list[int]] = {}
-        self.under: dict[int, list[int] | None] = {}
-        self.alive: dict[int, bool] = {}
+        self.under: dict[int, tuple[int, ...] | None] = {}
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
             node = 0
             for byte in token:
-                if node << 8 | byte not in self.nodes:
+                key = node << 8 | byte
+                if key not in self.nodes:
                     self.children.setdefault(node, []).append(byte)
-                node = self.nodes.setdefault(node << 8 | byte, len(self.nodes) + 1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.nodes[key] = len(self.nodes) + 1
+                node = self.nodes[key]
             self.token_at[node] = rank
+        self.sizes = list(map(len, self.bytes_of))
         self.sound: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
+        self.fitting: dict[int, tuple[int, ...]] = {}
         self.spines: tuple[dict, dict] = {}, {}
         self.restart()
 
     def restart(self) -> None:
         self.made, self.states = 0, {}
-        self.first = self._state((((), -1, 0),))
+        self.first = self._state(((0, -1),))
 
     def _state(self, threads: tuple) -> State:
         state = self.states.get(threads)
@@ -133,69 +145,91 @@ class Transducer:
                 i += 1
             else:
                 j += 1
-        if len(self.fits) >= STEPS_MOST:
+        if len(self.fits) >= PAIRS_MOST:
             self.fits.clear()
         self.fits[key] = found
         return found
 
-    def _below(self, node: int) -> list[int] | None:
+    def _below(self, node: int) -> tuple[int, ...] | None:
         """Tokens that go on from a node; None if there are many."""
         if node not in self.under:
             found, open_nodes = [], [node]
             while open_nodes and len(found) <= FEW:
                 at = open_nodes.pop()
-                for byte in self.children[at]:
+                for byte in self.children.get(at, ()):
                     child = self.nodes[at << 8 | byte]
                     if child in self.token_at:
                         found.append(self.token_at[child])
-                    if child in self.children:
-                        open_nodes.append(child)
-            self.under[node] = None if len(found) > FEW else found
+                    open_nodes.append(child)
+            self.under[node] = None if len(found) > FEW else tuple(sorted(found))
         return self.under[node]
 
-    def _lives(self, last: int, node: int) -> bool:
-        """Can some token beyond this node still follow? Threads that cannot end are left out of the states."""
+    def _beyond(self, last: int, node: int) -> tuple[int, ...] | None:
+        """Tokens beyond a node that fit after ``last``; None if many lie there."""
+        below = self._below(node)
+        if not below:
+            return below
         key = last << 32 | node
-        found = self.alive.get(key)
+        found = self.fitting.get(key)
         if found is None:
-            below = self._below(node)
-            found = below is None or any(self._follows(last, token) for token in below)
-            if len(self.alive) >= STEPS_MOST:
-                self.alive.clear()
-            self.alive[key] = found
+            if len(self.fitting) >= PAIRS_MOST:
+                self.fitting.clear()
+            found = self.fitting[key] = tuple(t for t in below if self._follows(last, t))
         return found
 
-    def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        threads, ended, nodes, token_at, children = [], None, self.nodes, self.token_at, self.children
-        for waiting, last, node in state.threads:
+    def _step(self, state: State, byte: int) -> tuple[State, int]:
+        threads, ended, nodes, token_at = [], None, self.nodes, self.token_at
+        for node, follow in state.threads:
             node = nodes.get(node << 8 | byte)
             if node is None:
                 continue
-            if ended is None and node in token_at and self._follows(last, token_at[node]):
-                ended = (*waiting, token_at[node]), token_at[node], 0
-            if node in children and self._lives(last, node):
-                threads.append((waiting, last, node))
-        threads.append(ended)
-        out = ()
-        if threads[0][0]:
-            sure, waits = 0, [w for w, _, _ in threads]
-            least = min(map(len, waits))
-            while sure < least and all(w[sure] == waits[0][sure] for w in waits):
-                sure += 1
-            if sure:
-                out = ended[0][:sure]
-                threads = [(w[sure:], last, node) for w, last, node in threads]
-        step = state[byte] = self._state(tuple(threads)), out
+            token = token_at.get(node)
+            if type(follow) is int:
+                if ended is None and token is not None and self._follows(follow, token):
+                    ended = token
+                beyond = self._beyond(follow, node)
+                if beyond is None:
+                    threads.append((node, follow))
+                elif beyond:
+                    threads.append((node, beyond))
+            else:
+                if token in follow:
+                    ended = token
+                below = self._below(node)
+                beyond = tuple(t for t in follow if t in below)
+                if beyond:
+                    threads.append((node, beyond))
+        threads.append((0, ended))
+        step = state[byte] = self._state(tuple(threads)), ended
         self.made += 1
         return step
 
+    def _settled(self, state: State, ends: list[int]) -> int:
+        """How much of a piece is settled: where the paths back from all live threads meet."""
+        starts = {len(ends) - self.depth[node] for node, _ in state.threads}
+        while len(starts) > 1:
+            latest = max(starts)
+            starts.remove(latest)
+            starts.add(latest - self.sizes[ends[latest - 1]])
+        return starts.pop()
+
+    def _path(self, ends: list[int], end: int) -> list[int]:
+        """The tokens up to ``end``, from the token that ends at each byte."""
+        out, sizes = [], self.sizes
+        while end:
+            token = ends[end - 1]
+            out.append(token)
+            end -= sizes[token]
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         if self.made >= STEPS_MOST:
             self.restart()
-        state, out = self.first, []
+        state, ends, out = self.first, [], []
         for byte in piece:
             step = state.get(byte)
             if step is None:
@@ -204,11 +238,13 @@ class Transducer:
                     self.restart()
                     state = self._state(threads)
                 step = self._step(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        out += state.threads[-1][0]
-        return out
+            state, token = step
+            ends.append(token)
+            if len(ends) >= SETTLE:
+                done = self._settled(state, ends)
+                out += self._path(ends, done)
+                del ends[:done]
+        return out + self._path(ends, len(ends))
 
 
 class Pieces(dict):
