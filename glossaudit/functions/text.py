@@ -21,10 +21,6 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | (strip(text) == "")
-
-
 def normalize_text(text: Column) -> Column:
     """Replace typographic quotes, dashes, ellipsis and no-break space by ASCII."""
     singles = SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + NO_BREAK_SPACE

@@ -2,18 +2,6 @@
 
 from pyspark.sql import types as T
 
-PAGES = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("status", T.IntegerType()),
-    T.StructField("html", T.StringType()),
-])
-
-SITEMAPS = T.StructType([
-    T.StructField("sitemap_url", T.StringType()),
-    T.StructField("xml", T.StringType()),
-])
-
 IGNORE_PHRASES = T.StructType([T.StructField("phrase", T.StringType())])
 
 ISSUES = T.StructType([
