@@ -16,8 +16,16 @@ INSIDE_LINES = set("""span a strong em b i small mark del ins sub sup code abbr
 NEVER = {"script", "style", "nav", "header", "footer"}
 
 
+# Start tags that end an open element whose end tag may be left out, and where to stop looking for it.
+ENDS_P = set("""address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+    header hgroup hr main menu nav ol p pre search section table ul""".split())
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+        "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}),
+        "option": ({"option"}, {"select"})}
+
+
 class Tree(HTMLParser):
-    """Elements of a well-formed page: [tag, attributes, children, parent]; a child is an element or a string."""
+    """Elements of a page that only leaves out end tags where it may: [tag, attributes, children, parent]; a child is an element or a string."""
 
     def __init__(self, html):
         super().__init__(convert_charrefs=True)
@@ -26,7 +34,18 @@ class Tree(HTMLParser):
         self.feed(html)
         self.close()
 
+    def leave(self, tags, stops):
+        node, last = self.top, None
+        while node[3] is not None and node[0] not in stops:
+            last = node if node[0] in tags else last
+            node = node[3]
+        self.top = last[3] if last is not None else self.top
+
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_P:
+            self.leave({"p"}, {"button", "table", "td", "th", "caption"})
+        if tag in ENDS:
+            self.leave(*ENDS[tag])
         node = [tag, dict(attrs), [], self.top]
         self.top[2].append(node)
         self.elements.append(node)
