@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -80,27 +80,40 @@ def source_targets(per_source: pd.DataFrame) -> pd.DataFrame:
     return table
 
 
-def _mixed(documents: DataFrame, seed: int, shards: int, *carry: str) -> DataFrame:
-    """What :func:`mix_sources` returns, and the column carry[i] as carried_i, so no names clash."""
-    spark, stages = documents.sparkSession, Stages(documents.sparkSession, "mixing")
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{SPACES}]+"))
-    sized = stages.keep(documents.select(
-        "doc_id", F.col("source").alias("m_source"), words.cast("long").alias("size"),
-        *(documents[c].alias(f"carried_{i}") for i, c in enumerate(carry))), "sized")
+def _words() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{SPACES}]+")).cast("long")
+
+
+def _rank(source: Column) -> Column:
+    """Sorts as the code points do, null last."""
+    return F.coalesce(F.concat(F.lit("0"), F.hex(F.encode(source, "UTF-8"))), F.lit("1"))
+
+
+def _place(doc_id: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id).bitwiseAND((1 << 53) - 1)
+
+
+def _block(place: Column, blocks: Column) -> Column:
+    """By the top bits of the hash, so that blocks follow each other as the places do."""
+    return F.floor(place / F.lit(float(1 << 53)) * blocks)
+
+
+def _decided(sized: DataFrame, seed: int, shards: int, stages: Stages) -> DataFrame:
+    """(rank, block, source_size, target, passes, whole, last, homes): what the mix takes of each block.
+
+    ``sized``: doc_id, m_source, size; a written table.
+    """
+    spark = sized.sparkSession
     totals = sized.groupBy("m_source").agg(F.sum("size").alias("source_size"))
-    totals = stages.keep(totals.select("m_source", "source_size", F.coalesce(
-        F.concat(F.lit("0"), F.hex(F.encode("m_source", "UTF-8"))), F.lit("1")).alias("rank")), "totals")
+    totals = stages.keep(totals.select("m_source", "source_size", _rank(F.col("m_source")).alias("rank")), "totals")
     plan = source_targets(totals.toPandas())
     schema = "rank string, source_size long, target double, passes long, part double, blocks long"
     per_source = spark.createDataFrame(plan[schema.replace(" string", "").replace(" long", "").replace(
         " double", "").split(", ")], schema) if len(plan) else spark.createDataFrame([], schema)
 
-    rank = F.coalesce(F.concat(F.lit("0"), F.hex(F.encode("m_source", "UTF-8"))), F.lit("1"))
-    # The top bits of the hash give the block, so that blocks follow each other as the hashes do.
-    placed = sized.withColumns({"rank": rank, "place": F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << 53) - 1)})
-    placed = placed.join(broadcast_if_small(per_source, 200), "rank").withColumn(
-        "block", F.floor(F.col("place") / F.lit(float(1 << 53)) * F.col("blocks")))
-    placed = stages.keep(placed, "placed")
+    placed = sized.withColumns({"rank": _rank(F.col("m_source")), "place": _place(F.col("doc_id"), seed)})
+    placed = placed.join(broadcast_if_small(per_source, 200), "rank").withColumn("block", _block(F.col("place"), F.col("blocks")))
+    placed = stages.keep(placed.select("rank", "place", "block", "part", "size"), "placed")
 
     sums = placed.groupBy("rank", "block").agg(F.sum("size").alias("words"))  # BLOCKS_MOST rows a source at most
     order = Window.partitionBy("rank").orderBy("block")
@@ -130,19 +143,24 @@ def _mixed(documents: DataFrame, seed: int, shards: int, *carry: str) -> DataFra
     shard = F.size(F.filter("ends", lambda e: e < F.col("nth")))
     homes = dealt.join(broadcast_if_small(ends, 1000), "rank").groupBy("rank", "block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", shard.alias("shard")))), lambda x: x.shard).alias("homes"))
-    chosen = stages.keep(blocks.select("rank", "block", "whole").join(last, ["rank", "block"], "left")
-                         .join(homes, ["rank", "block"], "left"), "chosen")
+    chosen = blocks.select("rank", "block", "whole").join(last, ["rank", "block"], "left").join(homes, ["rank", "block"], "left")
+    return stages.keep(chosen.join(per_source.select("rank", "blocks", "source_size", "target", "passes"), "rank"), "chosen")
 
-    result = placed.join(broadcast_if_small(chosen, 200), ["rank", "block"])
+
+def _apply(rows: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (with doc_id and m_source) and what is taken of each: a look-up in small tables, nothing is moved."""
+    per_source = broadcast_if_small(chosen.select("rank", "blocks").distinct(), 100)
+    placed = rows.withColumns({"rank": _rank(F.col("m_source")), "place": _place(F.col("doc_id"), seed)}).join(
+        per_source, "rank").withColumn("block", _block(F.col("place"), F.col("blocks")))
+    result = placed.join(broadcast_if_small(chosen.drop("blocks"), 300), ["rank", "block"])
     more = F.col("whole") | F.coalesce(F.col("place") <= F.col("last"), F.lit(False))
     passes = F.least(F.col("passes") + F.when(more, 1).otherwise(0), F.lit(CAP))
     result = result.withColumn("passes", F.when(F.col("source_size") > 0, passes).otherwise(0).cast("long"))
-    return result.withColumns({
-        "taken": F.col("size") * F.col("passes"),
-        "shards": F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), F.col("passes").cast("int"))})
+    return result.withColumn("shards", F.slice(
+        F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), F.col("passes").cast("int")))
 
 
-def mix_sources(documents: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
+def mix_sources(documents: DataFrame, seed: int = 7, shards: int = SHARDS, stages: Stages | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, passes, shards, place.
 
     ``passes`` counts how often the mix takes the document, ``shards`` (array) holds the output shard of each time,
@@ -152,11 +170,17 @@ def mix_sources(documents: DataFrame, seed: int = 7, shards: int = SHARDS) -> Da
     are in or out. An empty table gives no rows. The table with a row for each source passes through the driver. Runs
     its steps when called.
     """
-    return _mixed(documents, seed, shards).select(
-        "doc_id", "size", "source_size", "target", "taken", "passes", "shards", "place")
-
-
-def take_mix(documents: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
-    """The rows of ``documents``, each as often as the mix takes it, with all their columns."""
-    taken = _mixed(documents, seed, shards, *documents.columns).withColumn("shard", F.explode("shards"))
+    stages = stages or Stages(documents.sparkSession, "mixing")
+    sized = stages.keep(documents.select("doc_id", F.col("source").alias("m_source"), _words().alias("size")), "sized")
+    return _apply(sized, _decided(sized, seed, shards, stages), seed).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", "shards", "place")
+
+
+def take_mix(documents: DataFrame, seed: int = 7, shards: int = SHARDS, stages: Stages | None = None) -> DataFrame:
+    """The rows of ``documents``, each as often as :func:`mix_sources` takes it, with all their columns."""
+    stages = stages or Stages(documents.sparkSession, "mixing")
+    sized = stages.keep(documents.select("doc_id", F.col("source").alias("m_source"), _words().alias("size")), "sized")
+    rows = documents.select("doc_id", F.col("source").alias("m_source"), *(
+        documents[c].alias(f"carried_{i}") for i, c in enumerate(documents.columns)))
+    taken = _apply(rows, _decided(sized, seed, shards, stages), seed).withColumn("shard", F.explode("shards"))
     return taken.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(documents.columns)))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glossaudit.llm.components import components
 from glossaudit.llm.stages import Stages
 from glossaudit.llm.words import Hasher, mix, word_sets
-from glossaudit.storage import small_enough
+from glossaudit.storage import planned_bytes, small_enough
 
 NUM, DEN = 80, 100
 LIGHT_MOST = 24  # the boundary is looked for up to this size; beyond it subsets always cost more
@@ -51,8 +51,8 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
 
 
 def _bucket_bits(texts: DataFrame) -> int:
-    """Enough buckets for each to hold a few MB of shingles; twice as many for twice the splits."""
-    return max(7, min(16, (2 * texts.rdd.getNumPartitions()).bit_length()))
+    """Enough buckets for each to hold a few MB of shingles; as many more as the table is larger."""
+    return max(7, min(16, (planned_bytes(texts) >> 23).bit_length()))
 
 
 def frequent_shingles(texts: DataFrame, k: int, stages: Stages) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +242,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, stages: Stages) -> Dat
     return stages.keep(whole.where(linked).select("a", "b"), "links")
 
 
-def ngram_join(documents: DataFrame, k: int = 5) -> DataFrame:
+def ngram_join(documents: DataFrame, k: int = 5, stages: Stages | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id.
 
     ``documents`` needs doc_id (long, unique and not null) and text; other columns, whatever their names,
@@ -250,7 +250,7 @@ def ngram_join(documents: DataFrame, k: int = 5) -> DataFrame:
     links. Null, empty and blank texts have 0 shingles and are linked with nothing. Texts with fewer than k words
     have one shingle, the whole sequence. An empty table gives no rows. Runs its steps when called.
     """
-    stages = Stages(documents.sparkSession, "ngram-join")
+    stages = stages or Stages(documents.sparkSession, "ngram-join")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sets = _ordered_sets(texts, k, stages)
     classes = stages.keep(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -289,6 +289,7 @@ def ngram_join(documents: DataFrame, k: int = 5) -> DataFrame:
 
     named = classes.join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
     named = stages.keep(named.withColumn("component_id", F.coalesce("component", "class_id")).drop("component"), "named")
+    stages.drop(*(t for t in stages.paths if t not in ("sets", "named")))
     members = sets.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
                           F.coalesce("component_id", "doc_id").alias("component_id"))

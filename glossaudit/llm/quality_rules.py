@@ -165,9 +165,8 @@ def minimum_covariance(rows: DataFrame, stages: Stages) -> DataFrame:
     return stages.keep(_estimate(_with(measured, scale).where(inside)), "estimate")
 
 
-def _judged(documents: DataFrame, *carry: str) -> DataFrame:
+def _judged(documents: DataFrame, stages: Stages, *carry: str) -> DataFrame:
     """Counts, base_failed, distance and kept; the column carry[i] as carried_i, so no names clash."""
-    stages = Stages(documents.sparkSession, "quality-rules")
     stats = stages.keep(_vector(text_statistics(documents, *(
         documents[c].alias(f"carried_{i}") for i, c in enumerate(carry)))), "stats")
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
@@ -191,7 +190,7 @@ def _judged(documents: DataFrame, *carry: str) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def quality_rules(documents: DataFrame) -> DataFrame:
+def quality_rules(documents: DataFrame, stages: Stages | None = None) -> DataFrame:
     """One row per document: doc_id, counts, base_failed, kept, distance.
 
     ``documents`` needs doc_id, text, lang and source; no other column is read, whatever its name. A null or blank
@@ -200,12 +199,13 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     estimate: their texts that pass the base rules are kept, with a null distance. An empty table gives no rows. Runs
     its steps when called.
     """
-    return _judged(documents).select(
+    return _judged(documents, stages or Stages(documents.sparkSession, "quality-rules")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_upper", "n_punct", "distance")
 
 
-def filter_quality(documents: DataFrame) -> DataFrame:
+def filter_quality(documents: DataFrame, stages: Stages | None = None) -> DataFrame:
     """The rows of ``documents`` that :func:`quality_rules` keeps, with all their columns."""
-    kept = _judged(documents, *documents.columns).where("kept")
+    stages = stages or Stages(documents.sparkSession, "quality-rules")
+    kept = _judged(documents, stages, *documents.columns).where("kept")
     return kept.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(documents.columns)))

@@ -10,19 +10,24 @@ from test_bpe import library
 DATA = "/root/testdata/sf0.001"
 
 
-def test_each_stage_takes_effect_on_what_its_predecessor_kept(spark):
+def written(df, folder, name):
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
+def test_each_stage_takes_effect_on_what_its_predecessor_kept(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, known = docs.columns, library()
-    good = pipeline.quality_stage(spark, docs, DATA).cache()
+    good = written(pipeline.quality_stage(spark, docs, DATA), tmp_path, "quality")
     kept = {r.doc_id for r in quality_rules(docs).where("kept").collect()}
     assert good.columns == columns and {r.doc_id for r in good.collect()} == kept
-    single = pipeline.near_duplicates_stage(spark, good, DATA).cache()
+    single = written(pipeline.near_duplicates_stage(spark, good, DATA), tmp_path, "near_duplicates")
     assert {r.doc_id for r in single.collect()} == {r.component_id for r in ngram_join(good).collect()}
-    clean = pipeline.pii_stage(spark, single, DATA).cache()
+    clean = written(pipeline.pii_stage(spark, single, DATA), tmp_path, "pii")
     texts = {r.doc_id: r.text for r in single.collect()}
     for r in clean.collect():
         assert r.text == pii.redacted(texts[r.doc_id], pii.find_spans(texts[r.doc_id])[1]) and r.n_chars == len(r.text)
-    mixed = pipeline.mixing_stage(spark, clean, DATA).cache()
+    mixed = written(pipeline.mixing_stage(spark, clean, DATA), tmp_path, "mixing")
     passes = {r.doc_id: r.passes for r in mixing.mix_sources(clean).collect()}
     assert mixed.columns == columns and mixed.count() == sum(passes.values())
     tokens = pipeline.encoding_stage(spark, mixed, DATA).collect()
