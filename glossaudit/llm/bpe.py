@@ -15,9 +15,11 @@ import hashlib
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -308,6 +310,13 @@ def blocks(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Small slices of the batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def encode_text(text: str, pattern, pieces: Pieces) -> Iterator[tuple[list, str]]:
     """(ids, ids as text joined by a space) of each block that has any."""
     for block in blocks(text):
@@ -324,10 +333,14 @@ def bpe_encode(documents: DataFrame, path: str | None = None, pattern: str = pub
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, compiled = kept_pieces(path or public_tokenizers.path(RANKS)), regex.compile(pattern)
-        for batch in batches:
-            tokens = [[i for ids, _ in encode_text(t or "", compiled, pieces) for i in chain.from_iterable(ids)]
-                      for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "tokens": pa.array(tokens, pa.list_(pa.int32()))})
+        for batch in parts_of(batches):
+            ids, ends = array("i"), [0]
+            for text in batch.column(1).to_pylist():
+                for groups, _ in encode_text(text or "", compiled, pieces):
+                    ids.extend(chain.from_iterable(groups))
+                ends.append(len(ids))
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "tokens": tokens})
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, tokens array<int>")
@@ -342,7 +355,7 @@ def bpe_round_trip(documents: DataFrame, path: str | None = None, pattern: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, compiled = kept_pieces(path or public_tokenizers.path(RANKS)), regex.compile(pattern)
         token_bytes = pieces.transducer.bytes_of
-        for batch in batches:
+        for batch in parts_of(batches):
             counts, encoded, decoded, chars = [], [], [], []
             for text in batch.column(1).to_pylist():
                 n, letters, ids_hash, bytes_hash, stream, joint = 0, 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream(), ""
