@@ -79,8 +79,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def _latent(table: pa.Table) -> pa.Table:
     """Weights, projection, vectors and labels, as bytes, from the sample of labelled texts."""
     table = table.sort_by("doc_id")
-    hashers = Hasher(), Hasher(lower=False)
-    counts = np.concatenate(list(shape_counts(*hashers, table.column("text"))))
+    counts = np.stack([np.frombuffer(c, np.float32) for c in table.column("counts").to_pylist()])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
     x = weighted(counts, idf)
     generator = np.random.Generator(np.random.PCG64(3))
@@ -99,16 +98,30 @@ def _latent(table: pa.Table) -> pa.Table:
                      "labels": pa.array([labels.tobytes()], pa.binary())})
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The feature counts of each text as bytes: of one size, however long the text is."""
+    hashers = Hasher(), Hasher(lower=False)
+    for batch in batches:
+        row = 0
+        for counts in shape_counts(*hashers, batch.column("text")):
+            part = batch.slice(row, len(counts))
+            row += len(counts)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": part.column("doc_id"), "label": part.column("label"),
+                "counts": pa.array([c.tobytes() for c in counts], pa.binary())})
+
+
 Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def train_quality(documents: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
     """The model from at most ``sample`` rows of ``labels`` for which ``learn`` holds; None without any.
 
-    The sample is of bounded size, so one task fits it; every other text is read by :func:`score_quality`.
+    The sample is of bounded size (16 KB for each text), so one task fits it; every other text is read by :func:`score_quality`.
     """
-    texts = labelled_sample(documents, labels, "quality", learn, sample).withColumn("all", F.lit(1))
-    rows = texts.groupBy("all").applyInArrow(_latent, "idf binary, basis binary, vectors binary, labels binary").collect()
+    counted = labelled_sample(documents, labels, "quality", learn, sample).select(
+        F.col("doc_id").cast("long"), "label", "text").mapInArrow(_counted, "doc_id long, label int, counts binary")
+    rows = counted.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(_latent, "idf binary, basis binary, vectors binary, labels binary").collect()
     if not rows:
         return None
     idf, basis, vectors, known = (np.frombuffer(rows[0][c], np.float32) for c in ("idf", "basis", "vectors", "labels"))

@@ -75,13 +75,21 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, sampl
 
     Without labelled rows all weights are 0. The driver gets the weights that are not 0: fewer than 2 ** BITS.
     """
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(separators=SEPARATORS)
+        for batch in batches:
+            own = []
+            for found, rows, n in features(hasher, batch.column("text")):
+                order = np.argsort(rows, kind="stable")
+                cuts = np.searchsorted(rows[order], np.arange(n + 1))
+                own += [np.unique(found[order[a:b]]).astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "label": batch.column("label"), "own": pa.array(own, pa.binary())})
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
-        label, hasher, examples = table.column("label").to_pylist(), Hasher(separators=SEPARATORS), []
-        for found, rows, n in features(hasher, table.column("text")):
-            order = np.argsort(rows, kind="stable")
-            cuts = np.searchsorted(rows[order], np.arange(n + 1))
-            examples += [np.unique(found[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        label = table.column("label").to_pylist()
+        examples = [np.frombuffer(x, np.int32) for x in table.column("own").to_pylist()]
         weights, bias = ftrl(list(zip(examples, label)))
         at = np.flatnonzero(weights)
         return pa.table({"feature": pa.array(np.append(at, -1), pa.int64()),
@@ -89,8 +97,9 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, sampl
 
     stages = Stages(documents.sparkSession, "toxicity")
     shards = max(1, math.ceil(min(sample, labels.where(learn).count()) / ROWS_IN_SHARD))
-    texts = labelled_sample(documents, labels, "toxic", learn, sample)
-    learnt = texts.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards))).groupBy("shard")
+    texts = labelled_sample(documents, labels, "toxic", learn, sample).select(F.col("doc_id").cast("long"), "label", "text")
+    found = texts.mapInArrow(distinct, "doc_id long, label int, own binary")
+    learnt = found.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards))).groupBy("shard")
     learnt = stages.keep(learnt.applyInArrow(run, "feature long, weight double"), "weights")
     models = max(1, learnt.where("feature = -1").count())
     found = learnt.groupBy("feature").agg((F.sum("weight") / models).alias("weight")).toArrow()
