@@ -81,13 +81,12 @@ def _purities(templates: DataFrame, stages: Stages) -> DataFrame:
         return F.aggregate(template, F.array().cast("array<long>"), lambda done, s: F.concat(
             done, F.array(F.xxhash64(F.col("host"), F.get(done, F.size(done) - 1), s))))
 
-    total = templates.groupBy(F.lit(1).alias("one")).agg(F.sum("blocked").alias("tb"), F.sum("known").alias("tk"))
+    total = templates.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("known"), F.lit(0)).alias("k")).first()
     hosts = templates.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("known").alias("hk"))
-    hosts = hosts.withColumns({"site": _site(F.col("host")), "one": F.lit(1)})
+    hosts = hosts.withColumn("site", _site(F.col("host")))
     sites = hosts.groupBy("site").agg(F.sum("hb").alias("sb"), F.sum("hk").alias("sk"))
-    of_all = (F.col("tb") + 1) / (F.col("tk") + 2)
-    of_site = _smoothed(F.col("sb"), F.col("sk"), of_all)
-    hosts = hosts.join(sites, "site").join(total, "one").select(
+    of_site = _smoothed(F.col("sb"), F.col("sk"), F.lit((total["b"] + 1) / (total["k"] + 2)))
+    hosts = hosts.join(sites, "site").select(
         "host", _smoothed(F.col("hb"), F.col("hk"), of_site).alias("host_purity"))
     steps = templates.select("host", "template", F.posexplode(keys(F.col("template"))).alias("depth", "key"), "blocked", "known")
     steps = stages.keep(steps, "steps")
