@@ -156,6 +156,11 @@ def csv_safe(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select("cell", text.csv_safe(F.col("cell")).alias("safe"), "n")
 
 
+def blank_guard(spark: SparkSession, sf: str) -> DataFrame:
+    counted = inputs.document_lines(spark, sf).groupBy("value").agg(F.count("*").alias("n"))
+    return counted.select("value", "n", text.is_blank(F.col("value")).alias("blank"))
+
+
 def clean_label(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.concat(F.lit("__label__"), "lang", F.lit("_"), "source")
     return _documents(spark, sf).select("doc_id", text.clean_label(raw).alias("label"))
@@ -387,6 +392,7 @@ def queries() -> dict[str, Query]:
         "incremental_audit": incremental_audit,
         "usable_pages_by_status": usable_pages_by_status,
         "usable_pages_strict": usable_pages_strict,
+        "blank_guard": blank_guard,
         "clean_label": clean_label,
         "timestamp_name": timestamp_name,
         "is_remote": is_remote,

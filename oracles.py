@@ -434,6 +434,8 @@ def oracle_statements(params: dict) -> dict[str, str]:
             ELSE cell END AS safe, n FROM (SELECT cell, count(*) AS n FROM (
                 SELECT unnest(regexp_split_to_array(text, ' ')) AS cell FROM documents
                 UNION ALL SELECT unnest(regexp_split_to_array(text, '(?i)[a-z0-9]+')) FROM conversations) GROUP BY cell)""",
+        "blank_guard": statement([LINES], f"""SELECT line AS value, count(*) AS n, {stripped('line')} = '' AS blank
+            FROM lines GROUP BY line"""),
         "clean_label": "SELECT doc_id, regexp_extract(lang, '^[^_]*') AS label FROM documents",
         "timestamp_name": "SELECT event_id, strftime(ts, '%Y-%m-%d_%H%M%S') AS name FROM events",
         "is_remote": "SELECT page_id, url[1:7] = 'http://' OR url[1:8] = 'https://' AS remote, false AS local_remote FROM pages",
