@@ -1,17 +1,20 @@
-"""Substring dedup by content-defined chunks: cut where a gear rolling hash says so, compare chunks by digest.
+"""Substring dedup by winnowed byte grams: compare the least grams of each window by digest, then extend to the true ends.
 
-The gear hash of the last 32 bytes decides the cuts, so equal passages are cut alike a few bytes after they begin,
-whatever was inserted before them. Chunks with equal digests are copies; the one of the smallest document and place
-is the original. Copies that touch form a span.
+The least of each ``WINDOW`` consecutive grams of ``GRAM`` bytes is taken, so two texts that share ``SPAN_BYTES`` bytes
+share a taken gram, whatever stands around them, and the taken grams of a passage touch. Grams with equal digests are
+copies; the one of the smallest document and place is the original. Copies that touch form a run. Where a run ends, the
+bytes next to it are compared with those of the other places, and the run grows by what they have in common.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,7 +23,10 @@ from glossaudit.llm.words import Hasher, mix
 
 SHORTEST, LONGEST = 24, 192  # bytes of a chunk, but for the last of a text
 MASK = np.uint32(0x1F << 20)  # five high bits of the hash: a cut every 32 bytes on average
-SPAN_BYTES = 160  # shorter runs of copied chunks are common phrases, not passages
+GRAM, WINDOW = 51, 51  # bytes of a gram, grams of a window: neighbouring grams that are taken touch
+SPAN_BYTES = GRAM + WINDOW - 1  # 101: the bytes of 51 words of one letter, so passages of over 50 words always reach it
+AROUND = WINDOW - 1  # bytes of a passage before its first taken gram, or after its last one, at most
+CHANCE = 8  # among many copies some go on alike by chance: fewer bytes more than most of them share do not count
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -50,57 +56,198 @@ def chunk_ends(data: np.ndarray) -> list[int]:
     return ends
 
 
-def _chunks(texts: DataFrame) -> DataFrame:
-    """(doc_id, start, end, d1, d2) of each chunk, in bytes."""
+def _least(values: np.ndarray, best: np.ufunc) -> np.ndarray:
+    """The best of each WINDOW consecutive values."""
+    step = 1
+    while 2 * step <= WINDOW:
+        values, step = best(values[:-step], values[step:]), 2 * step
+    rest = WINDOW - step
+    return best(values[:-rest], values[rest:]) if rest else values
+
+
+def taken(hashed: np.ndarray) -> np.ndarray:
+    """Places of the least of each WINDOW grams; of equal ones in a row only as many as keep touching."""
+    if len(hashed) < WINDOW:
+        return np.zeros(0, np.int64)
+    least = _least(hashed, np.minimum)
+    edge = np.zeros(WINDOW - 1, hashed.dtype)
+    places = np.flatnonzero(_least(np.concatenate([edge, least, edge]), np.maximum) == hashed)
+    own = hashed[places]
+    if (own[1:] != own[:-1]).all():
+        return places
+    kept, places = [], places.tolist()
+    for i, p in enumerate(places):
+        tied = kept and i + 1 < len(places) and hashed[kept[-1]] == hashed[p] == hashed[places[i + 1]]
+        if not tied or places[i + 1] - kept[-1] > WINDOW:
+            kept.append(p)
+    return np.array(kept)
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """(row, doc_id, start, nth, digest) of each gram that is taken; ``nth`` counts within the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Hasher(lower=False, separators=b""), Hasher(lower=False, separators=b"")
         two.values = mix(two.values ^ np.uint64(0x5851F42D4C957F2D))
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, end, data, offsets in one.blocks(batch.column(1)):
-                docs, starts, ends = [], [], []
-                for i in range(end - row):
-                    a, b = offsets[i], offsets[i + 1]
-                    if b > a:
-                        own = chunk_ends(data[a:b])
-                        starts.append(np.array([0, *own[:-1]]) + a)
-                        ends.append(np.array(own) + a)
-                        docs.append(np.full(len(own), i))
-                if docs:
-                    s, e, d = np.concatenate(starts), np.concatenate(ends), np.concatenate(docs)
-                    one.words(data, offsets)
-                    two.words(data, offsets)
+            rows, ids = batch.column(0), batch.column(1)
+            for row, end, data, offsets in one.blocks(batch.column(2)):
+                if len(data) < SPAN_BYTES:
+                    continue
+                one.words(data, offsets)
+                two.words(data, offsets)
+                all_starts = np.arange(len(data) - GRAM + 1)
+                hashed = one.stems(all_starts, all_starts + GRAM)
+                places = [taken(hashed[a:max(a, b - GRAM + 1)]) for a, b in zip(offsets[:-1], offsets[1:])]
+                sizes = [len(p) for p in places]
+                s, d = np.concatenate(places).astype(np.int64), np.repeat(np.arange(end - row), sizes)
+                if len(s):
+                    at = s + offsets[d]
+                    nth = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(ids[row + d], pa.int64()), "start": pa.array(s - offsets[d], pa.int64()),
-                        "end": pa.array(e - offsets[d], pa.int64()),
-                        "d1": pa.array(one.stems(s, e).view(np.int64)), "d2": pa.array(two.stems(s, e).view(np.int64))})
+                        "row": rows.take(pa.array(row + d)), "doc_id": ids.take(pa.array(row + d)),
+                        "place": pa.array(s << 31 | nth, pa.int64()),
+                        "digest": pa.array(two.stems(at, at + GRAM).view(np.int64))})
 
-    return texts.mapInArrow(run, "doc_id long, start long, end long, d1 long, d2 long")
+    return texts.mapInArrow(run, "row long, doc_id long, place long, digest long")
+
+
+def _surroundings(asked: DataFrame) -> DataFrame:
+    """``asked`` (row, text, places) as two rows per place: the bytes next to the gram, read away from it.
+
+    ``side`` is -1 before the gram (reversed) and 1 after it. ``cut`` is the number of the gram's bytes on that side that
+    belong to a character which is not whole in it; ``ends`` has a bit for each number of ``bytes`` that ends between characters.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+                data, out = text.encode(), []
+                inside = np.ones(len(data) + 1, bool)  # a character's first byte, or the end
+                inside[:-1] = np.frombuffer(data, np.uint8) & 0xC0 != 0x80
+                for p in places:
+                    a, b = p["start"], p["start"] + GRAM
+                    low, high = max(0, a - AROUND), b + AROUND
+                    for side, near, ends, own in ((-1, data[low:a][::-1], inside[low:a + 1][::-1], inside[a:a + 4]),
+                                                  (1, data[b:high], inside[b:high + 1], inside[b - 3:b + 1][::-1])):
+                        bits = int.from_bytes(np.packbits(ends, bitorder="little").tobytes(), "little")
+                        out.append((row, p["start"], p["digest"], p["kept"], side, p["opens"] if side < 0 else p["closes"],
+                                    near, bits, int(own.argmax())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    schema = "row long, start long, digest long, kept boolean, side int, edge boolean, bytes binary, ends long, cut int"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]]
+             for c in schema.split(", ")]
+    return asked.mapInArrow(run, schema)
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Number of equal bytes at the start of two binary values; 0 if one is null."""
+    @F.pandas_udf("int")
+    def count(one: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([0 if x is None or y is None else len(os.path.commonprefix([bytes(x), bytes(y)]))
+                          for x, y in zip(one, other)], dtype="int32")
+
+    return count(a, b)
+
+
+def _between_characters(more: Column) -> Column:
+    """The number of bytes that end between characters, ``more`` at most; below 0 if the gram's own are not whole."""
+    @F.pandas_udf("long")
+    def whole(m: pd.Series, ends: pd.Series, cut: pd.Series) -> pd.Series:
+        reached = [e & ((2 << n) - 1) for n, e in zip(m.tolist(), ends.tolist())]
+        return pd.Series([r.bit_length() - 1 if r else -c for r, c in zip(reached, cut.tolist())], dtype="int64")
+
+    return whole(more, F.col("ends"), F.col("cut"))
+
+
+def _grown(around: DataFrame) -> DataFrame:
+    """(row, start, side, more): by how many bytes a run grows beyond its last gram on each side.
+
+    What most places share with the original counts, or what any two share if it is ``CHANCE`` bytes longer. Among sorted
+    values neighbours have most in common. Equal values count as one, and only those that begin alike are sorted
+    together, so no gram has to be sorted by one task as a whole.
+    """
+    key = ["digest", "side", "bytes"]
+    begin = F.substring("bytes", 1, CHANCE)
+    values = around.groupBy(key).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("digest", "side", begin).orderBy("bytes")
+    values = values.withColumns({"low": F.lag("bytes").over(by), "high": F.lead("bytes").over(by)}).withColumn(
+        "most", F.when(F.col("n") > 1, F.length("bytes")).otherwise(F.greatest(
+            _shared(F.col("bytes"), F.col("low")), _shared(F.col("bytes"), F.col("high"))))).select(*key, "most")
+    original = around.where("kept").select("digest", "side", F.col("bytes").alias("first"))
+    shared = around.join(original, ["digest", "side"]).withColumn("same", _shared(F.col("bytes"), F.col("first")))
+    usual = shared.where("NOT kept").groupBy("digest", "side").agg(F.percentile_approx("same", 0.5, 1000).alias("usual"))
+    grown = shared.where("edge").join(usual, ["digest", "side"]).join(values, key).withColumn(
+        "more", F.when(F.col("kept"), F.col("usual")).otherwise(F.least("same", "usual")))
+    grown = grown.withColumn("more", F.when(F.col("most") - F.col("more") >= CHANCE, F.col("most")).otherwise(F.col("more")))
+    return grown.select("row", "start", "side", _between_characters(F.col("more")).alias("more"))
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """One row per passage found elsewhere too: doc_id, start, end (bytes of the UTF-8 text), n_chunks, original, kept.
 
-    ``original`` is the smallest doc_id that holds a chunk, for most of the span's chunks; ``kept`` says that the span is itself the
-    first occurrence. Passages repeated within one text count as well. Reads doc_id and text, whatever else there is.
-    Rows without an id are left out, as no place can be named in them; null and empty texts have no chunks. Rows that
-    repeat an id count as copies of each other. An empty table gives no rows. Runs its steps when called.
+    Every passage of ``SPAN_BYTES`` bytes or more that two places share lies within a run of spans that touch.
+    ``original`` is the smallest doc_id that holds a gram, for most of the span's grams (``n_chunks``); ``kept`` says that
+    the span is itself the first occurrence. Passages repeated within one text count as well. Reads doc_id and text,
+    whatever else there is. Rows without an id count as places of a passage but get no span, as no place can be named in
+    them; null and empty texts have no grams. Rows that repeat an id are texts of their own and count as copies of each
+    other. An empty table gives no rows. Runs its steps when called.
     """
     stages = Stages(documents.sparkSession, "substring-dedup")
-    texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chunks = _chunks(texts)
-    key = ["d1", "d2"]
-    dealt = chunks.repartition(*(F.col(k) for k in key))
-    first = dealt.groupBy(key).agg(F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count("*").alias("n"))
-    copies = dealt.join(first.where("n > 1"), key).select(
-        "doc_id", "start", "end", F.col("first.doc_id").alias("original"),
-        ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))).alias("kept"))
-    copies = stages.keep(copies, "copies")
-    by = Window.partitionBy("doc_id").orderBy("start", "end")
-    breaks = (F.col("start") != F.lag("end").over(by)) | (F.col("kept") != F.lag("kept").over(by))
-    runs = copies.withColumn("run", F.sum(F.when(breaks, 1).otherwise(0)).over(by))
-    spans = runs.groupBy("doc_id", "run", "kept").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"),
-        F.mode("original", deterministic=True).alias("original"))
-    return spans.where(F.col("end") - F.col("start") >= SPAN_BYTES).select(
-        "doc_id", "start", "end", "n_chunks", "original", "kept")
+    texts = stages.keep(documents.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "texts")
+    dealt = _grams(texts).repartition("digest")
+    first = dealt.groupBy("digest").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
+    copies = stages.keep(dealt.join(first.where("n > 1"), "digest").select(
+        "row", "doc_id", F.shiftright("place", 31).alias("start"), F.col("place").bitwiseAND((1 << 31) - 1).alias("nth"), "digest",
+        F.col("first.doc_id").alias("original"),
+        ((F.col("row") == F.col("first.row")) & (F.col("place") == F.col("first.place"))).alias("kept"),
+        F.xxhash64("first.row", F.shiftright("place", 31) - F.shiftright("first.place", 31)).alias("line")), "copies")
+
+    # A piece is a run of grams that lie alike in the original; it grows at both ends.
+    by = Window.partitionBy("row").orderBy("nth")
+    follows = (F.col("nth") == F.lag("nth").over(by) + 1) & (F.col("line") == F.lag("line").over(by))
+    led = (F.col("nth") == F.lead("nth").over(by) - 1) & (F.col("line") == F.lead("line").over(by))
+    marked = copies.withColumns({"opens": ~F.coalesce(follows, F.lit(False)), "closes": ~F.coalesce(led, F.lit(False))})
+    marked = stages.keep(marked.withColumn("piece", F.sum(F.col("opens").cast("int")).over(by)), "marked")
+    ends = marked.where("opens OR closes").select("digest").distinct()
+    asked = marked.join(ends, "digest", "left_semi").groupBy("row").agg(F.collect_list(F.struct(
+        "start", "digest", "kept", "opens", "closes")).alias("places"))
+    around = stages.keep(_surroundings(texts.join(asked, "row").select("row", "text", "places")), "around")
+    grown = stages.keep(_grown(around), "grown")
+
+    named = marked.where("doc_id IS NOT NULL")
+    pieces = named.groupBy("row", "doc_id", "piece", "kept", "original").agg(
+        F.min("start").alias("opened"), F.max("start").alias("closed"), F.count("*").alias("n"))
+    for side, at in ((-1, "opened"), (1, "closed")):
+        pieces = pieces.join(grown.where(F.col("side") == side).select(
+            "row", F.col("start").alias(at), F.col("more").alias(f"more_{at}")), ["row", at])
+    pieces = pieces.withColumns({"start": F.col("opened") - F.col("more_opened"), "end": F.col("closed") + GRAM + F.col("more_closed")})
+
+    # Pieces that touch are a run; of ends that differ by chance the nearer one counts.
+    order = Window.partitionBy("row").orderBy("start", "end", "piece")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    pieces = pieces.withColumn("reach", F.max("end").over(before)).withColumn(
+        "run", F.sum(F.when(F.col("start") > F.col("reach"), 1).otherwise(0)).over(order))
+    run = Window.partitionBy("row", "run")
+    pieces = pieces.withColumns({"low": F.min("start").over(run), "high": F.max("end").over(run)})
+    pieces = pieces.withColumns({
+        "low": F.max(F.when(F.col("start") < F.col("low") + CHANCE, F.col("start"))).over(run),
+        "high": F.min(F.when(F.col("end") > F.col("high") - CHANCE, F.col("end"))).over(run)})
+    pieces = pieces.where(F.col("high") - F.col("low") >= SPAN_BYTES)
+
+    # What is a copy is not kept, also where a first occurrence reaches into it.
+    copied = F.when(~F.col("kept"), F.col("end")), F.when(~F.col("kept"), F.col("start"))
+    pieces = pieces.withColumns({"left": F.max(copied[0]).over(before), "right": F.min(copied[1]).over(after)})
+    pieces = pieces.withColumns({
+        "start": F.greatest("start", "low", F.when(F.col("kept"), F.col("left"))),
+        "end": F.least("end", "high", F.when(F.col("kept"), F.col("right")))}).where("start < end")
+    order = Window.partitionBy("row", "run").orderBy("start", "end", "piece")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    breaks = (F.col("kept") != F.lag("kept").over(order)) | (F.col("start") > reach)
+    pieces = pieces.withColumn("breaks", F.when(breaks, 1).otherwise(0)).withColumn("part", F.sum("breaks").over(order))
+    spans = pieces.groupBy("row", "doc_id", "run", "part", "kept").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_chunks"),
+        F.max(F.struct("n", (-F.col("original")).alias("original"))).alias("usual"))
+    return spans.select("doc_id", "start", "end", "n_chunks", (-F.col("usual.original")).alias("original"), "kept")

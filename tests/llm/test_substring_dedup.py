@@ -40,3 +40,42 @@ def test_chunks_cover_a_text_and_cuts_do_not_shift():
     moved = dedup.chunk_ends(np.concatenate([np.frombuffer(b"some words before ", np.uint8), data]))
     assert len(set(ends) & {e - 18 for e in moved}) > 0.95 * len(ends)
     assert dedup.chunk_ends(data[:0]) == [] and dedup.chunk_ends(data[:5]) == [5]
+
+
+def test_a_passage_of_51_short_words_in_two_texts_is_found_to_its_ends(spark):
+    r = random.Random(31)
+    rows, passages = [], {}
+    for i in range(0, 600, 2):
+        passage = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 1 + i % 8))) for _ in range(51))
+        for j, mark in ((i, "<>"), (i + 1, "[]")):
+            head, tail = (prose(r, r.randint(0, 40)) for _ in range(2))
+            rows.append((j, head + mark[0] + passage + mark[1] + tail))
+            passages[j] = (len((head + mark[0]).encode()), len((head + mark[0] + passage).encode()))
+    got = dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.start, x.end) for x in got} == passages and len(got) == len(passages)
+    assert all(x.kept == (x.doc_id % 2 == 0) and x.original == x.doc_id // 2 * 2 for x in got)
+
+
+def test_a_phrase_in_many_texts_does_not_hide_a_longer_passage(spark):
+    r = random.Random(32)
+    passage = prose(r, 51)
+    middle = passage[100:180]
+    rows = [(i, prose(r, 30) + middle + prose(r, 30)) for i in range(40)]
+    rows += [(50, prose(r, 30) + "<" + passage + ">" + prose(r, 30)), (51, prose(r, 3) + "[" + passage + "]")]
+    texts = {i: t.encode() for i, t in rows}
+    got = dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {i: set() for i in texts}
+    for x in got:
+        covered[x.doc_id] |= set(range(x.start, x.end))
+    for i in (50, 51):
+        a = texts[i].index(passage.encode())
+        assert covered[i] == set(range(a, a + len(passage.encode())))
+
+
+def test_spans_in_scripts_without_blanks_end_between_characters(spark):
+    r = random.Random(34)
+    text = lambda n: "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    shared = text(60)
+    rows = [(i, text(r.randint(0, 90)) + shared + text(r.randint(0, 90))) for i in range(2)]
+    got = dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: rows[x.doc_id][1].encode()[x.start:x.end].decode() for x in got} == {0: shared, 1: shared}
