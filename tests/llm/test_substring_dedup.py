@@ -72,6 +72,18 @@ def test_a_phrase_in_many_texts_does_not_hide_a_longer_passage(spark):
         assert covered[i] == set(range(a, a + len(passage.encode())))
 
 
+def test_repeated_and_null_ids_are_texts_of_their_own(spark):
+    r = random.Random(33)
+    one, two, three = (prose(r, 60) for _ in range(3))
+    whole = prose(r, 80)
+    rows = [(7, prose(r, 50) + " " + one + " " + prose(r, 50)), (7, prose(r, 3) + " " + one + " " + prose(r, 80)), (8, whole), (8, whole),
+            (9, prose(r, 20) + "\n" + two + "\n" + prose(r, 20)), (None, prose(r, 5) + "\t" + two + "\t"), (None, three), (None, three)]
+    got = dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = {7: len(one.encode()), 8: len(whole.encode()), 9: len(two.encode())}
+    assert sorted((x.doc_id, x.kept, x.original) for x in got) == [(7, False, 7), (7, True, 7), (8, False, 8), (8, True, 8), (9, True, 9)]
+    assert all(0 <= x.end - x.start - size[x.doc_id] <= 2 for x in got)
+
+
 def test_spans_in_scripts_without_blanks_end_between_characters(spark):
     r = random.Random(34)
     text = lambda n: "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(n))
