@@ -1,6 +1,6 @@
 """Personal data in texts, also where it is disguised, as spans of the source text.
 
-Plain patterns find the base spans. For texts with signs of disguise, two rewriting steps make a normal form:
+Plain patterns find the base spans. For texts in which they change something, rewriting steps make a normal form:
 characters by a table (homoglyphs, full-width forms, other decimal digits, dashes, zero-width characters), then
 spelled digits and ``at`` / ``dot`` words. Each character of the normal form keeps its source range, so what the same
 patterns find there is mapped back to the source. Spans that overlap a base span of their kind are not added.
@@ -102,8 +102,6 @@ def _character_table() -> dict[int, str]:
 CHARACTERS = _character_table()
 _STRANGE = frozenset(map(chr, CHARACTERS))
 _WORD = "|".join(DIGIT_WORDS)
-_DISGUISED = re.compile(r"(?i)[\[({<]\s{0,4}(?:at|dot)\s{0,4}[\])}>]|\sdot\s")
-_BRACKET = re.compile(r"[\[({<]\s{0,4}at")
 _LABEL = r"[A-Za-z0-9-]+"
 _AT = r"(?:\s{0,4}[\[({<]\s{0,4}(?:at|@)\s{0,4}[\])}>]\s{0,4})"
 _DOT = r"(?:\s{0,4}[\[({<]\s{0,4}(?:dot|\.)\s{0,4}[\])}>]\s{0,4}|\s{1,4}dot\s{1,4})"
@@ -156,7 +154,7 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _NUMBER.finditer(text):
         parts = [p for p in _NUMBER_PART.finditer(text, m.start(), m.end())]
-        if sum(p["word"] is not None for p in parts) < 4:
+        if not any(p["word"] or p["dot"] for p in parts):  # what the kinds check decides about the rest
             continue
         for i, p in enumerate(parts):
             if p["plus"]:
@@ -171,28 +169,40 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def _may_be_disguised(text: str) -> bool:
-    """Cheap necessary signs: a bracketed at, a dot as a word, or two spelled digits."""
-    low = text.lower()
-    if ("dot" in low or _BRACKET.search(low)) and _DISGUISED.search(text):
-        return True
-    return sum(map(DIGIT_WORDS.__contains__, low.replace("-", " ").split())) >= 2
+def _character_edits(text: str) -> list[tuple[int, int, str]]:
+    if text.isascii() or _STRANGE.isdisjoint(text):
+        return []
+    return [(i, i + 1, CHARACTERS[ord(c)]) for i, c in enumerate(text) if c in _STRANGE]
+
+
+def _with_free(taken: list[Span], spans: list[Span]) -> list[Span]:
+    """``taken`` (sorted) and those of ``spans`` that overlap none of it."""
+    starts = [a for a, _ in taken]
+    free = []
+    for a, b in spans:
+        i = bisect_right(starts, a)
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(starts) or b <= starts[i]):
+            free.append((a, b))
+    return sorted(taken + free)
 
 
 def find_disguised(text: str) -> dict[str, list[Span]]:
-    """Source spans that the patterns find in the normal form and that hold something rewritten."""
-    strange = not text.isascii() and not _STRANGE.isdisjoint(text)
-    if not strange and not _may_be_disguised(text):
-        return {}
-    normal = Normal(text)
-    if strange:
-        normal.rewrite([(i, i + 1, CHARACTERS[ord(c)]) for i, c in enumerate(text) if c in _STRANGE])
-    normal.rewrite(_number_edits(normal.text))
-    normal.rewrite(_address_edits(normal.text))
-    found = {}
-    for kind, spans in find_plain(normal.text).items():
-        found[kind] = [(normal.at[a], normal.end[b - 1]) for a, b in spans
-                       if any(normal.changed[a:b]) or normal.end[b - 1] - normal.at[a] != b - a]
+    """Source spans that the patterns find in the normal form and that hold something rewritten.
+
+    What they find after an earlier step counts too, where no later span overlaps: a spelled digit beside a card
+    number must not hide it.
+    """
+    normal, after = None, []
+    for step in (_character_edits, _number_edits, _address_edits):
+        if edits := step(normal.text if normal else text):
+            normal = normal or Normal(text)
+            normal.rewrite(edits)
+            after.append({kind: [(normal.at[a], normal.end[b - 1]) for a, b in spans
+                                 if any(normal.changed[a:b]) or normal.end[b - 1] - normal.at[a] != b - a]
+                          for kind, spans in find_plain(normal.text).items()})
+    found: dict[str, list[Span]] = {}
+    for spans in reversed(after):
+        found = {kind: _with_free(found.get(kind, []), spans[kind]) for kind in KINDS}
     return found
 
 
@@ -200,16 +210,8 @@ def find_spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[
     """(base spans, all spans) by kind; a null text has none."""
     text = text or ""
     base = find_plain(text)
-    every = {kind: list(spans) for kind, spans in base.items()}
-    for kind, spans in find_disguised(text).items():
-        starts = [a for a, _ in base[kind]]
-        for a, b in spans:
-            i = bisect_right(starts, a)
-            free = (i == 0 or base[kind][i - 1][1] <= a) and (i == len(starts) or b <= starts[i])
-            if free:
-                every[kind].append((a, b))
-        every[kind].sort()
-    return base, every
+    hidden = find_disguised(text)
+    return base, {kind: _with_free(spans, hidden.get(kind, [])) for kind, spans in base.items()}
 
 
 def joined(spans: dict[str, list[Span]]) -> str:

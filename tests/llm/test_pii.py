@@ -83,3 +83,28 @@ def test_table_with_nulls_and_other_columns(spark):
     assert sorted(map(tuple, clean.collect()), key=str) == sorted(
         [(1, "mail <EMAIL>", 12, "x")] * 2 + [(2, None, None, None), (None, "", 0, "y")], key=str)
     assert pii.detect_pii(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "kind", "hidden"), [
+    ("mail john@example[.]com now", "email", "john@example[.]com"), ("x jane (@) foo.org y", "email", "jane (@) foo.org"),
+    ("x jane [@] foo[.]org y", "email", "jane [@] foo[.]org"), ("host 192 dot 168 dot 0 dot 1, up", "ip", "192 dot 168 dot 0 dot 1"),
+    ("host 192[.]168[.]0[.]1 up", "ip", "192[.]168[.]0[.]1"), ("at 10.0(dot)0.7 it", "ip", "10.0(dot)0.7"),
+    ("five.five.five.five", "ip", "five.five.five.five"), ("tel +1 555 one two three 4567 ok", "phone", "+1 555 one two three 4567"),
+    ("pay 4111 1111 1111 111 one today", "card", "4111 1111 1111 111 one")])
+def test_disguise_is_found_without_other_signs_in_the_text(text, kind, hidden):
+    base, every = pii.find_spans(text)
+    assert not base[kind] and [text[a:b] for a, b in every[kind]] == [hidden]
+    padded = text + " ...   dot ."
+    assert pii.find_spans(padded)[1][kind] == every[kind]
+    assert hidden not in pii.redacted(text, every)
+
+
+@pytest.mark.parametrize("text", ["one of two or 3 plus 4", "1.5 2.5 3.5 4 five", "192 dot 168 dot 0 dot 999", "one two three four five",
+                                  "see [.] and (@) there", "items 1 - 2 - 3 - four", "version 1 2 3 dot 4"])
+def test_numbers_and_signs_that_are_no_personal_data_stay(text):
+    assert not any(pii.find_spans(text)[1].values())
+
+
+def test_spelled_digit_beside_a_disguised_number_does_not_hide_it():
+    text = "pay one ４１１１ 1111 1111 1111 or 4111 1111 1111 111 one"
+    assert [text[a:b] for a, b in pii.find_spans(text)[1]["card"]] == ["４１１１ 1111 1111 1111", "4111 1111 1111 111 one"]
