@@ -5,7 +5,7 @@ of its blocks. A block is a share of a source by the hash of its documents, so b
 block list of each source, pass by pass, is dealt to the output shards: a tree halves the shards, and at each node
 the left half's share of every source is drawn from the multivariate hypergeometric distribution, so each shard
 gets an exact quota of every source and all quotas sum to the blocks there are. Within a shard documents are
-ordered by a hash. All draws depend on the seed only.
+ordered by a hash that differs for each time a document is taken. All draws depend on the seed only.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ WEIGHTS = (1, 2, 3)
 BLOCK_WORDS = 65_536
 BLOCKS_MOST = 4_096  # of a source; then blocks get larger
 SHARDS = 64
+SLICE_WORDS = 8_000_000  # a shard with more is sorted in slices of its order, one partition each
 SPACES = r"\x20\x09-\x0D"
 
 
@@ -98,6 +99,20 @@ def _block(place: Column, blocks: Column) -> Column:
     return F.floor(place / F.lit(float(1 << 53)) * blocks)
 
 
+def _print(text: Column) -> Column:
+    """Tells rows without an id, or with the same one, apart."""
+    return F.xxhash64(text)
+
+
+def _order(shard: Column, turn: Column, seed: int) -> Column:
+    """Where a row stands in its shard, from 0 to 2 ** 53; another place for each turn."""
+    return F.xxhash64(F.lit(seed + 2), shard, turn, F.col("doc_id"), F.col("m_print")).bitwiseAND((1 << 53) - 1)
+
+
+def _sized(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.col("source").alias("m_source"), _words().alias("size"), _print(F.col("text")).alias("m_print"))
+
+
 def _decided(sized: DataFrame, seed: int, shards: int, stages: Stages) -> DataFrame:
     """(rank, block, source_size, target, passes, whole, last, homes): what the mix takes of each block.
 
@@ -161,26 +176,50 @@ def _apply(rows: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
 
 
 def mix_sources(documents: DataFrame, seed: int = 7, shards: int = SHARDS, stages: Stages | None = None) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, passes, shards, place.
+    """One row per document: doc_id, size, source_size, target, taken, passes, shards, places.
 
     ``passes`` counts how often the mix takes the document, ``shards`` (array) holds the output shard of each time,
-    ``place`` orders documents within a shard. ``documents`` needs doc_id, text and source; no other column is read,
+    ``places`` (array) the number by which it is ordered within that shard. ``documents`` needs doc_id, text and source; no other column is read,
     whatever its name. A null text or one without words has size 0 and takes part with it. Null is a source of its
     own. Repeated rows are judged alike, and where the part of a last pass ends among rows of one hash, all of them
     are in or out. An empty table gives no rows. The table with a row for each source passes through the driver. Runs
     its steps when called.
     """
     stages = stages or Stages(documents.sparkSession, "mixing")
-    sized = stages.keep(documents.select("doc_id", F.col("source").alias("m_source"), _words().alias("size")), "sized")
-    return _apply(sized, _decided(sized, seed, shards, stages), seed).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", "shards", "place")
+    sized = stages.keep(_sized(documents), "sized")
+    result = _apply(sized, _decided(sized, seed, shards, stages), seed)
+    places = F.transform("shards", lambda shard, turn: _order(shard, turn, seed))
+    return result.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes",
+                         "shards", places.alias("places"))
 
 
-def take_mix(documents: DataFrame, seed: int = 7, shards: int = SHARDS, stages: Stages | None = None) -> DataFrame:
-    """The rows of ``documents``, each as often as :func:`mix_sources` takes it, with all their columns."""
+def _dealt_rows(documents: DataFrame, seed: int, shards: int, stages: Stages | None) -> DataFrame:
+    """(shard, place, carried_0, ...): shard after shard, each in order; a shard is one partition or several in turn."""
     stages = stages or Stages(documents.sparkSession, "mixing")
-    sized = stages.keep(documents.select("doc_id", F.col("source").alias("m_source"), _words().alias("size")), "sized")
-    rows = documents.select("doc_id", F.col("source").alias("m_source"), *(
+    sized = stages.keep(_sized(documents), "sized")
+    words = sized.agg(F.sum("size")).first()[0] or 0  # the mix takes about as many
+    slices = max(1, -(-words // (shards * SLICE_WORDS)))
+    rows = documents.select("doc_id", F.col("source").alias("m_source"), _print(F.col("text")).alias("m_print"), *(
         documents[c].alias(f"carried_{i}") for i, c in enumerate(documents.columns)))
-    taken = _apply(rows, _decided(sized, seed, shards, stages), seed).withColumn("shard", F.explode("shards"))
-    return taken.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(documents.columns)))
+    carried = [f"carried_{i}" for i in range(len(documents.columns))]
+    taken = _apply(rows, _decided(sized, seed, shards, stages), seed).select(
+        "doc_id", "m_print", *carried, F.posexplode("shards").alias("turn", "shard"))
+    taken = taken.select("shard", _order(F.col("shard"), F.col("turn"), seed).alias("place"), *carried)
+    home = (F.col("shard") * slices + F.floor(F.col("place") / F.lit(float(1 << 53)) * slices)).cast("int")
+    return taken.repartitionById(shards * slices, home).sortWithinPartitions("place")
+
+
+def take_mix(documents: DataFrame, seed: int = 7, shards: int = SHARDS, stages: Stages | None = None) -> DataFrame:
+    """The rows of ``documents``, each as often as :func:`mix_sources` takes it, with all their columns.
+
+    Rows come shard by shard, shuffled within. Equal rows with the same id have the same places.
+    """
+    dealt = _dealt_rows(documents, seed, shards, stages)
+    return dealt.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(documents.columns)))
+
+
+def take_shards(documents: DataFrame, seed: int = 7, shards: int = SHARDS, stages: Stages | None = None) -> DataFrame:
+    """(shard, place, document): what :func:`take_mix` gives, with the shard and the place in it; document is a struct."""
+    dealt = _dealt_rows(documents, seed, shards, stages)
+    return dealt.select("shard", "place", F.struct(*(
+        F.col(f"carried_{i}").alias(c) for i, c in enumerate(documents.columns))).alias("document"))

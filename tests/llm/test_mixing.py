@@ -66,3 +66,25 @@ def test_mix_of_a_table(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sources(docs).count() == 0 and mixing.take_mix(docs).count() == 0
+
+
+@pytest.mark.parametrize("slice_words", [mixing.SLICE_WORDS, 2000])
+def test_rows_come_by_shard_and_shuffled(spark, monkeypatch, slice_words):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(mixing, "SLICE_WORDS", slice_words)
+    some = [r for r in rows() if r[0] != 705] + [(None, f"null {i}", "zero") for i in range(5)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, source string")
+    want = sorted((s, p, r.doc_id) for r in mixing.mix_sources(docs, shards=5).collect()
+                  for s, p in zip(r.shards, r.places, strict=True))
+    dealt = mixing.take_shards(docs, shards=5)
+    assert (dealt.rdd.getNumPartitions() > 5) == (slice_words == 2000)
+    got = [(r.shard, r.place, r.document.doc_id) for r in dealt.collect()]
+    assert got == want  # in this order
+    assert [r.doc_id for r in mixing.take_mix(docs.repartition(7), shards=5).collect()] == [i for _, _, i in got]
+    for shard in range(5):
+        ids = [i for s, _, i in got if s == shard and i is not None]
+        twice = len(ids) - len(set(ids))
+        assert sum(a == b for a, b in zip(ids, ids[1:])) <= max(2, twice // 10)
+        rises = sum(a < b for a, b in zip(ids, ids[1:])) / (len(ids) - 1)
+        assert 0.4 < rises < 0.6
+    assert len({p for s, p, _ in got}) == len(got)
