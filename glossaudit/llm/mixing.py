@@ -90,8 +90,9 @@ def _rank(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), F.hex(F.encode(source, "UTF-8"))), F.lit("1"))
 
 
-def _place(doc_id: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), doc_id).bitwiseAND((1 << 53) - 1)
+def _place(seed: int) -> Column:
+    """By id and text: rows without an id, or with the same one, have places of their own unless their texts are equal."""
+    return F.xxhash64(F.lit(seed), "doc_id", "m_print").bitwiseAND((1 << 53) - 1)
 
 
 def _block(place: Column, blocks: Column) -> Column:
@@ -126,7 +127,7 @@ def _decided(sized: DataFrame, seed: int, shards: int, stages: Stages) -> DataFr
     per_source = spark.createDataFrame(plan[schema.replace(" string", "").replace(" long", "").replace(
         " double", "").split(", ")], schema) if len(plan) else spark.createDataFrame([], schema)
 
-    placed = sized.withColumns({"rank": _rank(F.col("m_source")), "place": _place(F.col("doc_id"), seed)})
+    placed = sized.withColumns({"rank": _rank(F.col("m_source")), "place": _place(seed)})
     placed = placed.join(broadcast_if_small(per_source, 200), "rank").withColumn("block", _block(F.col("place"), F.col("blocks")))
     placed = stages.keep(placed.select("rank", "place", "block", "part", "size"), "placed")
 
@@ -165,7 +166,7 @@ def _decided(sized: DataFrame, seed: int, shards: int, stages: Stages) -> DataFr
 def _apply(rows: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
     """``rows`` (with doc_id and m_source) and what is taken of each: a look-up in small tables, nothing is moved."""
     per_source = broadcast_if_small(chosen.select("rank", "blocks").distinct(), 100)
-    placed = rows.withColumns({"rank": _rank(F.col("m_source")), "place": _place(F.col("doc_id"), seed)}).join(
+    placed = rows.withColumns({"rank": _rank(F.col("m_source")), "place": _place(seed)}).join(
         per_source, "rank").withColumn("block", _block(F.col("place"), F.col("blocks")))
     result = placed.join(broadcast_if_small(chosen.drop("blocks"), 300), ["rank", "block"])
     more = F.col("whole") | F.coalesce(F.col("place") <= F.col("last"), F.lit(False))
@@ -181,7 +182,7 @@ def mix_sources(documents: DataFrame, seed: int = 7, shards: int = SHARDS, stage
     ``passes`` counts how often the mix takes the document, ``shards`` (array) holds the output shard of each time,
     ``places`` (array) the number by which it is ordered within that shard. ``documents`` needs doc_id, text and source; no other column is read,
     whatever its name. A null text or one without words has size 0 and takes part with it. Null is a source of its
-    own. Repeated rows are judged alike, and where the part of a last pass ends among rows of one hash, all of them
+    own. Rows with the same id and text are judged alike: where the part of a last pass ends among them, all of them
     are in or out. An empty table gives no rows. The table with a row for each source passes through the driver. Runs
     its steps when called.
     """

@@ -8,7 +8,7 @@ from glossaudit.storage import stage_path
 
 
 class Stages:
-    """Owner of the tables that one run writes. ``keep`` writes and rereads; ``drop`` deletes.
+    """Owner of the tables that one run writes. ``keep`` writes and rereads; ``drop`` deletes the named ones, ``drop_all`` all.
 
     A written table cuts the lineage: a lost executor costs a re-read, not a re-computation.
     """
@@ -23,9 +23,12 @@ class Stages:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
-        """Delete the named tables (all without names); what was read from them is gone too."""
+        """Delete the named tables, and nothing without names; what was read from them is gone too."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for table in tables or list(self.paths):
+        for table in tables:
             for path in self.paths.pop(table, []):
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(conf).delete(where, True)
+
+    def drop_all(self) -> None:
+        self.drop(*list(self.paths))

@@ -88,3 +88,11 @@ def test_rows_come_by_shard_and_shuffled(spark, monkeypatch, slice_words):
         rises = sum(a < b for a, b in zip(ids, ids[1:])) / (len(ids) - 1)
         assert 0.4 < rises < 0.6
     assert len({p for s, p, _ in got}) == len(got)
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_rows_without_ids_of_their_own_meet_the_targets(spark, doc_id):
+    rows = [(doc_id, f"words of row {i}" + " more" * (i % 3), f"s{i % 3}") for i in range(3000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for target in {r.target for r in got}:
+        assert abs(sum(r.taken for r in got if r.target == target) - target) <= 6
