@@ -1,7 +1,7 @@
 """Stages over the documents table, each on all that its predecessor kept; the last one gives token ids.
 
-A stage's result has to be written before the next stage is called, as ``run`` does: the next one deletes the working
-tables from which it is read.
+A stage reads its working tables when its result is computed. Whoever passes ``tables`` owns them and drops them when
+the result is written, as ``run`` does; without it they stay below ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -17,45 +17,30 @@ from glossaudit.llm.quality_rules import filter_quality
 from glossaudit.llm.stages import Stages
 
 
-_OPEN: list[Stages] = []
-
-
-def _working_tables(spark: SparkSession, name: str) -> Stages:
-    """Working tables for one stage. Those of earlier stages are deleted: their results are written by now."""
-    while _OPEN:
-        before = _OPEN.pop()
-        if before.spark.sparkContext.applicationId == spark.sparkContext.applicationId:
-            before.drop()
-    _OPEN.append(Stages(spark, name))
-    return _OPEN[-1]
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, tables: Stages | None = None) -> DataFrame:
     """Without the documents that the quality rules reject."""
-    return filter_quality(docs, _working_tables(spark, "quality"))
+    return filter_quality(docs, tables or Stages(spark, "quality"))
 
 
-def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, tables: Stages | None = None) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; rows without an id stay."""
-    found = ngram_join(docs, stages=_working_tables(spark, "near-duplicates"))
+    found = ngram_join(docs, stages=tables or Stages(spark, "near-duplicates"))
     spare = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
 
 
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, tables: Stages | None = None) -> DataFrame:
     """With personal data replaced."""
-    _working_tables(spark, "personal-data")
     return redact_pii(docs)
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, tables: Stages | None = None) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return take_mix(docs, stages=_working_tables(spark, "mixing"))
+    return take_mix(docs, stages=tables or Stages(spark, "mixing"))
 
 
-def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, tables: Stages | None = None) -> DataFrame:
     """doc_id, tokens and n_tokens, one row for each time a document was taken."""
-    _working_tables(spark, "encoding")
     return bpe_encode(docs).withColumn("n_tokens", F.size("tokens").cast("long"))
 
 
@@ -67,10 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written, reread and then deleted, but for the last."""
-    docs, stages, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stages(spark, "pipeline"), ""
+    """The last stage's rows. Each stage's result is written and reread; its working tables, and the result of the stage
+    before it, are deleted then."""
+    docs, results, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stages(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = stages.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        stages.drop(*filter(None, [before]))
-        before = name.replace(" ", "-")
+        tables, table = Stages(spark, f"pipeline-{name.replace(' ', '-')}"), name.replace(" ", "-")
+        docs = results.keep(stage(spark, docs, sf_dir, tables), table)
+        tables.drop_all()
+        if before:
+            results.drop(before)
+        before = table
     return docs
