@@ -9,6 +9,7 @@ from glossaudit.llm import quality_classifier, toxicity
 from glossaudit.llm.bpe import bpe_round_trip
 from glossaudit.llm.filter_audit import filter_audit
 from glossaudit.llm.fingerprints import edited_fingerprints
+from glossaudit.llm.html_extraction import extract_main_text, markup_labelled, train_extractor
 from glossaudit.llm.labelled import remainder
 from glossaudit.llm.lexical_search import lexical_search
 from glossaudit.llm.mixing import mix_sources
@@ -72,6 +73,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def page_model(spark: SparkSession, sf_dir: str) -> tuple:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return train_extractor(markup_labelled(pages, F.xxhash64(F.lit(11), "page_id", "url")))
+
+
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), page_model(spark, sf_dir))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -83,7 +93,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_mix_sources, op3_substring_dedup, op4_quality_rules, op5_byte_bpe, op6_pii, op7_url_filter, op8_toxicity,
-        op9_quality_classifier, op10_fingerprints, op12_lexical_search, op13_filter_audit)}
+        op9_quality_classifier, op10_fingerprints, op11_html_extraction, op12_lexical_search, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
