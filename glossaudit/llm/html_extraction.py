@@ -373,6 +373,15 @@ EXAMPLES = [
              f'<a>River</a></div><div id="disqus" class="discussion responses"><p>{_COMMENT}</p><p>{_COMMENT}</p></div>', 'itemprop="articleBody"'),
     _example(f'<nav role="navigation"><ul>{_LINKS}</ul></nav>', f'<div class="reader-comments feedback"><div class="reply">{_COMMENT}</div></div>'
              '<footer role="contentinfo"><p>Write to us. We answer within a week, as a rule.</p></footer>', "", tag="main"),
+    _example('<header><h2>The Paper</h2><p>News from the valley, written every day. Ask for it.</p></header>',
+             f'<ul class="comment-list"><li>{_COMMENT}</li><li>{_COMMENT}</li></ul><footer><p>Write to us. We answer soon, as a rule.</p></footer>',
+             'class="page"', '<ul><li data-gold>Oak</li><li data-gold>Iron, new</li></ul>'),
+    _example(f'<header><p>The Paper. Since 1890, every day.</p></header><ul class="menu">{_LINKS}</ul>',
+             f'<section id="reader-comments" class="comments"><h2>What readers say</h2><article class="comment"><p>{_COMMENT}</p></article></section>',
+             'id="story"', '<ol><li data-gold>Plan</li><li data-gold>Build</li></ol><table><tr><td data-gold>Stone</td><td data-gold>12</td></tr></table>',
+             "article"),
+    _example('', f'<div class="comment-section"><h3>Discussion</h3><ul><li>{_COMMENT}</li><li>{_COMMENT}</li></ul></div>', '',
+             '<pre data-gold>load 12 t</pre><dl><dt data-gold>Span</dt><dd data-gold>40 m</dd></dl>'),
     "<html><body><nav>" + _LINKS + f'</nav><div class="list">{_CARDS}</div><footer><p>© The Paper</p></footer></body></html>',
     f"<html><body><p data-gold>{_FIRST}</p><p data-gold>{_SECOND}</p></body></html>",
 ]
