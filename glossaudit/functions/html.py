@@ -179,118 +179,182 @@ def _page_language(toks: str, names: str) -> str:
 
 # --- Element tree -------------------------------------------------------------------------------
 
-OPEN_FIELDS = "tag: string, pos: int, parent_pos: int, depth: int, scoped: boolean, block_child: boolean"
-STATE_TYPE = f"open array<struct<{OPEN_FIELDS}>>, done array<struct<{OPEN_FIELDS}, end_pos: int>>"
-
-
-def _level(targets: str, barrier: str) -> str:
-    """Level (1 = innermost) of the nearest open element among ``targets``, or 0.
-
-    0 also if a barrier element is nearer. A null barrier is any element that is not inline.
-    """
-    stops = f"if({barrier} IS NULL, NOT {_is_in('o', INLINE_TAGS)}, array_contains({barrier}, o))"
-    stop = f"array_position(transform(opened, o -> {stops}), true)"
-    unless_stopped = _let("stop", stop, "if(stop = 0 OR stop >= hit, cast(hit AS int), 0)")
-    hit = f"array_position(transform(opened, o -> array_contains({targets}, o)), true)"
-    return _let("hit", hit, f"if(hit = 0, 0, {unless_stopped})")
-
-
-def _levels_closed(event: str) -> str:
-    """How many open elements a tag closes: up to its own start tag, or those whose end tag may be
-    left out before it."""
-    tag, is_close = f"{event}.tag", f"{event}.closes"
-    targets = f"""CASE
-        WHEN {is_close} OR {tag} IN ('li', 'a', 'tr') THEN array({tag})
-        WHEN {_is_in(tag, ["dd", "dt"])} THEN {_list(["dd", "dt"])}
-        WHEN {_is_in(tag, ["td", "th"])} THEN {_list(["td", "th"])}
-        WHEN {_is_in(tag, TABLE_SECTIONS)} THEN {_list(TABLE_SECTIONS)}
-        WHEN {tag} = 'optgroup' AND array_contains(opened, {tag}) THEN array({tag})
-        WHEN {_is_in(tag, ["option", "optgroup"])} THEN array('option') END"""
-    barrier = f"""CASE
-        WHEN {event}.inline THEN NULL
-        WHEN {is_close} AND {tag} = 'li' THEN {_list(SCOPE + ["ol", "ul"])}
-        WHEN {is_close} AND NOT {_is_in(tag, TABLE_TAGS)} THEN {_list(SCOPE)}
-        WHEN {_is_in(tag, ["li", "dd", "dt"])} THEN {_list(LIST_SCOPE)}
-        WHEN {tag} = 'option' THEN {_list(["select", "optgroup"])}
-        WHEN {tag} = 'optgroup' THEN {_list(["select"])}
-        WHEN {is_close} THEN {_list(TABLE_SCOPE)}
-        WHEN {_is_in(tag, ["td", "th"])} THEN {_list(TABLE_SCOPE + ["tr"])}
-        WHEN {tag} = 'tr' THEN {_list(TABLE_SCOPE + TABLE_SECTIONS)}
-        ELSE {_list(TABLE_SCOPE)} END"""
-    by_rule = _let("targets", targets, _let("barrier", barrier, f"""if(targets IS NULL, 0,
-        {_level('targets', 'barrier')})"""))
-    open_p = f"""if({is_close} OR NOT {_is_in(tag, P_CLOSERS)} OR NOT array_contains(opened, 'p'), 0,
-        {_level("array('p')", _list(SCOPE + ["button"]))})"""
-    return _let("opened", "s.open.tag", f"""CASE
-        WHEN {is_close} AND get(opened, 0) = {tag} THEN 1
-        WHEN {is_close} AND NOT array_contains(opened, {tag}) THEN 0
-        ELSE greatest({by_rule}, {open_p}) END""")
+CHUNK = 256  # tokens that are worked on before their open elements join the others
+SEGMENT = 32  # open elements between two summaries
+# What is asked of the open elements: the depth of the nearest one among these tags. None: of those that are not inline.
+NEAREST = {
+    "block": None, "scope": SCOPE, "item scope": SCOPE + ["ol", "ul"], "list scope": LIST_SCOPE, "p scope": SCOPE + ["button"],
+    "options": ["select", "optgroup"], "select": ["select"], "table": TABLE_SCOPE, "row scope": TABLE_SCOPE + ["tr"],
+    "section scope": TABLE_SCOPE + TABLE_SECTIONS, "li": ["li"], "a": ["a"], "tr": ["tr"], "dd": ["dd", "dt"], "td": ["td", "th"],
+    "section": TABLE_SECTIONS, "optgroup": ["optgroup"], "option": ["option"], "p": ["p"],
+}
+BUCKETS = 128  # of tag names: the kinds after those of NEAREST
+# A fold copies its state at every step, so the state of a chunk holds only what the chunk did, as numbers. An open
+# element is its token's index << 1 | in a language scope.
+EMPTY_TYPE = ("ints array<int>, cuts array<struct<low: int, high: int, pos: int>>, longs array<bigint>, lists array<array<bigint>>,"
+              " marks array<array<int>>")
+
+
+def _masks() -> str:
+    """Bit i: an element with this tag is one of the i-th entry of NEAREST."""
+    known = sorted({tag for tags in NEAREST.values() for tag in tags or INLINE_TAGS})
+    by_mask: dict[int, list[str]] = {}
+    for tag in known:
+        mask = sum(1 << i for i, tags in enumerate(NEAREST.values()) if (tag in tags if tags else tag not in INLINE_TAGS))
+        by_mask.setdefault(mask, []).append(tag)
+    cases = "".join(f" WHEN {_is_in('tag', tags)} THEN {mask}" for mask, tags in by_mask.items())
+    return f"CASE{cases} ELSE 1 END"
 
 
 def _tag_events(toks: str, names: str) -> str:
-    """The tags among the tokens, with what the tree walk needs to know about them."""
+    """For each token that is a tag what the tree walk needs to know about it, null for others."""
     event = f"""named_struct('pos', i, 'tag', tag, 'closes', kind = 'close', 'holds', kind = 'open',
         'has_lang', kind <> 'close' AND tag <> 'html' AND {_declared('t', names)} IS NOT NULL,
-        'inline', {_is_in('tag', INLINE_TAGS)})"""
+        'inline', {_is_in('tag', INLINE_TAGS)}, 'mask', {_masks()}, 'bucket', pmod(hash(tag), {BUCKETS}))"""
     known = f"if(kind IN ('open', 'close', 'void', 'raw'), {event}, NULL)"
     tagged = _let("tag", _tag_name("t"), _let("kind", _kind("t", "tag"), known))
-    found = f"transform({toks}, (t, i) -> if({_is_markup('t')}, {tagged}, NULL))"
-    return f"filter({found}, e -> e IS NOT NULL)"
+    return f"transform({toks}, (t, i) -> if({_is_markup('t')}, {tagged}, NULL))"
+
+
+def _event_of(element: str) -> str:
+    return f"get(events, shiftright({element}, 1))"
+
+
+def _at(depth: str) -> str:
+    """The open element at a depth, counted from 1: of earlier chunks, or of this one."""
+    return f"if({depth} > s.base, get(s.tail, {depth} - s.base - 1), get(state.open, {depth} - 1))"
+
 
+def _deepest(elements: str, before: str, condition: str) -> str:
+    """Depth of the last element ``e`` of an array that fulfils a condition, or 0; ``before``: elements outside the array."""
+    return f"coalesce(array_max(transform({elements}, (e, i) -> if({condition}, {before} + i + 1, 0))), 0)"
 
-def _copied(element: str, *extra: str, **changed: str) -> str:
-    names = [field.split(":")[0] for field in OPEN_FIELDS.split(", ")]
-    fields = [f"'{n}', {changed.get(n, f'{element}.{n}')}" for n in names]
-    return f"named_struct({', '.join([*fields, *extra])})"
 
+def _nearest(kind: str, condition: str) -> str:
+    """Depth of the nearest open element of a kind, or 0: in this chunk, else since the last summary, else as that says."""
+    start = f"(s.base - s.base % {SEGMENT})"
+    earlier = f"slice(state.open, {start} + 1, s.base % {SEGMENT})"
+    outer = f"""greatest({_deepest(earlier, start, condition)},
+        get(get(state.marks, cast(s.base div {SEGMENT} AS int)), {kind}))"""
+    return f"greatest({_deepest('s.tail', 's.base', condition)}, if(s.base = 0, 0, {outer}))"
 
-def _closed(elements: str, end_pos: str) -> str:
-    copy = _copied("c", f"'end_pos', {end_pos}")
-    return f"transform({elements}, c -> {copy})"
+
+def _near(name: str) -> str:
+    bit = list(NEAREST).index(name)
+    return _nearest(str(bit), f"({_event_of('e')}.mask & {1 << bit}) <> 0")
+
+
+def _named() -> str:
+    """Depth of the nearest open element with the event's name, or 0. Where another name's element is the nearest one of the
+    bucket, all are looked at."""
+    hit = _nearest(f"{len(NEAREST)} + ev.bucket", f"{_event_of('e')}.bucket = ev.bucket")
+    whole = _deepest("concat(slice(state.open, 1, s.base), s.tail)", "0", f"{_event_of('e')}.tag = ev.tag")
+    return _let("hit", hit, f"if(hit = 0 OR {_event_of(_at('hit'))}.tag = ev.tag, hit, {whole})")
+
+
+DEPTH = "(s.base + size(s.tail))"
+
+
+def _kept() -> str:
+    """How many of the open elements stay open: those around what a tag closes, be it up to its own start tag or
+    because end tags may be left out before it. -1: a tag that is there already. Searches only what the tag asks for."""
+    tag = "ev.tag"
+    target = f"""CASE
+        WHEN ev.closes THEN {_named()}
+        WHEN {tag} = 'li' THEN {_near('li')} WHEN {tag} = 'a' THEN {_near('a')} WHEN {tag} = 'tr' THEN {_near('tr')}
+        WHEN {_is_in(tag, ["dd", "dt"])} THEN {_near('dd')}
+        WHEN {_is_in(tag, ["td", "th"])} THEN {_near('td')}
+        WHEN {_is_in(tag, TABLE_SECTIONS)} THEN {_near('section')}
+        WHEN {tag} = 'optgroup' THEN coalesce(nullif({_near('optgroup')}, 0), {_near('option')})
+        WHEN {tag} = 'option' THEN {_near('option')} ELSE 0 END"""
+    barrier = f"""CASE
+        WHEN ev.inline THEN {_near('block')}
+        WHEN ev.closes AND {tag} = 'li' THEN {_near('item scope')}
+        WHEN ev.closes AND NOT {_is_in(tag, TABLE_TAGS)} THEN {_near('scope')}
+        WHEN {_is_in(tag, ["li", "dd", "dt"])} THEN {_near('list scope')}
+        WHEN {tag} = 'option' THEN {_near('options')}
+        WHEN {tag} = 'optgroup' THEN {_near('select')}
+        WHEN ev.closes THEN {_near('table')}
+        WHEN {_is_in(tag, ["td", "th"])} THEN {_near('row scope')}
+        WHEN {tag} = 'tr' THEN {_near('section scope')}
+        ELSE {_near('table')} END"""
+    by_rule = _let("target", target, f"if(target = 0, {DEPTH}, if({barrier} > target, {DEPTH}, target - 1))")
+    open_p = _let("open_p", _near("p"), f"if(open_p = 0, {DEPTH}, if({_near('p scope')} > open_p, {DEPTH}, open_p - 1))")
+    return f"""CASE
+        WHEN ev.closes AND {DEPTH} > 0 AND {_event_of(_at(DEPTH))}.tag = {tag} THEN {DEPTH} - 1
+        WHEN NOT ev.closes AND {_is_in(tag, SINGLETONS)} THEN if({_named()} > 0, -1, {DEPTH})
+        WHEN ev.closes OR NOT {_is_in(tag, P_CLOSERS)} THEN {by_rule}
+        ELSE least({by_rule}, {open_p}) END"""
 
 
 def _step() -> str:
-    """One tag ``ev``: close what it ends, then open it, or emit it at once if it holds nothing.
+    """One tag: close what it ends, then open it, or emit it at once if it holds nothing.
 
-    The usual cases build their structs directly, because ``transform`` copies them deeply.
+    ``s``: how many elements of earlier chunks are still open (``base``) and which of those were closed (``cuts``), the
+    elements opened in this chunk that still are (``tail``); for each element that was opened its parent, depth and scope
+    (``opens``), for each one that was closed its token and its end (``closes``).
     """
-    end_pos = "'end_pos', ev.pos"
-    innermost = f"array({_copied('get(s.open, 0)', end_pos)})"
-    ended = f"if(cut = 1, {innermost}, {_closed('slice(s.open, 1, cut)', 'ev.pos')})"
-    done = f"if(cut = 0, s.done, concat(s.done, {ended}))"
-    fields = """'tag', ev.tag, 'pos', ev.pos, 'parent_pos', top.pos, 'depth', size(kept) + 1,
-        'scoped', ev.has_lang OR coalesce(top.scoped, false), 'block_child', false"""
-    marked = f"""if(ev.inline OR top IS NULL OR top.block_child, kept,
-        concat(array({_copied('top', block_child='true')}), slice(kept, 2, size(kept))))"""
-    opened = _let("top", "get(kept, 0)", f"""if(ev.holds,
-        named_struct('open', concat(array(named_struct({fields})), {marked}), 'done', {done}),
-        named_struct('open', {marked}, 'done', concat({done}, array(named_struct({fields}, {end_pos})))))""")
-    after_cut = _let("kept", "if(cut = 0, s.open, slice(s.open, cut + 1, size(s.open)))",
-                     f"if(ev.closes, named_struct('open', kept, 'done', {done}), {opened})")
-    repeated = f"(NOT ev.closes AND {_is_in('ev.tag', SINGLETONS)} AND array_contains(s.open.tag, ev.tag))"
-    return f"if({repeated}, s, {_let('cut', _levels_closed('ev'), f'if(ev.closes AND cut = 0, s, {after_cut})')})"
-
-
-def _elements(toks: str, names: str, chunk: int = 64) -> str:
+    inner = "greatest(kept - s.base, 0)"
+    closed = f"transform(slice(s.tail, {inner} + 1, size(s.tail)), e -> shiftleft(cast(shiftright(e, 1) AS bigint), 32) | ev.pos)"
+    cuts = "if(kept >= s.base, s.cuts, concat(s.cuts, array(named_struct('low', kept + 1, 'high', s.base, 'pos', ev.pos))))"
+    left = f"""if(kept = {DEPTH}, s, named_struct('base', least(kept, s.base), 'tail', slice(s.tail, 1, {inner}), 'opens', s.opens,
+        'closes', concat(s.closes, {closed}), 'cuts', {cuts}))"""
+    # From here on ``s`` is what is left open.
+    up = f"if(kept = 0, NULL, {_at('kept')})"
+    scoped = "if(ev.has_lang OR coalesce(up & 1, 0) = 1, 1, 0)"
+    entry = f"""shiftleft(cast(coalesce(shiftright(up, 1) + 1, 0) AS bigint), 32) | shiftleft(cast(kept + 1 AS bigint), 1) | {scoped}"""
+    after = f"""named_struct('base', s.base, 'tail', if(ev.holds, concat(s.tail, array(shiftleft(ev.pos, 1) | {scoped})), s.tail),
+        'opens', concat(s.opens, array({entry})), 'closes', if(ev.holds, s.closes,
+            concat(s.closes, array(shiftleft(cast(ev.pos AS bigint), 32) | ev.pos))), 'cuts', s.cuts)"""
+    opened = _let("s", left, f"if(ev.closes, s, {_let('up', up, after)})")
+    decided = _let("kept", _kept(), f"if(kept = -1 OR ev.closes AND kept = {DEPTH}, s, {opened})")
+    return f"if(ev IS NULL, s, {decided})"
+
+
+def _chunk(chunk: int) -> str:
+    """The open elements, their summaries and what was opened and closed, after one more chunk of tokens."""
+    inner = f"""aggregate(slice(events, first, {chunk}), named_struct('base', size(state.open), 'tail', empty.ints,
+        'opens', empty.longs, 'closes', empty.longs, 'cuts', empty.cuts), (s, ev) -> {_step()})"""
+    ended = """flatten(transform(after.cuts, c -> transform(slice(state.open, c.low, c.high - c.low + 1),
+        e -> shiftleft(cast(shiftright(e, 1) AS bigint), 32) | c.pos)))"""
+    is_kind = f"if(kind < {len(NEAREST)}, shiftright({_event_of('e')}.mask, kind) % 2 = 1, {_event_of('e')}.bucket = kind - {len(NEAREST)})"
+    since = f"slice(now.open, now.whole * {SEGMENT} + 1, (part - now.whole) * {SEGMENT})"
+    summary = f"""transform(get(state.marks, now.whole), (x, kind) ->
+        greatest(x, {_deepest(since, f'now.whole * {SEGMENT}', is_kind)}))"""
+    marks = f"""if(size(now.open) div {SEGMENT} <= now.whole, slice(state.marks, 1, now.whole + 1),
+        concat(slice(state.marks, 1, now.whole + 1),
+            transform(sequence(now.whole + 1, cast(size(now.open) div {SEGMENT} AS int)), part -> {summary})))"""
+    joined = f"""named_struct('open', now.open, 'marks', {marks}, 'opens', concat(state.opens, array(after.opens)),
+        'closes', concat(state.closes, array(after.closes, {ended})))"""
+    now = f"""named_struct('open', concat(slice(state.open, 1, after.base), after.tail),
+        'whole', cast(after.base div {SEGMENT} AS int))"""
+    return _let("after", inner, _let("now", now, joined))
+
+
+def _elements(toks: str, names: str, chunk: int = CHUNK) -> str:
     """Tokens -> array of elements in document order.
 
-    A fold over the tags keeps the open elements, innermost first. Finished elements are gathered
-    chunk by chunk, which keeps long pages from going quadratic.
+    A fold over chunks of tokens holds a fold over the tags of a chunk. The open elements of earlier chunks are looked up
+    in it, not carried along, so a tag costs no more the deeper it stands. Which elements have a child that is not inline
+    is found by sorting in the end.
     """
-    starts = f"if(size(events) = 0, array(), sequence(1, size(events), {chunk}))"
-    chunks = f"transform({starts}, first -> slice(events, first, {chunk}))"
-    inner = f"aggregate(part, named_struct('open', state.open, 'done', empty.done), (s, ev) -> {_step()})"
-    merged = _let("after", inner, """named_struct('open', after.open,
-        'done', concat(state.done, array(after.done)))""")
-    last = f"concat(flatten(state.done), {_closed('state.open', f'size({toks})')})"
-    fold = f"""aggregate({chunks}, named_struct('open', empty.open, 'done', array(empty.done)),
-        (state, part) -> {merged}, state -> {last})"""
-    empty = f"""from_json('{{"open": [], "done": []}}', '{STATE_TYPE}')"""
-    ordered = """transform(found, f -> named_struct('pos', f.pos, 'end_pos', f.end_pos,
-        'parent_pos', f.parent_pos, 'depth', f.depth, 'tag', f.tag, 'scoped', f.scoped,
-        'block_child', f.block_child))"""
-    built = _let("found", _let("events", _tag_events(toks, names), fold), ordered)
-    return f"sort_array({_let('empty', empty, built)})"
+    starts = f"if(size({toks}) = 0, empty.ints, sequence(1, size({toks}), {chunk}))"
+    last = f"""zip_with(flatten(state.opens), sort_array(concat(flatten(state.closes),
+        transform(state.open, e -> shiftleft(cast(shiftright(e, 1) AS bigint), 32) | size({toks})))), (o, c) -> named_struct(
+        'pos', cast(shiftright(c, 32) AS int), 'end_pos', cast(c & 4294967295 AS int),
+        'parent_pos', if(o < 4294967296, NULL, cast(shiftright(o, 32) - 1 AS int)),
+        'depth', cast(shiftright(o & 4294967295, 1) AS int), 'tag', get(events, cast(shiftright(c, 32) AS int)).tag, 'scoped', o % 2 = 1))"""
+    fold = f"""aggregate({starts}, named_struct('open', empty.ints, 'marks', empty.marks, 'opens', empty.lists, 'closes', empty.lists),
+        (state, first) -> {_chunk(chunk)}, state -> {last})"""
+    parents = f"""array_distinct(transform(filter(found, f -> f.parent_pos IS NOT NULL AND NOT {_is_in('f.tag', INLINE_TAGS)}),
+        f -> 2 * f.parent_pos + 1))"""
+    both = f"sort_array(concat(transform(found, f -> 2 * f.pos), {parents}))"
+    blocks = "filter(transform(both, (x, i) -> if(x % 2 = 1, NULL, coalesce(get(both, i + 1) = x + 1, false))), x -> x IS NOT NULL)"
+    ordered = f"""zip_with(found, {blocks}, (f, b) -> named_struct('pos', f.pos, 'end_pos', f.end_pos,
+        'parent_pos', f.parent_pos, 'depth', f.depth, 'tag', f.tag, 'scoped', f.scoped, 'block_child', b))"""
+    nothing = json.dumps({"ints": [], "cuts": [], "longs": [], "lists": [], "marks": [[0] * (len(NEAREST) + BUCKETS)]})
+    built = _let("events", _tag_events(toks, names), _let("found", fold, _let("both", both, ordered)))
+    return _let("empty", f"from_json('{nothing}', '{EMPTY_TYPE}')", built)
 
 
 # --- Content root and blocks --------------------------------------------------------------------
