@@ -282,7 +282,12 @@ def sitemap_scan_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return findings.scan_summary(inputs.pages(spark, sf), page_issues(spark, sf))
+    return audits.audit_summary(inputs.rewritten_pages(spark, sf), _model(spark, sf), _phrases(spark, sf))
+
+
+def sitemap_audit_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every listed URL, not a slice of them."""
+    return audits.scan(inputs.listed_urls(spark, sf), inputs.rewritten_pages(spark, sf), _model(spark, sf))[1]
 
 
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,6 +304,13 @@ def csv_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.read_report(spark, report.write_csv(report_rows(spark, sf), stage_path(spark, "report"), "csv"))
 
 
+def csv_report_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the report as they stand in it, page by page."""
+    issues = staged(page_issues(spark, sf), "issues")
+    rows = staged(report.placed_rows(issues, inputs.pages(spark, sf), ARGUMENTS["sitemap_url"], ARGUMENTS["scan_time"]), "report")
+    return report.read_report(spark, report.write_csv(rows, stage_path(spark, "report"), "csv"), lines=True)
+
+
 def json_feed_scan(spark: SparkSession, sf: str) -> DataFrame:
     issues, folder = staged(page_issues(spark, sf), "issues"), stage_path(spark, "feed")
     summary = report.scan_scalars(issues, inputs.pages(spark, sf), ARGUMENTS["sitemap_url"], ARGUMENTS["scan_time"])
@@ -323,6 +335,15 @@ def batched_audit_in_steps(spark: SparkSession, sf: str) -> DataFrame:
     return batches.batch_findings(spark, output).drop("batch_id")
 
 
+def batched_audit_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same URLs audited again after their HTML has changed: findings as of the pages as they are now."""
+    output, model = stage_path(spark, "batches"), _model(spark, sf)
+    params = AuditParams(batch_size=ARGUMENTS["batch_size"])
+    batches.run_batches(inputs.pages(spark, sf), model, output, params=params)
+    batches.run_batches(inputs.rewritten_pages(spark, sf), model, output, params=params)
+    return batches.batch_findings(spark, output).drop("batch_id")
+
+
 def _incremental(spark: SparkSession, sf: str, pages: DataFrame) -> DataFrame:
     arriving, output = stage_path(spark, "arriving"), stage_path(spark, "incremental")
     pages.repartition(4, "page_id").write.parquet(arriving)
@@ -340,6 +361,16 @@ def incremental_audit_rewritten(spark: SparkSession, sf: str) -> DataFrame:
     return _incremental(spark, sf, inputs.rewritten_pages(spark, sf))
 
 
+def incremental_audit_landed_again(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages land, then land again with other HTML: only their last findings count."""
+    arriving, output, progress = (stage_path(spark, n) for n in ("arriving", "incremental", "progress"))
+    for pages in (inputs.pages(spark, sf), inputs.rewritten_pages(spark, sf)):
+        pages.repartition(4, "page_id").write.mode("append").parquet(arriving)
+        incremental.start_incremental_audit(
+            spark, arriving, pages.schema, output, progress, _model(spark, sf), files_per_trigger=4).awaitTermination()
+    return incremental.incremental_findings(spark, output).drop("chunk")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the audit rules over the labelled documents."""
     return audit_documents(spark, ENTRY_DIR)
@@ -404,6 +435,10 @@ def queries() -> dict[str, Query]:
         "json_feed_scan": json_feed_scan,
         "batched_audit_in_steps": batched_audit_in_steps,
         "incremental_audit_rewritten": incremental_audit_rewritten,
+        "incremental_audit_landed_again": incremental_audit_landed_again,
+        "batched_audit_after_changes": batched_audit_after_changes,
+        "csv_report_in_order": csv_report_in_order,
+        "sitemap_audit_whole": sitemap_audit_whole,
     }
     return found | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
 

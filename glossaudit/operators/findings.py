@@ -137,10 +137,13 @@ def described_findings(found: DataFrame, blocks: DataFrame) -> DataFrame:
             part_fix(F.col("detected_lang"))).alias("suggested_fix"))
 
 
+def issue_summary(issues: DataFrame) -> DataFrame:
+    """One row: flagged_urls (distinct), total_issues."""
+    per_url = issues.groupBy("url").agg(F.count("*").alias("n"))
+    return per_url.agg(F.count("*").alias("flagged_urls"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_issues"))
+
+
 def scan_summary(urls: DataFrame, issues: DataFrame) -> DataFrame:
     """One row: total_urls (failed fetches included), flagged_urls (distinct), total_issues."""
     total = urls.agg(F.count("*").alias("total_urls"))
-    per_url = issues.groupBy("url").agg(F.count("*").alias("n"))
-    flagged = per_url.agg(
-        F.count("*").alias("flagged_urls"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_issues"))
-    return flagged.select(total.scalar().alias("total_urls"), "flagged_urls", "total_issues")
+    return issue_summary(issues).select(total.scalar().alias("total_urls"), "flagged_urls", "total_issues")

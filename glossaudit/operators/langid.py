@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaudit.functions.text import NO_GRAM, clean_label, explode_trigrams, flatten_newlines, normalize_text
-from glossaudit.storage import small_enough, staged
+from glossaudit.storage import fingerprint, small_enough, staged
 
 SCALE = 1_000_000  # log-probabilities are kept as whole millionths: sums do not depend on order
 
@@ -27,6 +27,10 @@ class LanguageModel:
     def broadcastable(self) -> bool:
         return small_enough(self.n_grams, 64 + 8 * len(self.languages))
 
+    def fingerprint(self) -> str:
+        """Differs for models that score differently."""
+        return f"{','.join(self.languages)} {fingerprint(self.grams, 'gram', 'lp')}"
+
     def as_table(self) -> DataFrame:
         """(gram, lang, lp), one row per pair."""
         names = F.array(*[F.lit(lang) for lang in self.languages])

@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 from glossaudit.fixed_values import REPORT_COLUMNS
 from glossaudit.functions.text import csv_safe, json_for_script, timestamp_name
 from glossaudit.operators.findings import scan_summary
+from glossaudit.operators.slicing import with_position
 
+PLACE = ["page_id", "seq"]  # where a finding stands among all of a scan
 
-def report_rows(issues: DataFrame, urls: DataFrame, sitemap_url: str, scan_time: str) -> DataFrame:
-    """The issues with the four scan columns in front. No issue, no row.
+
+def placed_rows(issues: DataFrame, urls: DataFrame, sitemap_url: str, scan_time: str) -> DataFrame:
+    """page_id and seq, then the issues with the four scan columns in front. No issue, no row.
 
     The scan columns are scalar subqueries: computed once, then constants for every row. ``issues``
     is read twice and should be a staged table.
@@ -25,7 +28,21 @@ def report_rows(issues: DataFrame, urls: DataFrame, sitemap_url: str, scan_time:
         summary.select("total_urls").scalar().alias("total_urls"),
         summary.select("flagged_urls").scalar().alias("flagged_urls"),
         F.lit(scan_time).alias("scan_time"),
-    ).select(*REPORT_COLUMNS)
+    ).select(*PLACE, *REPORT_COLUMNS)
+
+
+def report_rows(issues: DataFrame, urls: DataFrame, sitemap_url: str, scan_time: str) -> DataFrame:
+    """The columns of a report; see :func:`placed_rows`, which a report in page order is written from."""
+    return placed_rows(issues, urls, sitemap_url, scan_time).select(*REPORT_COLUMNS)
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows that have a place sorted by it, over partitions that hold one range after the other.
+
+    Written, the parts by name and the rows of each part are in page order, and no task sorts more than its range. The
+    ranges come from a sample, so ``rows`` should be a staged table. Rows without a place stay as they are.
+    """
+    return rows.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE) if set(PLACE) <= set(rows.columns) else rows
 
 
 def scan_scalars(issues: DataFrame, urls: DataFrame, sitemap_url: str, scan_time: str) -> DataFrame:
@@ -59,33 +76,39 @@ def scan_stamp(spark, at: datetime | None = None) -> tuple[str, str]:
 def write_csv(report: DataFrame, output: str, stamp: str) -> str:
     """Write ``output/report_<stamp>`` as CSV with a header; an existing report is an error.
 
-    An empty report still has its header, from one empty part.
+    Rows of :func:`placed_rows` are written in page order, see :func:`in_order`. An empty report still has its header,
+    from one empty part.
     """
     path = f"{output}/report_{stamp}"
-    csv_safe_columns(report).write.mode("error").csv(
+    csv_safe_columns(in_order(report).select([c for c in report.columns if c not in PLACE])).write.mode("error").csv(
         path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False)
     return path
 
 
 def write_json(issues: DataFrame, output: str, stamp: str, scan: DataFrame | None = None) -> str:
-    """Write the dashboard feed as JSON lines next to the CSV report: ``issues``, and ``scan`` with its scalars."""
+    """Write the dashboard feed as JSON lines next to the CSV report: ``issues`` in page order, and ``scan`` with its scalars."""
     path = f"{output}/report_{stamp}_json"
-    issues_json(issues).write.mode("error").text(f"{path}/issues")
+    issues_json(in_order(issues)).write.mode("error").text(f"{path}/issues")
     if scan is not None:
         issues_json(scan).coalesce(1).write.mode("error").text(f"{path}/scan")  # one row
     return path
 
 
-def read_report(spark, path: str) -> DataFrame:
-    """A saved CSV report; empty cells are empty strings."""
+def read_report(spark, path: str, lines: bool = False) -> DataFrame:
+    """A saved CSV report; empty cells are empty strings. ``lines`` adds ``line``, the row's number in the whole report."""
     schema = T.StructType([
         T.StructField(c, T.LongType() if c in ("total_urls", "flagged_urls") else T.StringType())
         for c in REPORT_COLUMNS
     ])
-    return spark.read.schema(schema).csv(
+    rows = spark.read.schema(schema).csv(
         path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False).fillna("")
+        ignoreTrailingWhiteSpace=False)
+    if not lines:
+        return rows.fillna("")
+    # A part is read by one task from its first row to its last.
+    found = rows.select("*", F.col("_metadata.file_name").alias("part_file"), F.monotonically_increasing_id().alias("nth"))
+    return with_position(found, "part_file", "nth", name="line").drop("part_file", "nth").fillna("")
 
 
 def search_report(report: DataFrame, words: str = "", sort_by: str | None = None, descending: bool = False) -> DataFrame:

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from glossaudit.functions.text import collapse_whitespace, element_descriptor, snippet
 from glossaudit.operators.dom import text_blocks
 from glossaudit.operators.findings import (
-    confident, described_findings, drop_ignored, findings_by_join, findings_in_pages)
+    confident, described_findings, drop_ignored, findings_by_join, findings_in_pages, issue_summary)
 from glossaudit.operators.langid import LanguageModel, detect_language, language_scores, numbered
 from glossaudit.operators.slicing import url_slice
 from glossaudit.params import AuditParams
-from glossaudit.sources.pages import audit_input, scan_input
-from glossaudit.storage import staged
+from glossaudit.sources.pages import scan_input, usable_pages
+from glossaudit.storage import spread, staged
 
 
 def described(blocks: DataFrame, *keep: str) -> DataFrame:
@@ -38,10 +38,18 @@ def page_detections(
     return blocks.drop("text").join(scores.drop("page_id", "idx"), "row").drop("row")
 
 
-def page_blocks(pages: DataFrame, phrases: DataFrame | None, params: AuditParams) -> DataFrame:
-    """The described text blocks of the pages in the slice, written once and numbered."""
-    sliced = url_slice(pages, params.offset, params.limit, "page_id")
-    blocks = text_blocks(audit_input(sliced, params.strict), params)
+def page_blocks(
+    pages: DataFrame, phrases: DataFrame | None, params: AuditParams, seen: Observation | None = None,
+) -> DataFrame:
+    """The described text blocks of the pages in the slice, written once and numbered.
+
+    ``seen`` counts the pages (``total_urls``) as they are read for it: those that are not usable too. It stands in the
+    stage that writes, whose tasks count once each, however often they are tried.
+    """
+    sliced = spread(url_slice(pages, params.offset, params.limit, "page_id"))
+    if seen is not None:
+        sliced = sliced.observe(seen, F.count(F.lit(1)).alias("total_urls"))
+    blocks = text_blocks(usable_pages(sliced, params.strict), params)
     if phrases is not None:
         blocks = drop_ignored(blocks, phrases)
     return numbered(described(blocks, "page_id", "url", "declared_lang", "idx"), "blocks")
@@ -49,21 +57,31 @@ def page_blocks(pages: DataFrame, phrases: DataFrame | None, params: AuditParams
 
 def audit(
     pages: DataFrame, model: LanguageModel, phrases: DataFrame | None = None,
-    params: AuditParams = AuditParams(),
+    params: AuditParams = AuditParams(), seen: Observation | None = None,
 ) -> DataFrame:
     """All findings of a table of pages: (page_id, seq, url, declared_lang, ..., suggested_fix).
 
     ``page_id`` is the place of a page in the URL list, which ``params`` may slice. Pages are parsed once and their
     blocks written when this is called. Languages are decided on numbers alone; what a finding shows of its block is
     joined to the findings only. Findings are ordered by (page_id, seq); the order is left to whoever writes them.
+    ``seen`` observes the number of pages, see :func:`page_blocks`.
     """
-    blocks = page_blocks(pages, phrases, params)
+    blocks = page_blocks(pages, phrases, params, seen)
     scores = language_scores(blocks, model, "page_id", "idx", "row", temperature=params.temperature)
     sure = confident(scores, params.confidence)
     marked = findings_in_pages(sure, blocks.select("row", "declared_lang"))
     return described_findings(marked, blocks.select("row", "url", "snippet", "element"))
 
 
+def audit_summary(
+    pages: DataFrame, model: LanguageModel, phrases: DataFrame | None = None, params: AuditParams = AuditParams(),
+) -> DataFrame:
+    """One row: total_urls, flagged_urls, total_issues of an audit, whose pages are counted as it reads them."""
+    seen = Observation("scanned pages")
+    issues = audit(pages, model, phrases, params, seen)
+    return issue_summary(issues).select(F.lit(seen.get["total_urls"]).alias("total_urls"), "flagged_urls", "total_issues")
+
+
 def scan(
     urls: DataFrame, pages: DataFrame, model: LanguageModel, phrases: DataFrame | None = None,
     params: AuditParams = AuditParams(),

@@ -14,7 +14,7 @@ from glossaudit.operators.langid import LanguageModel
 from glossaudit.operators.slicing import url_slice, with_batch
 from glossaudit.params import AuditParams
 from glossaudit.plans.audit import audit
-from glossaudit.storage import staged
+from glossaudit.storage import fingerprint, staged
 
 MARKS = "batch_id long, first long, last long, n_pages long, digest long, settings string, commit long"
 BATCHES_PER_COMMIT = 100_000  # the batches of a commit are broadcast: some 40 bytes each
@@ -38,18 +38,27 @@ def completion_marks(spark: SparkSession, output: str) -> DataFrame:
     return latest.select("batch_id", "mark.*")
 
 
-def _settings(params: AuditParams) -> str:
-    return str(replace(params, offset=0, limit=0))
+def audit_settings(model: LanguageModel, phrases: DataFrame | None, params: AuditParams) -> str:
+    """What findings depend on besides the pages: parameters, the model's scores, the ignored phrases."""
+    ignored = "none" if phrases is None else fingerprint(phrases.distinct(), "phrase")
+    return f"{replace(params, offset=0, limit=0)} model {model.fingerprint()} phrases {ignored}"
 
 
-def pending_batches(pages: DataFrame, output: str, params: AuditParams) -> DataFrame:
+def page_digests(pages: DataFrame) -> DataFrame:
+    """(page_id, key), written once: a page's digest covers its address, its status and its HTML."""
+    said = [c for c in ("page_id", "url", "status", "html") if c in pages.columns]
+    return staged(pages.select("page_id", F.xxhash64(*said).alias("key")), "digests")
+
+
+def pending_batches(digests: DataFrame, output: str, settings: str, params: AuditParams) -> DataFrame:
     """(batch_id, first, last, n_pages, digest) of the batches of the slice whose mark does not cover them.
 
     A batch covers the pages of the slice and those of its mark. It is done if its mark names just these pages, by
-    range, number and digest of their URLs, under the same settings. Reads page_id and url only.
+    range, number and digest of their content, under the same settings. ``digests``: see :func:`page_digests`; the pages
+    themselves are not read.
     """
-    narrow = with_batch(pages.select("page_id", F.xxhash64("page_id", "url").alias("key")), params.batch_size, "page_id")
-    marks = completion_marks(pages.sparkSession, output).select(
+    narrow = with_batch(digests, params.batch_size, "page_id")
+    marks = completion_marks(digests.sparkSession, output).select(
         "batch_id", *(F.col(c).alias(f"old_{c}") for c in ("first", "last", "n_pages", "digest", "settings")))
     wanted = url_slice(narrow, params.offset, params.limit, "page_id").groupBy("batch_id").agg(
         F.min("page_id").alias("low"), F.max("page_id").alias("high")).join(marks, "batch_id", "left")
@@ -62,7 +71,7 @@ def pending_batches(pages: DataFrame, output: str, params: AuditParams) -> DataF
     same = F.lit(True)
     for name in ("first", "last", "n_pages", "digest"):
         same = same & F.col(name).eqNullSafe(F.col(f"old_{name}"))
-    done = same & F.col("old_settings").eqNullSafe(F.lit(_settings(params)))
+    done = same & F.col("old_settings").eqNullSafe(F.lit(settings))
     return found.where(~done).select("batch_id", "first", "last", "n_pages", "digest")
 
 
@@ -74,13 +83,15 @@ def run_batches(
 
     ``page_id`` is the position of a page in the URL list (see ``slicing.with_position``). A commit audits up to
     ``batches_per_commit`` batches, writes their findings to ``output/findings/commit=T`` and then their completion
-    marks to ``output/done``. Only what a batch's last mark points to counts, so neither a crash between the two nor
+    marks to ``output/done``. A batch is audited again if any of its pages, the model's scores, the ignored phrases or the
+    parameters have changed. Only what a batch's last mark points to counts, so neither a crash between the two nor
     findings of an earlier run are ever read. The first failing commit stops the run, and the next run starts there.
     Pages are read by the ids of a commit's batches, without moving them.
     """
     if not 0 < batches_per_commit <= BATCHES_PER_COMMIT:
         raise ValueError(f"batches_per_commit must be between 1 and {BATCHES_PER_COMMIT}")
-    pending = staged(pending_batches(pages, output, params), "pending")
+    settings = audit_settings(model, phrases, params)
+    pending = staged(pending_batches(page_digests(pages), output, settings, params), "pending")
     total = pending.agg(F.min("batch_id").alias("low"), F.max("batch_id").alias("high"), F.count("*").alias("n")).first()
     plain, commit = replace(params, offset=0, limit=0), 0
     for low in range(total["low"], total["high"] + 1, batches_per_commit) if total["n"] else ():
@@ -95,7 +106,7 @@ def run_batches(
                              & F.col("page_id").between(F.col("first"), F.col("last"))).select(pages.columns)
         issues = with_batch(audit(inside, model, phrases, plain), params.batch_size, "page_id")
         issues.write.mode("overwrite").parquet(f"{output}/findings/commit={commit}")
-        marks = part.withColumns({"settings": F.lit(_settings(params)), "commit": F.lit(commit)})
+        marks = part.withColumns({"settings": F.lit(settings), "commit": F.lit(commit)})
         marks.write.mode("append").parquet(f"{output}/done")
     return total["n"]
 

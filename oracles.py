@@ -479,6 +479,12 @@ def oracle_statements(params: dict) -> dict[str, str]:
         "csv_report": statement(odd_audit, f"""SELECT {report}, {safe('url')} AS url, {safe('declared_lang')} AS declared_lang,
             {safe('detected_lang')} AS detected_lang, issue_type, {safe('snippet')} AS snippet, {safe('element')} AS element,
             suggested_fix FROM issues"""),
+        "csv_report_in_order": statement(odd_audit, f"""SELECT row_number() OVER (ORDER BY page_id, seq) - 1 AS line, {report},
+            {safe('url')} AS url, {safe('declared_lang')} AS declared_lang, {safe('detected_lang')} AS detected_lang, issue_type,
+            {safe('snippet')} AS snippet, {safe('element')} AS element, suggested_fix FROM issues"""),
+        "sitemap_audit_whole": statement([*scan_input(0, 1 << 40), *page_ctes(ignore=False)], audit_select),
+        "batched_audit_after_changes": statement(odd_plain, audit_select),
+        "incremental_audit_landed_again": statement(odd_plain, audit_select),
         "json_feed_scan": statement(odd_audit, f"""SELECT to_json({{'sitemap_url': sitemap_url, 'total_urls': total_urls,
             'flagged_urls': flagged_urls, 'scan_time': scan_time}})::VARCHAR AS json FROM (SELECT {report})"""),
         "batched_audit_in_steps": statement(odd_plain, audit_select),

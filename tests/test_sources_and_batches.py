@@ -1,4 +1,6 @@
+import json
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +208,30 @@ def test_a_rerun_that_finds_nothing_leaves_nothing(spark, site, model, tmp_path)
     assert batches.batch_findings(spark, output).count() == 0
 
 
+def test_what_changes_is_audited_again(spark, site, model, tmp_path):
+    """HTML, a status, the ignored phrases, the model: just the batches that they concern become pending."""
+    output, params = str(tmp_path / "out"), AuditParams(batch_size=5)
+
+    def run(pages, model=model, phrases=None):
+        done = batches.run_batches(pages, model, output, phrases, params)
+        assert rows_of(batches.batch_findings(spark, output)) == rows_of(audits.audit(pages, model, phrases))
+        return done
+
+    assert run(site) == 4
+    changed = site.withColumn("html", F.when(F.col("page_id").isin(3, 11), F.lit("<html></html>")).otherwise(F.col("html")))
+    assert run(changed) == 2
+    gone = changed.withColumn("status", F.when(F.col("page_id") == 19, 0).otherwise(F.col("status")))
+    assert run(gone) == 1
+    assert run(gone) == 0
+    text = audits.text_blocks(audits.usable_pages(gone)).first().text
+    phrases = spark.createDataFrame([(text.lower(),)], "phrase string")
+    assert run(gone, phrases=phrases) == 4
+    assert run(gone, phrases=phrases.union(phrases)) == 0
+    assert run(gone) == 4
+    other = replace(model, grams=model.grams.withColumn("lp", F.transform("lp", lambda x: x - 1)))
+    assert run(gone, model=other) == 4
+
+
 def test_batched_audit_ignores_findings_without_a_mark(spark, site, model, tmp_path):
     output, params = str(tmp_path / "out"), AuditParams(batch_size=5, offset=5, limit=10)
     part = site.where("page_id >= 5 AND page_id < 15")
@@ -250,6 +276,64 @@ def test_incremental_audit_equals_batch(spark, site, model, tmp_path):
     assert rows_of(incremental.incremental_findings(spark, output)) == rows_of(audits.audit(site, model))
 
 
+def test_a_page_that_lands_again_replaces_its_findings(spark, site, model, tmp_path):
+    arriving, output, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+
+    def land(pages, files):
+        pages.repartition(files).write.mode("append").parquet(arriving)
+        incremental.start_incremental_audit(
+            spark, arriving, site.schema, output, progress, model, files_per_trigger=10).awaitTermination()
+        return rows_of(incremental.incremental_findings(spark, output))
+
+    whole = rows_of(audits.audit(site, model))
+    assert land(site, 3) == whole
+    assert land(site, 2) == whole
+    clean = site.where("page_id IN (0, 3, 4)").withColumn("html", F.lit("<html></html>"))
+    assert land(clean, 1) == [r for r in whole if r[0] not in (0, 3, 4)]
+    assert land(site.where("page_id < 4"), 1) == [r for r in whole if r[0] != 4]
+
+
+def test_of_files_that_arrive_together_the_last_one_counts(spark, site, model, tmp_path):
+    arriving = str(tmp_path / "in")
+    site.coalesce(1).write.parquet(arriving)
+    for path in os.listdir(arriving):
+        os.utime(f"{arriving}/{path}", (1_000_000, 1_000_000))
+    later = site.where("page_id < 10").withColumn("html", F.lit("<html></html>"))
+    later.coalesce(1).write.mode("append").parquet(arriving)
+    incremental.start_incremental_audit(
+        spark, arriving, site.schema, str(tmp_path / "out"), str(tmp_path / "progress"), model).awaitTermination()
+    got = rows_of(incremental.incremental_findings(spark, str(tmp_path / "out")))
+    assert got == [r for r in rows_of(audits.audit(site, model)) if r[0] >= 10] != []
+
+
+def test_report_is_in_page_order(spark, site, model, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if it were large: several parts
+    many = site.crossJoin(spark.range(30)).withColumn("page_id", F.col("page_id") * 30 + F.col("id")).drop("id").repartition(5)
+    issues = audits.audit(many, model)
+    issues = issues.repartition(7).cache()
+    path = report.write_csv(report.placed_rows(issues, many, "map", "now"), str(tmp_path), "stamp")
+    want = [(r.url, r.issue_type, r.snippet) for r in issues.orderBy("page_id", "seq").collect()]
+    back = report.read_report(spark, path, lines=True).orderBy("line").collect()
+    assert [r.line for r in back] == list(range(len(want)))
+    assert [(r.url, r.issue_type, r.snippet) for r in back] == want
+    assert len([n for n in os.listdir(path) if n.startswith("part")]) > 1
+    feed = report.write_json(issues, str(tmp_path), "stamp")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lines = []
+    for name in sorted(n for n in os.listdir(f"{feed}/issues") if n.startswith("part")):
+        with open(f"{feed}/issues/{name}", encoding="utf-8") as part:
+            lines += [json.loads(line) for line in part]
+    assert [(r["url"], r["issue_type"], r["snippet"]) for r in lines] == want
+
+
+def test_summary_counts_pages_as_they_are_read(spark, site, model):
+    odd = site.withColumn("status", F.when(F.col("page_id") < 3, 0).otherwise(200))
+    want = findings.scan_summary(odd, audits.audit(odd, model)).first()
+    assert audits.audit_summary(odd, model).first() == want and want.total_urls == 20
+    part = AuditParams(offset=2, limit=5)
+    assert audits.audit_summary(odd, model, params=part).first().total_urls == 5
+
+
 def test_report(spark, site, model, tmp_path):
     issues = audits.audit(site, model)
     rows = report.report_rows(issues, site, "=map", "2024-05-06T07:08:09")
