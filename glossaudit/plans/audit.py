@@ -79,7 +79,7 @@ def audit_summary(
     """One row: total_urls, flagged_urls, total_issues of an audit, whose pages are counted as it reads them."""
     seen = Observation("scanned pages")
     issues = audit(pages, model, phrases, params, seen)
-    return issue_summary(issues).select(F.lit(seen.get["total_urls"]).alias("total_urls"), "flagged_urls", "total_issues")
+    return issue_summary(issues).select(F.lit(seen.get["total_urls"]).cast("long").alias("total_urls"), "flagged_urls", "total_issues")
 
 
 def scan(
