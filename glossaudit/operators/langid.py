@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossaudit import storage
 from glossaudit.functions.text import NO_GRAM, clean_label, explode_trigrams, flatten_newlines, normalize_text
 from glossaudit.storage import fingerprint, small_enough, staged
 
@@ -17,11 +18,13 @@ SCALE = 1_000_000  # log-probabilities are kept as whole millionths: sums do not
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``grams`` holds (gram, lp): one log-probability per language, in the order of ``languages``."""
+    """``grams`` holds (gram, lp, n): one log-probability per language, in the order of ``languages``, and how often the gram
+    was counted. ``temperature`` is what softens scores into shares unless a caller names another."""
 
     languages: tuple[str, ...]
     grams: DataFrame
     n_grams: int
+    temperature: float = 1.0
 
     @property
     def broadcastable(self) -> bool:
@@ -29,7 +32,17 @@ class LanguageModel:
 
     def fingerprint(self) -> str:
         """Differs for models that score differently."""
-        return f"{','.join(self.languages)} {fingerprint(self.grams, 'gram', 'lp')}"
+        return f"{','.join(self.languages)} {self.temperature} {fingerprint(self.grams, 'gram', 'lp')}"
+
+    def hot(self) -> DataFrame:
+        """(gram, lp) of the grams counted most often, as many as may be broadcast: all counted at least some power of 2 times."""
+        room, least = storage.BROADCAST_LIMIT_BYTES // (64 + 8 * len(self.languages)), 64
+        for row in self.grams.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect():
+            room -= row["count"]  # at most 64 rows
+            if room < 0:
+                break
+            least = row["power"]
+        return self.grams.where(F.floor(F.log2("n")) >= least).select("gram", "lp")
 
     def as_table(self) -> DataFrame:
         """(gram, lang, lp), one row per pair."""
@@ -63,7 +76,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most_lang
         F.round(F.log((F.col(f"n{i}") + 1) / F.lit(totals[f"n{i}"] + totals["v"])) * SCALE).cast("long")
         for i in range(len(languages))
     ]
-    return LanguageModel(languages, counts.select("gram", F.array(*lp).alias("lp")), totals["v"])
+    seen = reduce(operator.add, (F.col(f"n{i}") for i in range(len(languages))))
+    return LanguageModel(languages, counts.select("gram", F.array(*lp).alias("lp"), seen.alias("n")), totals["v"])
 
 
 def _top(scores: list[Column], languages: tuple[str, ...], temperature: float) -> tuple[Column, Column]:
@@ -75,24 +89,42 @@ def _top(scores: list[Column], languages: tuple[str, ...], temperature: float) -
     return F.get(names, (F.array_position(array, best) - 1).cast("int")), F.lit(1.0) / reduce(operator.add, shares)
 
 
+def _scored_beyond_broadcast(grams: DataFrame, model: LanguageModel, *keys: str) -> DataFrame:
+    """(keys, s0, s1, ...) with a model of any size, without a task for each frequent gram.
+
+    The most frequent grams are sent to all tasks and summed up per text where the text is. Of the others a text's
+    distinct ones are counted there too, and only those counts go to the model, dealt by gram. What is left of a text
+    before that is one row and its distinct rare grams; it is written when this is called.
+    """
+    hot = grams.join(F.broadcast(model.hot()), "gram", "left")
+    rare = F.when(F.col("lp").isNull(), F.col("gram"))
+    sums = [F.sum(F.get("lp", F.lit(i))).alias(f"s{i}") for i in range(len(model.languages))]
+    counted = staged(hot.withColumn("rare", rare).groupBy(*keys, "rare").agg(F.count("*").alias("times"), *sums), "gram-counts")
+    found = counted.where("rare IS NOT NULL").select(*keys, F.col("rare").alias("gram"), "times").join(
+        model.grams.select("gram", "lp"), "gram", "left")
+    found = found.select(*keys, *((F.get("lp", F.lit(i)) * F.col("times")).alias(f"s{i}") for i in range(len(model.languages))))
+    both = counted.where("rare IS NULL").select(found.columns).unionByName(found)
+    return both.groupBy(*keys).agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(model.languages))))
+
+
 def language_scores(texts: DataFrame, model: LanguageModel, *keys: str, text: str = "text",
-                    temperature: float = 1.0) -> DataFrame:
+                    temperature: float | None = None) -> DataFrame:
     """(keys, lang, confidence): the language of each text, for keys that are unique and narrow.
 
     The keys are copied to every character of a text, so they should be a few numbers. Texts without a known gram keep
     their row, as (null, 0.0). Grams of one text sit in one partition, which makes the partial sums complete: one short
     row per text is shuffled. Rows with equal keys would be taken as one text.
+    ``temperature``: the model's own if it is None.
     """
     normal = texts.select(*keys, flatten_newlines(normalize_text(F.col(text))).alias(text))
     grams = explode_trigrams(normal, text, *keys)
     if model.broadcastable:
-        hits = grams.withColumn("n", F.lit(1)).join(F.broadcast(model.grams), "gram", "left")
+        hits = grams.join(F.broadcast(model.grams.select("gram", "lp")), "gram", "left")
+        scored = hits.groupBy(*keys).agg(*(F.sum(F.get("lp", F.lit(i))).alias(f"s{i}") for i in range(len(model.languages))))
     else:
-        # A model beyond the broadcast limit is joined by shuffle, after counting repeated grams.
-        hits = grams.groupBy(*keys, "gram").agg(F.count("*").alias("n")).join(model.grams, "gram", "left")
-    sums = [F.sum(F.get("lp", F.lit(i)) * F.col("n")).alias(f"s{i}") for i in range(len(model.languages))]
-    scored = hits.groupBy(*keys).agg(*sums)
-    lang, confidence = _top([F.col(f"s{i}") for i in range(len(model.languages))], model.languages, temperature)
+        scored = _scored_beyond_broadcast(grams, model, *keys)
+    scores = [F.col(f"s{i}") for i in range(len(model.languages))]
+    lang, confidence = _top(scores, model.languages, model.temperature if temperature is None else temperature)
     known = F.col("s0").isNotNull()
     return scored.select(
         *keys, F.when(known, lang).alias("lang"), F.when(known, confidence).otherwise(0.0).alias("confidence"))
@@ -104,7 +136,7 @@ def numbered(texts: DataFrame, name: str = "texts") -> DataFrame:
 
 
 def detect_language(
-    texts: DataFrame, model: LanguageModel, text: str = "text", temperature: float = 1.0,
+    texts: DataFrame, model: LanguageModel, text: str = "text", temperature: float | None = None,
 ) -> DataFrame:
     """The columns of ``texts`` but the text, with ``lang`` and ``confidence``; one row per row.
 

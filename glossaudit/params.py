@@ -13,7 +13,7 @@ class AuditParams:
 
     ``offset`` and ``limit`` slice the ordered URL list; 0 means "from the start" and "no limit".
     ``strict`` drops pages whose HTTP status is 400 or above; otherwise they are analysed.
-    ``temperature`` divides the log-probabilities before they become shares: above 1 less is certain.
+    ``temperature`` divides the log-probabilities before they become shares: above 1 less is certain. None: the model's own.
     ``prune_skipped`` also drops everything *inside* skipped tags (off: only the tag itself).
     """
 
@@ -24,4 +24,4 @@ class AuditParams:
     batch_size: int = DEFAULT_BATCH_SIZE
     strict: bool = False
     prune_skipped: bool = False
-    temperature: float = 1.0
+    temperature: float | None = None

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from glossaudit.functions.text import explode_trigrams
 from glossaudit.operators import findings, langid
 from glossaudit.params import AuditParams
 from glossaudit.plans import audit as audits
@@ -94,10 +95,29 @@ def test_detection(spark, model, monkeypatch):
     assert not model.broadcastable
     shuffled = {r.id: (r.lang, r.confidence) for r in langid.detect_language(texts, model).collect()}
     assert shuffled == got
+    monkeypatch.setattr("glossaudit.storage.BROADCAST_LIMIT_BYTES", 88 * 40)  # room for some grams
+    assert not model.broadcastable and 0 < model.hot().count() <= 40
+    assert {r.id: (r.lang, r.confidence) for r in langid.detect_language(texts, model).collect()} == got
     flat = {r.id: r.confidence for r in langid.detect_language(texts, model, temperature=100.0).collect()}
     assert flat[0] < got[0][1]
 
 
+def test_frequent_grams_do_not_meet_in_one_task(spark, monkeypatch):
+    """Texts that all hold the same frequent grams, with a model that may not be broadcast as a whole."""
+    model = langid.train(spark.createDataFrame([("en", EN)] * 20 + [("de", DE)], "lang string, text string"))
+    texts = spark.range(400).select("id", F.concat(F.lit(EN + " "), F.hex("id")).alias("text"))
+    monkeypatch.setattr("glossaudit.storage.BROADCAST_LIMIT_BYTES", 80 * (model.n_grams - 1))
+    assert not model.broadcastable
+    kept, dealt = langid.staged, []
+    monkeypatch.setattr(langid, "staged", lambda df, name: dealt.append(kept(df, name)) or dealt[-1])
+    scores = langid.language_scores(texts, model, "id")
+    assert {r.lang for r in scores.collect()} == {"en"}
+    per_gram = [r["count"] for r in dealt[0].where("rare IS NOT NULL").groupBy("rare").count().collect()]
+    whole = explode_trigrams(texts, "text", "id").select("id", "gram").distinct().groupBy("gram").count()
+    assert whole.agg(F.max("count")).first()[0] == 400  # what one task would have got
+    assert max(per_gram) < 100 and sum(per_gram) < 0.2 * whole.agg(F.sum("count")).first()[0]
+
+
 def test_model_table(spark):
     rows = [("en", "ab"), ("en", "ab a"), ("de", "b"), (None, "zzz")]
     model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
