@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from glossaudit import storage
 from glossaudit.functions.text import NO_GRAM, clean_label, explode_trigrams, flatten_newlines, normalize_text
 from glossaudit.storage import fingerprint, small_enough, staged
 
+TEMPERATURES = tuple(2.0 ** (k / 2) for k in range(21))  # 1 to 1,024
 SCALE = 1_000_000  # log-probabilities are kept as whole millionths: sums do not depend on order
 
 
@@ -107,6 +108,16 @@ def _scored_beyond_broadcast(grams: DataFrame, model: LanguageModel, *keys: str)
     return both.groupBy(*keys).agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(model.languages))))
 
 
+def score_sums(texts: DataFrame, model: LanguageModel, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, s0, s1, ...): the summed log-probability of each text in each language; null without a known gram."""
+    normal = texts.select(*keys, flatten_newlines(normalize_text(F.col(text))).alias(text))
+    grams = explode_trigrams(normal, text, *keys)
+    if not model.broadcastable:
+        return _scored_beyond_broadcast(grams, model, *keys)
+    hits = grams.join(F.broadcast(model.grams.select("gram", "lp")), "gram", "left")
+    return hits.groupBy(*keys).agg(*(F.sum(F.get("lp", F.lit(i))).alias(f"s{i}") for i in range(len(model.languages))))
+
+
 def language_scores(texts: DataFrame, model: LanguageModel, *keys: str, text: str = "text",
                     temperature: float | None = None) -> DataFrame:
     """(keys, lang, confidence): the language of each text, for keys that are unique and narrow.
@@ -116,13 +127,7 @@ def language_scores(texts: DataFrame, model: LanguageModel, *keys: str, text: st
     row per text is shuffled. Rows with equal keys would be taken as one text.
     ``temperature``: the model's own if it is None.
     """
-    normal = texts.select(*keys, flatten_newlines(normalize_text(F.col(text))).alias(text))
-    grams = explode_trigrams(normal, text, *keys)
-    if model.broadcastable:
-        hits = grams.join(F.broadcast(model.grams.select("gram", "lp")), "gram", "left")
-        scored = hits.groupBy(*keys).agg(*(F.sum(F.get("lp", F.lit(i))).alias(f"s{i}") for i in range(len(model.languages))))
-    else:
-        scored = _scored_beyond_broadcast(grams, model, *keys)
+    scored = score_sums(texts, model, *keys, text=text)
     scores = [F.col(f"s{i}") for i in range(len(model.languages))]
     lang, confidence = _top(scores, model.languages, model.temperature if temperature is None else temperature)
     known = F.col("s0").isNotNull()
@@ -146,3 +151,40 @@ def detect_language(
     rows = numbered(texts)
     scores = language_scores(rows, model, "row", text=text, temperature=temperature)
     return rows.drop(text).join(scores, "row").drop("row")
+
+
+def calibrated(model: LanguageModel, held_out: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
+    """The model with the temperature of TEMPERATURES under which the labels of texts it has not seen are likeliest.
+
+    Summed log-probabilities take neighbouring trigrams for independent and so are far too sure. Each text is scored
+    once; one aggregate sums the log-likelihood of its label at every temperature. Texts whose label the model does
+    not know, or without a known gram, do not count; with none that does, the temperature stays as it is.
+    """
+    rows = numbered(held_out.select(clean_label(F.col(lang)).alias("label"), F.col(text).alias("text")), "held-out")
+    sums = [F.col(f"s{i}") for i in range(len(model.languages))]
+    place = F.array_position(F.array(*(F.lit(code) for code in model.languages)), F.col("label")) - 1
+    scored = score_sums(rows, model, "row").where("s0 IS NOT NULL").join(rows.select("row", "label"), "row")
+    scored = scored.withColumn("own", F.get(F.array(*sums), place.cast("int"))).where("own IS NOT NULL")
+    best = F.greatest(*sums) if len(sums) > 1 else sums[0]
+
+    def unlikely(temperature: float) -> Column:
+        scale = F.lit(SCALE * temperature)
+        return F.log(reduce(operator.add, (F.exp((s - best) / scale) for s in sums))) - (F.col("own") - best) / scale
+
+    losses = scored.agg(*(F.sum(unlikely(t)).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))).first()
+    if losses[0] is None:
+        return model
+    return replace(model, temperature=min(zip(losses, TEMPERATURES))[1])
+
+
+def calibration(detections: DataFrame, label: str = "label") -> DataFrame:
+    """(bin, n, confidence, accuracy): by tenths of confidence how sure detections are, and how often they are right."""
+    tenth = F.least(F.floor(F.col("confidence") * 10), F.lit(9)).cast("int").alias("bin")
+    right = F.avg((F.col("lang") == F.col(label)).cast("double"))
+    return detections.where(F.col("lang").isNotNull()).groupBy(tenth).agg(
+        F.count("*").alias("n"), F.avg("confidence").alias("confidence"), right.alias("accuracy"))
+
+
+def calibration_error(bins: DataFrame) -> float:
+    """Mean distance of confidence from accuracy over all detections."""
+    return bins.agg(F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n")).first()[0]

@@ -273,6 +273,28 @@ def detection_ctes(source: str, keys: str, temperature: int = 1) -> list[tuple[s
     ]
 
 
+def calibration_ctes() -> list[tuple[str, str]]:
+    """``fitted`` (temperature): trained on three fifths of the documents, fitted to the lines of a fourth; ``judged``:
+    the last fifth's lines, detected at it."""
+    learnt = [("learnt", "SELECT * FROM documents WHERE doc_id % 5 >= 2"),
+              *((n, q.replace("FROM documents", "FROM learnt")) for n, q in MODEL)]
+    held = ("held", f"""SELECT doc_id, lang AS label, nth, text FROM (SELECT doc_id, lang, unnest(range(len(l))) AS nth,
+        unnest(l) AS text FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 5 < 2))
+        WHERE length(text) >= {fixed.DEFAULT_MIN_LENGTH}""")
+    scores = [c for c in detection_ctes("held", "doc_id, nth") if c[0] in ("row_words", "word_scores", "scores")]
+    return [*learnt, held, *scores,
+        ("bests", "SELECT *, max(score) OVER (PARTITION BY doc_id, nth) AS best FROM scores"),
+        ("grid", "SELECT pow(2.0::DOUBLE, k / 2.0::DOUBLE) AS t FROM (SELECT unnest(range(21)) AS k)"),
+        ("losses", """SELECT t, doc_id, nth, ln(sum(exp((score - best)::DOUBLE / (1000000 * t))))
+                - max(CASE WHEN lang = label THEN (score - best)::DOUBLE / (1000000 * t) END) AS loss
+            FROM bests JOIN held USING (doc_id, nth) CROSS JOIN grid WHERE doc_id % 5 = 0 GROUP BY t, doc_id, nth"""),
+        ("fitted", "SELECT arg_min(t, total) AS temperature FROM (SELECT t, sum(loss) AS total FROM losses GROUP BY t)"),
+        ("judged", """SELECT doc_id, nth, label, arg_max(lang, (score, lang_rank)) AS detected,
+                1.0::DOUBLE / sum(exp((score - best)::DOUBLE / (1000000 * temperature))) AS confidence
+            FROM (SELECT *, -row_number() OVER (PARTITION BY doc_id, nth ORDER BY lang) AS lang_rank FROM bests)
+            JOIN held USING (doc_id, nth) CROSS JOIN fitted WHERE doc_id % 5 = 1 GROUP BY doc_id, nth, label""")]
+
+
 def finding_ctes(page: str, idx: str) -> list[tuple[str, str]]:
     """``issues`` from ``detected`` (page, idx, url, text, tag, classes, id) and ``declarations``."""
     return [
@@ -454,6 +476,25 @@ def oracle_statements(params: dict) -> dict[str, str]:
         "confident_blocks_flat": statement(
             [PLAIN, *page_ctes(ignore=False, temperature=params["temperature"])],
             "SELECT page_id, idx, detected AS lang, round(confidence, 4) AS confidence FROM sure"),
+        "confidence_calibration": statement(calibration_ctes(), """SELECT (SELECT temperature FROM fitted) AS temperature,
+            least(floor(confidence * 10), 9)::INTEGER AS bin, count(*) AS n, round(avg(confidence), 4) AS confidence,
+            round(avg(CASE WHEN detected = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS accuracy FROM judged GROUP BY 2"""),
+        "confident_blocks_calibrated": statement(
+            [PLAIN, *block_ctes(), *calibration_ctes(), *((n, q) for n, q in (
+                ("block_words", f"""SELECT page_id, idx, word, count(*) AS n FROM (SELECT page_id, idx, unnest(regexp_extract_all(
+                    lower({normalized('text')}), '{LETTERS}')) AS word FROM blocks) GROUP BY ALL"""),
+                ("block_word_scores", """SELECT word, lang, sum(lp) AS score FROM (SELECT word, unnest(list_transform(
+                    range(1, length(word) + 1), lambda i: substring(' ' || word || ' ', i, 3))) AS gram
+                    FROM (SELECT DISTINCT word FROM block_words)) JOIN model USING (gram) GROUP BY ALL"""),
+                ("block_scores", """SELECT page_id, idx, lang, sum(n * score)::BIGINT AS score FROM block_words
+                    JOIN block_word_scores USING (word) GROUP BY ALL"""),
+                ("block_tops", """SELECT page_id, idx, arg_max(lang, (score, lang_rank)) AS lang,
+                    1.0::DOUBLE / sum(exp((score - best)::DOUBLE / (1000000 * (SELECT temperature FROM fitted)))) AS confidence
+                    FROM (SELECT *, max(score) OVER (PARTITION BY page_id, idx) AS best,
+                        -row_number() OVER (PARTITION BY page_id, idx ORDER BY lang) AS lang_rank FROM block_scores)
+                    GROUP BY page_id, idx""")))],
+            f"""SELECT page_id, idx, lang, round(confidence, 4) AS confidence FROM block_tops
+            WHERE confidence >= {fixed.DEFAULT_CONFIDENCE}"""),
         # findings
         "dominant_language": statement(plain_audit, "SELECT page_id, dominant_lang, n_blocks FROM dominant"),
         "dominant_language_lines": statement(LINE_BLOCKS, "SELECT page, dominant_lang, n_blocks FROM dominant"),

@@ -164,3 +164,29 @@ def test_too_many_labels_raise(spark):
     with pytest.raises(ValueError):
         langid.train(rows, most_languages=8)
     assert len(langid.train(rows, most_languages=9).languages) == 9
+
+
+def test_temperature_is_the_likeliest_one(spark, model):
+    """Against a plain computation from the scores; short texts of a fair share of wrong labels need a high one."""
+    import math
+
+    texts = [("en", EN[i:i + 14]) for i in range(40)] + [("de", DE[i:i + 14]) for i in range(40)] + [("fr", EN[:12])] * 9 + [("xx", EN), ("en", "1 2")]
+    rows = langid.numbered(spark.createDataFrame(texts, "lang string, text string"))
+    sums = [(r.lang, [r.s0, r.s1, r.s2]) for r in langid.score_sums(rows, model, "row").join(rows, "row").collect() if r.s0 is not None]
+
+    def loss(t):
+        total = 0.0
+        for label, s in sums:
+            if label in model.languages:
+                own = s[model.languages.index(label)]
+                total += math.log(sum(math.exp((x - own) / (langid.SCALE * t)) for x in s))
+        return total
+
+    fitted = langid.calibrated(model, rows)
+    assert fitted.temperature == min(langid.TEMPERATURES, key=loss) > 1
+    told = langid.detect_language(rows.withColumnRenamed("lang", "label").where("label <> 'xx'").drop("row"), fitted)
+    raw = langid.detect_language(rows.withColumnRenamed("lang", "label").where("label <> 'xx'").drop("row"), model)
+    bins = langid.calibration(told)
+    assert langid.calibration_error(bins) < langid.calibration_error(langid.calibration(raw))
+    assert bins.agg(F.sum("n")).first()[0] == told.where("lang IS NOT NULL").count()
+    assert langid.calibrated(model, rows.limit(0)).temperature == model.temperature
