@@ -111,40 +111,50 @@ class SitemapError(RuntimeError):
     """A sitemap tree that cannot be resolved."""
 
 
+# Index entries alone are followed; the path holds the entry number at every level.
+TREE = f"""
+WITH RECURSIVE tree(path, sitemap_url) AS (
+  SELECT cast(array() AS array<int>), :root
+  UNION ALL
+  SELECT concat(t.path, array(e.ord)), e.child FROM tree t JOIN {{edges}} e ON t.sitemap_url = e.parent
+  WHERE size(t.path) <= {MAX_SITEMAP_DEPTH})
+SELECT path, sitemap_url FROM tree"""
+
+
+def sitemap_tree(documents: DataFrame, root: str) -> DataFrame:
+    """(path, sitemap_url, kind, locs): every sitemap that is reached from ``root``, as often as it is; kind is null where
+    it was not landed. One recursive query; levels beyond the deepest one allowed are not followed.
+
+    The entries of all indexes together are bounded by the session's ``spark.sql.cteRecursionRowLimit`` (1,000,000), beyond
+    which the query fails; page URLs are not counted.
+    """
+    edges = documents.where("kind = 'sitemapindex'").select(
+        F.col("sitemap_url").alias("parent"), F.posexplode("locs").alias("ord", "child"))
+    reached = documents.sparkSession.sql(TREE, args={"root": root}, edges=edges)
+    return reached.join(documents.select("sitemap_url", "kind", "locs"), "sitemap_url", "left")
+
+
 def resolve_urls(documents: DataFrame, root: str, on_missing: str = "fail") -> DataFrame:
     """(path, url): page URLs below ``root``, nested indexes followed; sort by ``path``.
 
     ``path`` lists the entry number at every level, so its order is the depth-first document
-    order. A root that was not landed raises. A level is one join of index entries with the parsed sitemaps, written before the next
-    one; there are at most five, and deeper nesting (or a cycle) raises. So does a child that was
-    not landed, unless ``on_missing='skip'``.
+    order. The tree is written once when this is called. A root that was not landed raises, as does nesting deeper than
+    MAX_SITEMAP_DEPTH (or a cycle), and a child that was not landed unless ``on_missing='skip'``. ``documents`` is read
+    once for each level and should be a staged table.
     """
-    is_index = F.col("kind") == "sitemapindex"
-    columns = ["path", "kind", "locs"]
-
-    def entries(level: DataFrame, name: str) -> DataFrame:
-        opened = level.select("path", F.posexplode("locs").alias("ord", name))
-        return opened.select(F.concat("path", F.array("ord")).alias("path"), name)
-
-    level = documents.where(F.col("sitemap_url") == root).withColumn("path", F.array().cast("array<int>")).select(*columns)
-    if level.isEmpty():
+    tree = staged(sitemap_tree(documents, root), "sitemap-tree")
+    depth, missing = F.size("path"), F.col("kind").isNull()
+    first = lambda where: F.min(F.when(where, F.col("sitemap_url")))
+    no_root, too_deep, gone = tree.agg(
+        first(missing & (depth == 0)), first(depth > MAX_SITEMAP_DEPTH), first(missing & (depth > 0))).first()
+    if no_root is not None:
         raise SitemapError(f"sitemap was not landed: {root}")
-    pages = entries(level.where(~is_index), "url")
-    for depth in range(MAX_SITEMAP_DEPTH + 1):
-        children = staged(entries(level.where(is_index), "child"), "index-entries")
-        if children.isEmpty():
-            return pages
-        if depth == MAX_SITEMAP_DEPTH:
-            break
-        found = children.join(documents, children["child"] == documents["sitemap_url"], "left")
-        level = staged(found.select(*columns, "child", F.col("sitemap_url").isNull().alias("missing")), "index-level")
-        missing = level.where("missing").select("child").head(1)
-        if missing and on_missing != "skip":
-            raise SitemapError(f"sitemap was not landed: {missing[0].child}")
-        level = level.where("NOT missing")
-        pages = pages.unionByName(entries(level.where(~is_index), "url"))
-    raise SitemapError(
-        f"sitemap index nesting exceeded {MAX_SITEMAP_DEPTH} levels at {children.head(1)[0].child}")
+    if too_deep is not None:
+        raise SitemapError(f"sitemap index nesting exceeded {MAX_SITEMAP_DEPTH} levels at {too_deep}")
+    if gone is not None and on_missing != "skip":
+        raise SitemapError(f"sitemap was not landed: {gone}")
+    opened = tree.where("kind <> 'sitemapindex'").select("path", F.posexplode("locs").alias("ord", "url"))
+    return opened.select(F.concat("path", F.array("ord")).alias("path"), "url")
 
 
 def url_list(documents: DataFrame, root: str, on_missing: str = "fail") -> DataFrame:
