@@ -21,14 +21,27 @@ K = 4
 WINDOW = 8  # a power of two
 PLACE_BITS = 30  # a Spark string holds fewer words; 34 bits are left for the hash
 LAST_PLACE = (1 << PLACE_BITS) - 1
+PIECE = 16  # code points; a longer word is several
+#: characters of scripts that are written without blanks between words: each is a word of its own
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 ROWS_IN_RANGE = 512
 RANGES_MOST = 4_096  # from quantiles; each is cut evenly when there are more rows
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, cut so that none is longer than PIECE and characters of unspaced scripts stand alone.
+
+    So a passage of such a text, or of a word without end, is grams like any other.
+    """
+    cut = F.regexp_replace(F.regexp_replace(text, f"([{UNSPACED}])", " $1 "), f"([^{SPACES}]{{{PIECE}}})", "$1 ")
+    spaced = F.when(text.rlike(f"[{UNSPACED}]|[^{SPACES}]{{{PIECE + 1}}}"), cut).otherwise(text)
+    return F.array_remove(F.split(spaced, f"[{SPACES}]+", -1), "")
+
+
 def winnow(text: Column) -> Column:
     """Fingerprint as an array of longs in the order of the text: hash above, place (from the end) below.
 
-    A null text or one without words has none; with fewer than K words the whole sequence is the one gram, with fewer
+    Words are those of :func:`words_of`. A null text or one without words has none; with fewer than K words the whole sequence is the one gram, with fewer
     grams than WINDOW all of them are one window.
     """
     def packed(hashed: Column, place: Column) -> Column:
@@ -48,7 +61,7 @@ def winnow(text: Column) -> Column:
             runs, step = halves(runs, step), 2 * step
         return F.array_distinct(F.slice(runs, F.lit(1), F.greatest(F.size(g) - (WINDOW - 1), F.lit(1))))
 
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+", -1), "")
+    words = let(F.coalesce(text, F.lit("")), words_of)
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(
         F.size(h) >= K, let(grams(h), least)).when(
         F.size(h) > 0, F.array(packed(F.xxhash64(h), F.lit(0).cast("long")))).otherwise(F.array().cast("array<long>")))

@@ -76,3 +76,18 @@ def test_empty_and_single_tables(spark):
     assert r.near_next == 1.0
     assert "Python" not in fp.fingerprint_documents(one)._jdf.queryExecution().toString()
     assert fp.with_next(one, F.lit(1), Stages(spark, "test")).first().next_text == "a b c d"
+
+
+def test_texts_without_blanks_are_wound_too(spark):
+    """Half of a text kept, in scripts that have no blanks and in words without end."""
+    r = random.Random(6)
+    for draw in (lambda: chr(r.randint(0x4E00, 0x9FFF)), lambda: chr(r.randint(0x0E01, 0x0E2E)), lambda: r.choice("abcdefghij")):
+        table = [(i, "".join(draw() for _ in range(400))) for i in range(3)]
+        for x in fp.edited_fingerprints(spark.createDataFrame(table, "doc_id long, text string")).collect():
+            assert x.near_edited > 0.1 and x.near_next == 0.0
+    shifted = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(300))
+    both = spark.createDataFrame([(shifted, "新" + shifted[:150])], "a string, b string").select(
+        fp.likeness(fp.hashes(fp.winnow(F.col("a"))), fp.hashes(fp.winnow(F.col("b"))))).first()[0]
+    assert both > 0.3
+    words = spark.createDataFrame([("ab 中文 " + "x" * 35,)], "t string").select(fp.words_of(F.col("t"))).first()[0]
+    assert words == ["ab", "中", "文", "x" * 16, "x" * 16, "x" * 3]
