@@ -270,21 +270,25 @@ def ngram_join(documents: DataFrame, k: int = 5, stages: Stages | None = None) -
     hubs = near.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     edges = _verified(hubs, texts, k, stages).unionByName(_light_edges(reps, boundary))
     edges = stages.keep(edges, "first")
+    stages.drop("hot", "reps", "pairs", "ids", "wanted", "links")
     grouped = components(edges, stages)
 
     placed = lists.drop("hub", "size").join(grouped.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     placed = stages.keep(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    stages.drop("lists", "edges")
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = stages.keep(mixed.where("lo <> hi").select("token"), "mixed")
     left = placed.join(mixed, "token", "left_semi").withColumn(
         "band", F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9))
     left = stages.keep(left, "left")
+    stages.drop("placed", "mixed")
     # Partners differ by one size band at most, so each row is looked up in its own band and the one above.
     up = left.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     pairs = left.alias("x").join(up.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
                                  & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y"))
     pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
     more = _verified(pairs.distinct(), texts, k, stages)
+    stages.drop("left", "pairs", "ids", "wanted")
     final = components(edges.unionByName(more), stages)
 
     named = classes.join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
