@@ -22,8 +22,8 @@ WINDOW = 8  # a power of two
 PLACE_BITS = 30  # a Spark string holds fewer words; 34 bits are left for the hash
 LAST_PLACE = (1 << PLACE_BITS) - 1
 PIECE = 16  # code points; a longer word is several
-#: characters of scripts that are written without blanks between words: each is a word of its own
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: characters of scripts that are written without blanks between words (Thai, Lao, Myanmar, Khmer, kana, Han): each is a word
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 ROWS_IN_RANGE = 512
 RANGES_MOST = 4_096  # from quantiles; each is cut evenly when there are more rows
 
@@ -33,9 +33,13 @@ def words_of(text: Column) -> Column:
 
     So a passage of such a text, or of a word without end, is grams like any other.
     """
+    def split(t: Column) -> Column:
+        return F.array_remove(F.split(t, f"[{SPACES}]+", -1), "")
+
     cut = F.regexp_replace(F.regexp_replace(text, f"([{UNSPACED}])", " $1 "), f"([^{SPACES}]{{{PIECE}}})", "$1 ")
-    spaced = F.when(text.rlike(f"[{UNSPACED}]|[^{SPACES}]{{{PIECE + 1}}}"), cut).otherwise(text)
-    return F.array_remove(F.split(spaced, f"[{SPACES}]+", -1), "")
+    foreign = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[{UNSPACED}]")
+    return let(split(text), lambda words: F.when(
+        foreign | F.exists(words, lambda w: F.char_length(w) > PIECE), split(cut)).otherwise(words))
 
 
 def winnow(text: Column) -> Column:
