@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -101,3 +102,34 @@ def test_blocked_products_find_the_nearest(spark):
         best = sorted(range(len(known)), key=lambda i: (-cosine[i], i))[:quality_classifier.NEIGHBOURS]
         weight = np.maximum(cosine[best], 1e-6)
         assert abs((weight * known[best]).sum() / weight.sum() - got[r.doc_id]) < 0.02
+
+
+def test_ftrl_equals_a_plain_loop():
+    r = random.Random(4)
+    examples = [(np.array(sorted(r.sample(range(40), r.randrange(1, 9)))), int(r.random() < 0.4)) for _ in range(300)]
+    z, n, bias_z, bias_n = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    def bias():
+        return -bias_z / ((toxicity.BETA + math.sqrt(bias_n)) / toxicity.ALPHA)
+
+    for _ in range(toxicity.PASSES):
+        for own, label in examples:
+            w = {i: weight(i) for i in own.tolist()}
+            b = bias() if bias_n else 0.0
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - label
+            for i, old in w.items():
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - step * old
+                n[i] = n.get(i, 0.0) + g * g
+            bias_z += g - (math.sqrt(bias_n + g * g) - math.sqrt(bias_n)) / toxicity.ALPHA * b
+            bias_n += g * g
+    weights, told = toxicity.ftrl(examples)
+    assert abs(told - bias()) < 1e-9
+    assert all(abs(weights[i] - weight(i)) < 1e-9 for i in range(40)) and not weights[40:].any()
+    assert any(weights[:40]) and not all(weights[:40])
