@@ -1,7 +1,7 @@
-"""Quality by nearest-neighbour voting over latent-semantic vectors of word shapes.
+"""Quality by nearest-neighbour voting over latent-semantic vectors of words and word shapes.
 
 A word's shape is its bytes by class (upper, lower, digit, other letter, each sign itself) without repeats. Features
-are hashed runs of one to three shapes, and how much of a text repeats itself. A bounded sample of labelled texts gives
+are hashed words, hashed runs of one to three shapes, and how much of a text repeats itself. A bounded sample of labelled texts gives
 their weights and, by singular value decomposition, a latent space; its vectors go to all tasks. Each text is compared
 with all of them by blocked cosine products, and the labels of its nearest are weighted by similarity.
 """
@@ -24,7 +24,9 @@ RANK = 48
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 ROWS = 256
-REPEATS = 1 << BITS  # one more feature: the part of word 5-grams seen before in the text
+WORD_BITS = 11
+WORDS = 1 << BITS  # the words' features come after those of the shapes
+REPEATS = WORDS + (1 << WORD_BITS)  # one more feature: the part of word 5-grams seen before in the text
 
 
 def _classes() -> np.ndarray:
@@ -34,7 +36,7 @@ def _classes() -> np.ndarray:
 
 
 def shape_counts(words: Hasher, shapes: Hasher, column) -> Iterator[np.ndarray]:
-    """Feature counts of each text, a block of rows at a time: float32, (rows, 2 ** BITS + 1)."""
+    """Feature counts of each text, a block of rows at a time: float32, (rows, REPEATS + 1)."""
     classes = _classes()
     for row, end, data, offsets in words.blocks(column):
         hashed, starts, _ = words.words(data, offsets)
@@ -44,6 +46,7 @@ def shape_counts(words: Hasher, shapes: Hasher, column) -> Iterator[np.ndarray]:
         new[1:] = kinds[1:] != kinds[:-1]
         new[starts] = True
         shape, at, _ = shapes.words(kinds[new], np.concatenate([[0], np.cumsum(new)])[offsets])
+        of_word = np.repeat(np.arange(end - row), np.diff(bounds)) << WORD_BITS | (hashed >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         edges = word_bounds(at, np.concatenate([[0], np.cumsum(new)])[offsets])
         owners = np.repeat(np.arange(end - row), np.diff(edges))
         for low in range(0, end - row, ROWS):
@@ -56,7 +59,9 @@ def shape_counts(words: Hasher, shapes: Hasher, column) -> Iterator[np.ndarray]:
                 inside = own[k - 1:] == own[:len(own) - k + 1]
                 flat = np.bincount(own[k - 1:][inside] << BITS | run[inside].astype(np.int64),
                                    minlength=(high - low) << BITS)
-                counts[:, :REPEATS] += flat.reshape(high - low, -1)
+                counts[:, :WORDS] += flat.reshape(high - low, -1)
+            own = of_word[bounds[low]:bounds[high]] - (low << WORD_BITS)
+            counts[:, WORDS:REPEATS] = np.bincount(own, minlength=(high - low) << WORD_BITS).reshape(high - low, -1)
             for i in range(low, high):
                 five = grams(hashed[bounds[i]:bounds[i + 1]], 5)
                 if len(five):
@@ -65,9 +70,10 @@ def shape_counts(words: Hasher, shapes: Hasher, column) -> Iterator[np.ndarray]:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Length-normalised log counts by inverse document frequency, and the repeats as they are."""
+    """Log counts by inverse document frequency, shapes and words each of length 1, and the repeats as they are."""
     out = np.log1p(counts) * idf
-    out[:, :REPEATS] /= np.maximum(np.linalg.norm(out[:, :REPEATS], axis=1, keepdims=True), 1e-9)
+    for part in (slice(0, WORDS), slice(WORDS, REPEATS)):
+        out[:, part] /= np.maximum(np.linalg.norm(out[:, part], axis=1, keepdims=True), 1e-9)
     out[:, REPEATS] = counts[:, REPEATS] / 10
     return out
 
@@ -117,7 +123,7 @@ Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 def train_quality(documents: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
     """The model from at most ``sample`` rows of ``labels`` for which ``learn`` holds; None without any.
 
-    The sample is of bounded size (16 KB for each text), so one task fits it; every other text is read by :func:`score_quality`.
+    The sample is of bounded size (25 KB for each text), so one task fits it; every other text is read by :func:`score_quality`.
     """
     counted = labelled_sample(documents, labels, "quality", learn, sample).select(
         F.col("doc_id").cast("long"), "label", "text").mapInArrow(_counted, "doc_id long, label int, counts binary")

@@ -133,3 +133,16 @@ def test_ftrl_equals_a_plain_loop():
     assert abs(told - bias()) < 1e-9
     assert all(abs(weights[i] - weight(i)) < 1e-9 for i in range(40)) and not weights[40:].any()
     assert any(weights[:40]) and not all(weights[:40])
+
+
+def test_quality_that_shows_in_wording_alone(spark):
+    """All words have the same shape, so only the words themselves tell the two kinds apart."""
+    r = random.Random(2)
+    kinds = ["buy cheap offer now click sale win prize".split(), "river study method result theory model proof data".split()]
+    common = "and the of with from that this".split()
+    rows = [(i, " ".join(r.choice(kinds[i % 2] + common) for _ in range(40))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    model = quality_classifier.train_quality(docs, labels, F.col("doc_id") < 200)
+    told = {x.doc_id: x.score for x in quality_classifier.score_quality(docs, model).collect()}
+    assert np.mean([(told[i] >= 0.5) == (i % 2 == 1) for i in range(200, 400)]) > 0.97
