@@ -95,6 +95,21 @@ def usable_pages_strict(spark: SparkSession, sf: str) -> DataFrame:
     return _by_status(spark, sf, strict=True)
 
 
+def _landed_as_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    folder = stage_path(spark, "landed")
+    inputs.pages_as_bytes(spark, sf).write.parquet(folder)
+    return page_source.read_pages(spark, folder)
+
+
+def text_blocks_from_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages landed as bytes, many of them not valid UTF-8."""
+    return dom.text_blocks(page_source.audit_input(_landed_as_bytes(spark, sf)))
+
+
+def audit_from_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return audits.audit(_landed_as_bytes(spark, sf), _model(spark, sf))
+
+
 def sitemap_entries(spark: SparkSession, sf: str) -> DataFrame:
     documents, _ = inputs.sitemaps(spark, sf)
     return sitemap_source.sitemap_entries(sitemap_source.parse_sitemaps(documents))
@@ -117,6 +132,13 @@ def ignore_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return phrase_source.phrases_from_lines(inputs.document_lines(spark, sf))
 
 
+def ignore_phrases_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The list as its text files give it."""
+    folder = stage_path(spark, "phrases")
+    inputs.document_lines(spark, sf).write.text(folder)
+    return phrase_source.load_ignore_phrases(spark, folder)
+
+
 def url_slice(spark: SparkSession, sf: str) -> DataFrame:
     urls = slicing.with_position(inputs.url_table(spark, sf).withColumnRenamed("ord", "page_id"), "page_id")
     return slicing.url_slice(urls, ARGUMENTS["offset"], ARGUMENTS["limit"]).select("ord", "url")
@@ -472,6 +494,9 @@ def queries() -> dict[str, Query]:
         "batched_audit_after_changes": batched_audit_after_changes,
         "csv_report_in_order": csv_report_in_order,
         "sitemap_audit_whole": sitemap_audit_whole,
+        "text_blocks_from_bytes": text_blocks_from_bytes,
+        "audit_from_bytes": audit_from_bytes,
+        "ignore_phrases_from_file": ignore_phrases_from_file,
     }
     return found | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
 

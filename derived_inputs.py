@@ -48,6 +48,17 @@ def rewritten_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).withColumn("html", rewritten)
 
 
+def pages_as_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with html as bytes; three of four hold bytes that are not UTF-8 behind their first ``<p>`` (or at the end)."""
+    at = F.locate("<p>", F.col("html"))
+    at = F.when(at > 0, at + 2).otherwise(F.char_length("html"))
+    kind = F.col("page_id") % 4  # whole, a byte that never occurs, a character cut after its first or second byte
+    bad = F.when(kind == 1, F.unhex(F.lit("FF"))).when(kind == 2, F.unhex(F.lit("C3"))).when(
+        kind == 3, F.unhex(F.lit("E282"))).otherwise(F.unhex(F.lit("")))
+    cut = [F.substr("html", F.lit(1), at).cast("binary"), bad, F.substr("html", at + 1).cast("binary")]
+    return pages(spark, sf_dir).where("html <> ''").withColumn("html", F.concat(*cut))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
 

@@ -87,6 +87,10 @@ def _rewritten() -> tuple[str, str]:
 
 
 REWRITTEN = _rewritten()
+# Bytes that are not UTF-8 behind the first <p>, or at the end: each such run is one replacement character.
+FROM_BYTES = ("input", """SELECT page_id, url, html[:n] || CASE WHEN page_id % 4 = 0 THEN '' ELSE chr(65533) END || html[n + 1:] AS html
+    FROM (SELECT page_id, url, html, CASE WHEN contains(html, '<p>') THEN instr(html, '<p>') + 2 ELSE length(html) END AS n
+    FROM pages WHERE html <> '')""")
 
 TOKENS = [
     ("token_lists", f"SELECT page_id, regexp_extract_all(html, '{TOKEN}', 1) AS l FROM input"),
@@ -524,6 +528,9 @@ def oracle_statements(params: dict) -> dict[str, str]:
             {safe('url')} AS url, {safe('declared_lang')} AS declared_lang, {safe('detected_lang')} AS detected_lang, issue_type,
             {safe('snippet')} AS snippet, {safe('element')} AS element, suggested_fix FROM issues"""),
         "sitemap_audit_whole": statement([*scan_input(0, 1 << 40), *page_ctes(ignore=False)], audit_select),
+        "text_blocks_from_bytes": statement([FROM_BYTES, *plain_blocks[1:]], block),
+        "audit_from_bytes": statement([FROM_BYTES, *page_ctes(ignore=False)], audit_select),
+        "ignore_phrases_from_file": statement([LINES, ALL_PHRASES], "SELECT phrase FROM phrases"),
         "batched_audit_after_changes": statement(odd_plain, audit_select),
         "incremental_audit_landed_again": statement(odd_plain, audit_select),
         "json_feed_scan": statement(odd_audit, f"""SELECT to_json({{'sitemap_url': sitemap_url, 'total_urls': total_urls,
