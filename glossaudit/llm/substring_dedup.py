@@ -1,14 +1,15 @@
-"""Substring dedup by winnowed byte grams: compare the least grams of each window by digest, then extend to the true ends.
-
-The least of each ``WINDOW`` consecutive grams of ``GRAM`` bytes is taken, so two texts that share ``SPAN_BYTES`` bytes
-share a taken gram, whatever stands around them, and the taken grams of a passage touch. Grams with equal digests are
-copies; the one of the smallest document and place is the original. Copies that touch form a run. Where a run ends, the
-bytes next to it are compared with those of the other places, and the run grows by what they have in common.
+"""Substring dedup by content-defined chunks: cut by a gear hash, compare chunks by digest, extend matches to their true ends.
+
+A text is a sequence of units: words with the blanks after them, characters of scripts without blanks, pieces of long words.
+A gear hash rolls over the units, and a chunk begins where it is least within ``RADIUS`` units. A cut depends on the few
+units around it alone, so an insertion moves no cut beyond them, and a passage of over 50 words holds whole chunks
+whatever stands around it. Chunks with equal digests are copies; the one of the smallest document and place is the
+original. Copies that touch form a run. Where a run ends, the bytes next to it are compared with those of the other
+places, and the run grows by what they have in common.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,209 +22,226 @@ from pyspark.sql.window import Window
 from glossaudit.llm.stages import Stages
 from glossaudit.llm.words import Hasher, mix
 
-SHORTEST, LONGEST = 24, 192  # bytes of a chunk, but for the last of a text
-MASK = np.uint32(0x1F << 20)  # five high bits of the hash: a cut every 32 bytes on average
-GRAM, WINDOW = 51, 51  # bytes of a gram, grams of a window: neighbouring grams that are taken touch
-SPAN_BYTES = GRAM + WINDOW - 1  # 101: the bytes of 51 words of one letter, so passages of over 50 words always reach it
-AROUND = WINDOW - 1  # bytes of a passage before its first taken gram, or after its last one, at most
+RADIUS = 4  # units to both sides of a cut that decide on it: a cut every 9 units on average
+LONG = 16  # bytes of a word from which on it is cut into pieces, of 8 bytes on average
+SPAN_BYTES = 101  # the bytes of 51 words of one letter, so passages of over 50 words always reach it
+AROUND = 256  # bytes next to a chunk that are compared; the edges of a passage lie some 10 units beyond its chunks
 CHANCE = 8  # among many copies some go on alike by chance: fewer bytes more than most of them share do not count
+BYTES = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """Rolling hash at each byte over the 32 bytes up to it, by doubling the window."""
-    values = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-    h, width = values[data], 1
-    while width < 32:
+def gear(values: np.ndarray, bits: int) -> np.ndarray:
+    """At each place the 32-bit sum of the values up to it, each shifted by ``bits`` for every place since, by doubling."""
+    h, width = values, 1
+    while width * bits < 32:
         older = np.zeros_like(h)
         older[width:] = h[:-width]
-        h = h + (older << np.uint32(width))
+        h = h + (older << np.uint32(width * bits))
         width *= 2
     return h
 
 
-def chunk_ends(data: np.ndarray) -> list[int]:
-    """Ends of the chunks of one text: the first possible cut from SHORTEST on, LONGEST at most."""
-    n = len(data)
-    cuts, ends, start, i = np.flatnonzero((gear(data) & MASK) == 0).tolist(), [], 0, 0
-    while n - start > SHORTEST:
-        while i < len(cuts) and cuts[i] + 1 < start + SHORTEST:
-            i += 1
-        end = cuts[i] + 1 if i < len(cuts) else n
-        start = min(end, start + LONGEST, n)
-        ends.append(start)
-    if start < n:
-        ends.append(n)
-    return ends
-
-
-def _least(values: np.ndarray, best: np.ufunc) -> np.ndarray:
-    """The best of each WINDOW consecutive values."""
-    step = 1
-    while 2 * step <= WINDOW:
-        values, step = best(values[:-step], values[step:]), 2 * step
-    rest = WINDOW - step
-    return best(values[:-rest], values[rest:]) if rest else values
-
-
-def taken(hashed: np.ndarray) -> np.ndarray:
-    """Places of the least of each WINDOW grams; of equal ones in a row only as many as keep touching."""
-    if len(hashed) < WINDOW:
-        return np.zeros(0, np.int64)
-    least = _least(hashed, np.minimum)
-    edge = np.zeros(WINDOW - 1, hashed.dtype)
-    places = np.flatnonzero(_least(np.concatenate([edge, least, edge]), np.maximum) == hashed)
-    own = hashed[places]
-    if (own[1:] != own[:-1]).all():
-        return places
-    kept, places = [], places.tolist()
-    for i, p in enumerate(places):
-        tied = kept and i + 1 < len(places) and hashed[kept[-1]] == hashed[p] == hashed[places[i + 1]]
-        if not tied or places[i + 1] - kept[-1] > WINDOW:
-            kept.append(p)
-    return np.array(kept)
-
-
-def _grams(texts: DataFrame) -> DataFrame:
-    """(row, doc_id, start, nth, digest) of each gram that is taken; ``nth`` counts within the text."""
+def unit_starts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First bytes of the units: words, characters of three or four bytes, and pieces where a word is ``LONG`` already."""
+    marks = data >= 0xE0
+    marks[starts] = True
+    if (ends - starts > LONG).any():
+        begun, inside = np.zeros(len(data), np.int64), np.zeros(len(data) + 1, np.int8)
+        begun[starts] = starts
+        inside[starts], inside[ends] = 1, inside[ends] - 1
+        since = np.arange(len(data)) - np.maximum.accumulate(begun)
+        marks |= (gear(BYTES[data], 2) < 1 << 29) & (since >= LONG) & (np.cumsum(inside[:-1]) > 0) & (data & 0xC0 != 0x80)
+    return np.flatnonzero(marks)
+
+
+def cuts(hashed: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Units before which a chunk ends: the least within RADIUS units of their text, of equal ones as many as lie apart.
+
+    In a repeating sequence the equal ones are whole periods apart, so its chunks are equal wherever the first one lies.
+    """
+    place = np.arange(len(hashed)) + RADIUS * (texts + 1)
+    padded = np.full(place[-1] + RADIUS + 1 if len(place) else 0, 1 << 32, np.int64)
+    padded[place] = hashed
+    least = np.ones(len(hashed), bool)
+    for s in range(1, RADIUS + 1):
+        least &= (padded[place - s] >= hashed) & (padded[place + s] >= hashed)
+    found = np.flatnonzero(least)
+    if (np.diff(place[found]) > RADIUS).all():
+        return found
+    kept, last = [], -RADIUS
+    for i, at in zip(found.tolist(), place[found].tolist()):
+        if at - last > RADIUS:
+            kept.append(i)
+            last = at
+    return np.array(kept, np.int64)
+
+
+def chunk_starts(hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the chunks of the texts that ``offsets`` delimit; each text begins one."""
+    _, starts, ends = hasher.words(data, offsets)
+    units = unit_starts(data, starts, ends)
+    opened = offsets[:-1][np.diff(offsets) > 0]
+    if not len(units):
+        return opened
+    texts = np.searchsorted(offsets, units, "right") - 1
+    stop = np.append(units[1:], len(data))
+    own = (hasher.stems(units, np.minimum(stop, offsets[texts + 1])) >> np.uint64(32)).astype(np.uint32)
+    rolled = gear(own, 16)
+    opening = np.flatnonzero(np.diff(texts, prepend=-1))
+    rolled[opening] = own[opening]
+    return np.union1d(opened, units[cuts(rolled.astype(np.int64), texts)])
+
+
+def _chunks(texts: DataFrame) -> DataFrame:
+    """(row, doc_id, start, size, nth, digest) of each chunk; ``nth`` counts within the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hasher(lower=False, separators=b""), Hasher(lower=False, separators=b"")
+        one, two = Hasher(lower=False), Hasher(lower=False, separators=b"")
         two.values = mix(two.values ^ np.uint64(0x5851F42D4C957F2D))
         for batch in batches:
             rows, ids = batch.column(0), batch.column(1)
-            for row, end, data, offsets in one.blocks(batch.column(2)):
+            for row, _, data, offsets in one.blocks(batch.column(2)):
                 if len(data) < SPAN_BYTES:
                     continue
-                one.words(data, offsets)
+                starts = chunk_starts(one, data, offsets)
+                ends, d = np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, "right") - 1
                 two.words(data, offsets)
-                all_starts = np.arange(len(data) - GRAM + 1)
-                hashed = one.stems(all_starts, all_starts + GRAM)
-                places = [taken(hashed[a:max(a, b - GRAM + 1)]) for a, b in zip(offsets[:-1], offsets[1:])]
-                sizes = [len(p) for p in places]
-                s, d = np.concatenate(places).astype(np.int64), np.repeat(np.arange(end - row), sizes)
-                if len(s):
-                    at = s + offsets[d]
-                    nth = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    yield pa.RecordBatch.from_pydict({
-                        "row": rows.take(pa.array(row + d)), "doc_id": ids.take(pa.array(row + d)),
-                        "place": pa.array(s << 31 | nth, pa.int64()),
-                        "digest": pa.array(two.stems(at, at + GRAM).view(np.int64))})
-
-    return texts.mapInArrow(run, "row long, doc_id long, place long, digest long")
+                digests = two.stems(starts, ends).view(np.int64)
+                nth = np.arange(len(starts)) - np.searchsorted(d, d)
+                long = np.diff(offsets)[d] >= SPAN_BYTES
+                at = pa.array(row + d[long])
+                yield pa.RecordBatch.from_pydict({
+                    "row": rows.take(at), "doc_id": ids.take(at), "start": pa.array((starts - offsets[d])[long], pa.int64()),
+                    "size": pa.array((ends - starts)[long], pa.int64()), "nth": pa.array(nth[long], pa.int64()),
+                    "digest": pa.array(digests[long])})
+
+    return texts.mapInArrow(run, "row long, doc_id long, start long, size long, nth long, digest long")
 
 
 def _surroundings(asked: DataFrame) -> DataFrame:
-    """``asked`` (row, text, places) as two rows per place: the bytes next to the gram, read away from it.
+    """``asked`` (row, text, places) as a row per place and side asked for: the bytes next to the chunk, read away from it.
 
-    ``side`` is -1 before the gram (reversed) and 1 after it. ``cut`` is the number of the gram's bytes on that side that
-    belong to a character which is not whole in it; ``ends`` has a bit for each number of ``bytes`` that ends between characters.
+    ``side`` is -1 before the chunk (reversed) and 1 after it. The bytes end between characters.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 data, out = text.encode(), []
-                inside = np.ones(len(data) + 1, bool)  # a character's first byte, or the end
-                inside[:-1] = np.frombuffer(data, np.uint8) & 0xC0 != 0x80
                 for p in places:
-                    a, b = p["start"], p["start"] + GRAM
-                    low, high = max(0, a - AROUND), b + AROUND
-                    for side, near, ends, own in ((-1, data[low:a][::-1], inside[low:a + 1][::-1], inside[a:a + 4]),
-                                                  (1, data[b:high], inside[b:high + 1], inside[b - 3:b + 1][::-1])):
-                        bits = int.from_bytes(np.packbits(ends, bitorder="little").tobytes(), "little")
-                        out.append((row, p["start"], p["digest"], p["kept"], side, p["opens"] if side < 0 else p["closes"],
-                                    near, bits, int(own.argmax())))
+                    a = p["start"]
+                    b = a + p["size"]
+                    if p["before"]:
+                        low = max(0, a - AROUND)
+                        while data[low] & 0xC0 == 0x80:
+                            low += 1
+                        out.append((row, a, p["digest"], p["kept"], -1, p["opens"], data[low:a][::-1]))
+                    if p["after"]:
+                        high = min(len(data), b + AROUND)
+                        while high < len(data) and data[high] & 0xC0 == 0x80:
+                            high -= 1
+                        out.append((row, a, p["digest"], p["kept"], 1, p["closes"], data[b:high]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    schema = "row long, start long, digest long, kept boolean, side int, edge boolean, bytes binary, ends long, cut int"
+    schema = "row long, start long, digest long, kept boolean, side int, edge boolean, bytes binary"
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]]
              for c in schema.split(", ")]
     return asked.mapInArrow(run, schema)
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """Number of equal bytes at the start of two binary values; 0 if one is null."""
+def _shared(a: Column, b: Column, side: Column) -> Column:
+    """Number of equal bytes at the start of two binary values, in whole characters of the first; 0 if one is null."""
     @F.pandas_udf("int")
-    def count(one: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([0 if x is None or y is None else len(os.path.commonprefix([bytes(x), bytes(y)]))
-                          for x, y in zip(one, other)], dtype="int32")
-
-    return count(a, b)
-
-
-def _between_characters(more: Column) -> Column:
-    """The number of bytes that end between characters, ``more`` at most; below 0 if the gram's own are not whole."""
-    @F.pandas_udf("long")
-    def whole(m: pd.Series, ends: pd.Series, cut: pd.Series) -> pd.Series:
-        reached = [e & ((2 << n) - 1) for n, e in zip(m.tolist(), ends.tolist())]
-        return pd.Series([r.bit_length() - 1 if r else -c for r, c in zip(reached, cut.tolist())], dtype="int64")
-
-    return whole(more, F.col("ends"), F.col("cut"))
+    def count(one: pd.Series, other: pd.Series, sides: pd.Series) -> pd.Series:
+        out = []
+        for x, y, s in zip(one, other, sides.tolist()):
+            if x is None or y is None:
+                out.append(0)
+                continue
+            n = min(len(x), len(y))
+            unlike = int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")
+            m = n - (unlike.bit_length() + 7) // 8
+            if s > 0:
+                while 0 < m < len(x) and x[m] & 0xC0 == 0x80:
+                    m -= 1
+            else:
+                while m and x[m - 1] & 0xC0 == 0x80:
+                    m -= 1
+            out.append(m)
+        return pd.Series(out, dtype="int32")
+
+    return count(a, b, side)
 
 
 def _grown(around: DataFrame) -> DataFrame:
-    """(row, start, side, more): by how many bytes a run grows beyond its last gram on each side.
+    """(row, start, side, more): by how many bytes a run grows beyond its last chunk on each side.
 
     What most places share with the original counts, or what any two share if it is ``CHANCE`` bytes longer. Among sorted
     values neighbours have most in common. Equal values count as one, and only those that begin alike are sorted
-    together, so no gram has to be sorted by one task as a whole.
+    together, so no chunk has to be sorted by one task as a whole.
     """
     key = ["digest", "side", "bytes"]
-    begin = F.substring("bytes", 1, CHANCE)
+    begin, side = F.substring("bytes", 1, CHANCE), F.col("side")
     values = around.groupBy(key).agg(F.count("*").alias("n"))
     by = Window.partitionBy("digest", "side", begin).orderBy("bytes")
     values = values.withColumns({"low": F.lag("bytes").over(by), "high": F.lead("bytes").over(by)}).withColumn(
         "most", F.when(F.col("n") > 1, F.length("bytes")).otherwise(F.greatest(
-            _shared(F.col("bytes"), F.col("low")), _shared(F.col("bytes"), F.col("high"))))).select(*key, "most")
+            _shared(F.col("bytes"), F.col("low"), side), _shared(F.col("bytes"), F.col("high"), side)))).select(*key, "most")
     original = around.where("kept").select("digest", "side", F.col("bytes").alias("first"))
-    shared = around.join(original, ["digest", "side"]).withColumn("same", _shared(F.col("bytes"), F.col("first")))
+    shared = around.join(original, ["digest", "side"]).withColumn("same", _shared(F.col("bytes"), F.col("first"), side))
     usual = shared.where("NOT kept").groupBy("digest", "side").agg(F.percentile_approx("same", 0.5, 1000).alias("usual"))
     grown = shared.where("edge").join(usual, ["digest", "side"]).join(values, key).withColumn(
         "more", F.when(F.col("kept"), F.col("usual")).otherwise(F.least("same", "usual")))
-    grown = grown.withColumn("more", F.when(F.col("most") - F.col("more") >= CHANCE, F.col("most")).otherwise(F.col("more")))
-    return grown.select("row", "start", "side", _between_characters(F.col("more")).alias("more"))
+    more = F.when(F.col("most") - F.col("more") >= CHANCE, F.col("most")).otherwise(F.col("more"))
+    return grown.select("row", "start", "side", more.cast("long").alias("more"))
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """One row per passage found elsewhere too: doc_id, start, end (bytes of the UTF-8 text), n_chunks, original, kept.
 
-    Every passage of ``SPAN_BYTES`` bytes or more that two places share lies within a run of spans that touch.
-    ``original`` is the smallest doc_id that holds a gram, for most of the span's grams (``n_chunks``); ``kept`` says that
+    A passage of over 50 words (or as many characters of a script without blanks) that two places share lies within a run
+    of spans that touch; shorter ones of ``SPAN_BYTES`` bytes or more do if they hold a whole chunk, whole texts always.
+    ``original`` is the smallest doc_id that holds a chunk, for most of the span's chunks (``n_chunks``); ``kept`` says that
     the span is itself the first occurrence. Passages repeated within one text count as well. Reads doc_id and text,
     whatever else there is. Rows without an id count as places of a passage but get no span, as no place can be named in
-    them; null and empty texts have no grams. Rows that repeat an id are texts of their own and count as copies of each
+    them; null and empty texts have no chunks. Rows that repeat an id are texts of their own and count as copies of each
     other. An empty table gives no rows. Runs its steps when called.
     """
     stages = Stages(documents.sparkSession, "substring-dedup")
     texts = stages.keep(documents.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "texts")
-    dealt = _grams(texts).repartition("digest")
-    first = dealt.groupBy("digest").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
-    copies = stages.keep(dealt.join(first.where("n > 1"), "digest").select(
-        "row", "doc_id", F.shiftright("place", 31).alias("start"), F.col("place").bitwiseAND((1 << 31) - 1).alias("nth"), "digest",
-        F.col("first.doc_id").alias("original"),
-        ((F.col("row") == F.col("first.row")) & (F.col("place") == F.col("first.place"))).alias("kept"),
-        F.xxhash64("first.row", F.shiftright("place", 31) - F.shiftright("first.place", 31)).alias("line")), "copies")
-
-    # A piece is a run of grams that lie alike in the original; it grows at both ends.
+    chunks = stages.keep(_chunks(texts), "chunks")
+    common = chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    common = stages.keep(chunks.join(common, "digest"), "common")
+    stages.drop("chunks")
+    first = common.groupBy("digest").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "start")).alias("first"))
+    copies = common.join(first, "digest").select(
+        "row", "doc_id", "start", "size", "nth", "digest", F.col("first.doc_id").alias("original"),
+        ((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start"))).alias("kept"),
+        F.xxhash64("first.row", F.col("start") - F.col("first.start")).alias("line"))
+
+    # A piece is a run of chunks that lie alike in the original; it grows at both ends.
     by = Window.partitionBy("row").orderBy("nth")
     follows = (F.col("nth") == F.lag("nth").over(by) + 1) & (F.col("line") == F.lag("line").over(by))
     led = (F.col("nth") == F.lead("nth").over(by) - 1) & (F.col("line") == F.lead("line").over(by))
     marked = copies.withColumns({"opens": ~F.coalesce(follows, F.lit(False)), "closes": ~F.coalesce(led, F.lit(False))})
     marked = stages.keep(marked.withColumn("piece", F.sum(F.col("opens").cast("int")).over(by)), "marked")
-    ends = marked.where("opens OR closes").select("digest").distinct()
-    asked = marked.join(ends, "digest", "left_semi").groupBy("row").agg(F.collect_list(F.struct(
-        "start", "digest", "kept", "opens", "closes")).alias("places"))
+    stages.drop("common")
+    ends = marked.groupBy("digest").agg(F.max("opens").alias("before"), F.max("closes").alias("after")).where("before OR after")
+    asked = marked.join(ends, "digest").groupBy("row").agg(F.collect_list(F.struct(
+        "start", "size", "digest", "kept", "opens", "closes", "before", "after")).alias("places"))
     around = stages.keep(_surroundings(texts.join(asked, "row").select("row", "text", "places")), "around")
     grown = stages.keep(_grown(around), "grown")
+    stages.drop("texts", "around")
 
     named = marked.where("doc_id IS NOT NULL")
     pieces = named.groupBy("row", "doc_id", "piece", "kept", "original").agg(
-        F.min("start").alias("opened"), F.max("start").alias("closed"), F.count("*").alias("n"))
+        F.min("start").alias("opened"), F.max("start").alias("closed"), F.max(F.col("start") + F.col("size")).alias("last"),
+        F.count("*").alias("n"))
     for side, at in ((-1, "opened"), (1, "closed")):
         pieces = pieces.join(grown.where(F.col("side") == side).select(
             "row", F.col("start").alias(at), F.col("more").alias(f"more_{at}")), ["row", at])
-    pieces = pieces.withColumns({"start": F.col("opened") - F.col("more_opened"), "end": F.col("closed") + GRAM + F.col("more_closed")})
+    pieces = pieces.withColumns({"start": F.col("opened") - F.col("more_opened"), "end": F.col("last") + F.col("more_closed")})
 
     # Pieces that touch are a run; of ends that differ by chance the nearer one counts.
     order = Window.partitionBy("row").orderBy("start", "end", "piece")

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from glossaudit.llm import substring_dedup as dedup
+from glossaudit.llm.words import Hasher
 
 
 def prose(r, n):
@@ -30,16 +32,68 @@ def test_passages_are_found_whatever_stands_before_them(spark):
     assert dedup.repeated_spans(table.limit(0)).count() == 0
 
 
-def test_chunks_cover_a_text_and_cuts_do_not_shift():
+def starts_of(*texts):
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    return dedup.chunk_starts(Hasher(lower=False), np.frombuffer(b"".join(data), np.uint8), offsets).tolist()
+
+
+def test_an_insertion_moves_no_cut_beyond_the_units_around_it():
     r = random.Random(2)
-    import numpy as np
-    data = np.frombuffer(prose(r, 3000).encode(), np.uint8)
-    ends = dedup.chunk_ends(data)
-    sizes = np.diff([0, *ends])
-    assert ends[-1] == len(data) and sizes[:-1].min() >= dedup.SHORTEST and sizes.max() <= dedup.LONGEST
-    moved = dedup.chunk_ends(np.concatenate([np.frombuffer(b"some words before ", np.uint8), data]))
-    assert len(set(ends) & {e - 18 for e in moved}) > 0.95 * len(ends)
-    assert dedup.chunk_ends(data[:0]) == [] and dedup.chunk_ends(data[:5]) == [5]
+    words = prose(r, 3000).split(" ")
+    text = " ".join(words)
+    size = len(text.encode())
+    starts = starts_of(text)
+    assert starts[0] == 0 and starts[-1] < size and 300 < len(starts) < 600
+    for at in (0, 1, 700, 2999):
+        changed = " ".join([*words[:at], "some words put in", *words[at:]])
+        more = len("some words put in ".encode())
+        moved = starts_of(changed)
+        reach = [len(" ".join(words[:max(0, at - 8)]).encode()), len(" ".join(words[:at + 8]).encode())]
+        assert {s for s in starts if 0 < s < reach[0]} == {s for s in moved if 0 < s < reach[0]}
+        assert {s + more for s in starts if s > reach[1]} == {s for s in moved if s > reach[1] + more}
+
+
+def test_cuts_are_those_of_a_plain_search():
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["ab", "c", "déf", "中文", "x" * 40, " ", "g\n"]) for _ in range(r.randint(0, 60))) for _ in range(200)]
+    alone, at = [], 0
+    for text in texts:
+        alone += [at + s for s in starts_of(text)]
+        at += len(text.encode())
+    assert starts_of(*texts) == alone
+    for text in texts:  # the least within RADIUS units, found one by one
+        data = np.frombuffer(text.encode(), np.uint8)
+        hasher = Hasher(lower=False)
+        _, starts, ends = hasher.words(data, np.array([0, len(data)]))
+        units = dedup.unit_starts(data, starts, ends).tolist()
+        own = [int(hasher.stems(np.array([a]), np.array([b]))[0]) >> 32 for a, b in zip(units, [*units[1:], len(data)])]
+        rolled = [((own[i - 1] << 16 if i else 0) + h) % (1 << 32) for i, h in enumerate(own)]
+        expected, last = [0] if len(data) else [], -dedup.RADIUS - 1
+        for i, h in enumerate(rolled):
+            if h == min(rolled[max(0, i - dedup.RADIUS):i + dedup.RADIUS + 1]) and i - last > dedup.RADIUS:
+                expected.append(units[i])
+                last = i
+        assert starts_of(text) == sorted(set(expected))
+
+
+def test_every_shared_passage_is_that_of_a_plain_comparison(spark):
+    r = random.Random(35)
+    common = [prose(r, n) for n in (51, 55, 70, 120, 400)]
+    rows = [(i, " | ".join([str(i) * 3, prose(r, r.randint(1, 60)), *r.sample(common, r.randint(0, 2)), prose(r, r.randint(1, 60)), str(i) * 4]))
+            for i in range(40)]
+    texts = {i: t.encode() for i, t in rows}
+    expected = {i: set() for i in texts}
+    for i, text in texts.items():  # bytes in a passage of over 50 words that another text holds too
+        for passage in common:
+            own = passage.encode()
+            if own in text and any(own in t for j, t in texts.items() if j != i):
+                expected[i] |= set(range(text.index(own), text.index(own) + len(own)))
+    covered = {i: set() for i in texts}
+    for x in dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered[x.doc_id] |= set(range(x.start, x.end))
+    for i in texts:
+        assert expected[i] <= covered[i] and len(covered[i] - expected[i]) <= 12, i
 
 
 def test_a_passage_of_51_short_words_in_two_texts_is_found_to_its_ends(spark):
