@@ -25,7 +25,7 @@ from glossaudit.llm.words import Hasher, mix
 RADIUS = 4  # units to both sides of a cut that decide on it: a cut every 9 units on average
 LONG = 16  # bytes of a word from which on it is cut into pieces, of 8 bytes on average
 SPAN_BYTES = 101  # the bytes of 51 words of one letter, so passages of over 50 words always reach it
-AROUND = 256  # bytes next to a chunk that are compared; the edges of a passage lie some 10 units beyond its chunks
+AROUND = 160  # bytes next to a chunk that are compared; the edges of a passage lie some 10 units beyond its chunks
 CHANCE = 8  # among many copies some go on alike by chance: fewer bytes more than most of them share do not count
 BYTES = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -93,7 +93,7 @@ def chunk_starts(hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> np.nd
 
 
 def _chunks(texts: DataFrame) -> DataFrame:
-    """(row, doc_id, start, size, nth, digest) of each chunk; ``nth`` counts within the text."""
+    """(row, doc_id, place, digest) of each chunk; ``place`` is its first byte and, in the low 32 bits, its size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Hasher(lower=False), Hasher(lower=False, separators=b"")
         two.values = mix(two.values ^ np.uint64(0x5851F42D4C957F2D))
@@ -106,15 +106,13 @@ def _chunks(texts: DataFrame) -> DataFrame:
                 ends, d = np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, "right") - 1
                 two.words(data, offsets)
                 digests = two.stems(starts, ends).view(np.int64)
-                nth = np.arange(len(starts)) - np.searchsorted(d, d)
                 long = np.diff(offsets)[d] >= SPAN_BYTES
                 at = pa.array(row + d[long])
                 yield pa.RecordBatch.from_pydict({
-                    "row": rows.take(at), "doc_id": ids.take(at), "start": pa.array((starts - offsets[d])[long], pa.int64()),
-                    "size": pa.array((ends - starts)[long], pa.int64()), "nth": pa.array(nth[long], pa.int64()),
-                    "digest": pa.array(digests[long])})
+                    "row": rows.take(at), "doc_id": ids.take(at),
+                    "place": pa.array((starts - offsets[d] << 32 | ends - starts)[long], pa.int64()), "digest": pa.array(digests[long])})
 
-    return texts.mapInArrow(run, "row long, doc_id long, start long, size long, nth long, digest long")
+    return texts.mapInArrow(run, "row long, doc_id long, place long, digest long")
 
 
 def _surroundings(asked: DataFrame) -> DataFrame:
@@ -172,24 +170,32 @@ def _shared(a: Column, b: Column, side: Column) -> Column:
     return count(a, b, side)
 
 
-def _grown(around: DataFrame) -> DataFrame:
+def _grown(around: DataFrame, stages: Stages) -> DataFrame:
     """(row, start, side, more): by how many bytes a run grows beyond its last chunk on each side.
 
     What most places share with the original counts, or what any two share if it is ``CHANCE`` bytes longer. Among sorted
     values neighbours have most in common. Equal values count as one, and only those that begin alike are sorted
     together, so no chunk has to be sorted by one task as a whole.
     """
-    key = ["digest", "side", "bytes"]
+    group = ["digest", "side"]
     begin, side = F.substring("bytes", 1, CHANCE), F.col("side")
-    values = around.groupBy(key).agg(F.count("*").alias("n"))
-    by = Window.partitionBy("digest", "side", begin).orderBy("bytes")
+    values = around.groupBy(*group, "bytes").agg(
+        F.count("*").alias("n"), F.max("kept").alias("own"), F.max("edge").alias("edge"))
+    by = Window.partitionBy(*group, begin).orderBy("bytes")
     values = values.withColumns({"low": F.lag("bytes").over(by), "high": F.lead("bytes").over(by)}).withColumn(
-        "most", F.when(F.col("n") > 1, F.length("bytes")).otherwise(F.greatest(
-            _shared(F.col("bytes"), F.col("low"), side), _shared(F.col("bytes"), F.col("high"), side)))).select(*key, "most")
-    original = around.where("kept").select("digest", "side", F.col("bytes").alias("first"))
-    shared = around.join(original, ["digest", "side"]).withColumn("same", _shared(F.col("bytes"), F.col("first"), side))
-    usual = shared.where("NOT kept").groupBy("digest", "side").agg(F.percentile_approx("same", 0.5, 1000).alias("usual"))
-    grown = shared.where("edge").join(usual, ["digest", "side"]).join(values, key).withColumn(
+        "most", F.when(F.col("n") > 1, F.length("bytes")).when(F.col("edge"), F.greatest(
+            _shared(F.col("bytes"), F.col("low"), side), _shared(F.col("bytes"), F.col("high"), side)))).drop("low", "high")
+    first = around.where("kept").select(*group, F.col("bytes").alias("first"))
+    values = values.join(first, group).withColumn("same", _shared(F.col("bytes"), F.col("first"), side)).select(
+        *group, F.xxhash64("bytes").alias("print"), "edge", "most", "same", (F.col("n") - F.col("own").cast("int")).alias("n"))
+    values = stages.keep(values, "values")
+
+    by = Window.partitionBy(*group)
+    counts = values.where("n > 0").groupBy(*group, "same").agg(F.sum("n").alias("n"))
+    usual = counts.withColumns({"upto": F.sum("n").over(by.orderBy("same")), "all": F.sum("n").over(by)}).where(
+        "2 * upto >= all").groupBy(group).agg(F.min("same").alias("usual"))
+    ends = around.where("edge").select("row", "start", *group, "kept", F.xxhash64("bytes").alias("print"))
+    grown = ends.join(values.where("edge").join(usual, group).drop("edge", "n"), [*group, "print"]).withColumn(
         "more", F.when(F.col("kept"), F.col("usual")).otherwise(F.least("same", "usual")))
     more = F.when(F.col("most") - F.col("more") >= CHANCE, F.col("most")).otherwise(F.col("more"))
     return grown.select("row", "start", "side", more.cast("long").alias("more"))
@@ -214,16 +220,19 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     common = stages.keep(chunks.join(common, "digest"), "common")
     stages.drop("chunks")
     first = common.groupBy("digest").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "start")).alias("first"))
+        F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")).alias("first"))
+    start = F.shiftright("place", 32)
     copies = common.join(first, "digest").select(
-        "row", "doc_id", "start", "size", "nth", "digest", F.col("first.doc_id").alias("original"),
-        ((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start"))).alias("kept"),
-        F.xxhash64("first.row", F.col("start") - F.col("first.start")).alias("line"))
+        "row", "doc_id", start.alias("start"), F.col("place").bitwiseAND((1 << 32) - 1).alias("size"), "digest",
+        F.col("first.doc_id").alias("original"),
+        ((F.col("row") == F.col("first.row")) & (F.col("place") == F.col("first.place"))).alias("kept"),
+        F.xxhash64("first.row", start - F.shiftright("first.place", 32)).alias("line"))
 
     # A piece is a run of chunks that lie alike in the original; it grows at both ends.
-    by = Window.partitionBy("row").orderBy("nth")
-    follows = (F.col("nth") == F.lag("nth").over(by) + 1) & (F.col("line") == F.lag("line").over(by))
-    led = (F.col("nth") == F.lead("nth").over(by) - 1) & (F.col("line") == F.lead("line").over(by))
+    by = Window.partitionBy("row").orderBy("start")
+    end = F.col("start") + F.col("size")
+    follows = (F.col("start") == F.lag(end).over(by)) & (F.col("line") == F.lag("line").over(by))
+    led = (end == F.lead("start").over(by)) & (F.col("line") == F.lead("line").over(by))
     marked = copies.withColumns({"opens": ~F.coalesce(follows, F.lit(False)), "closes": ~F.coalesce(led, F.lit(False))})
     marked = stages.keep(marked.withColumn("piece", F.sum(F.col("opens").cast("int")).over(by)), "marked")
     stages.drop("common")
@@ -231,12 +240,12 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     asked = marked.join(ends, "digest").groupBy("row").agg(F.collect_list(F.struct(
         "start", "size", "digest", "kept", "opens", "closes", "before", "after")).alias("places"))
     around = stages.keep(_surroundings(texts.join(asked, "row").select("row", "text", "places")), "around")
-    grown = stages.keep(_grown(around), "grown")
-    stages.drop("texts", "around")
+    grown = stages.keep(_grown(around, stages), "grown")
+    stages.drop("texts", "around", "values")
 
     named = marked.where("doc_id IS NOT NULL")
     pieces = named.groupBy("row", "doc_id", "piece", "kept", "original").agg(
-        F.min("start").alias("opened"), F.max("start").alias("closed"), F.max(F.col("start") + F.col("size")).alias("last"),
+        F.min("start").alias("opened"), F.max("start").alias("closed"), F.max(end).alias("last"),
         F.count("*").alias("n"))
     for side, at in ((-1, "opened"), (1, "closed")):
         pieces = pieces.join(grown.where(F.col("side") == side).select(
