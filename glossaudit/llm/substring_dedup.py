@@ -216,11 +216,13 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     texts = stages.keep(documents.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "texts")
     chunks = stages.keep(_chunks(texts), "chunks")
-    common = chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    common = stages.keep(chunks.join(common, "digest"), "common")
-    stages.drop("chunks")
+    # What is joined by digest is written first, so that AQE can split the chunks of a very common digest.
+    digests = chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    common = stages.keep(chunks.join(stages.keep(digests, "digests"), "digest"), "common")
+    stages.drop("chunks", "digests")
     first = common.groupBy("digest").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")).alias("first"))
+    first = stages.keep(first, "first")
     start = F.shiftright("place", 32)
     copies = common.join(first, "digest").select(
         "row", "doc_id", start.alias("start"), F.col("place").bitwiseAND((1 << 32) - 1).alias("size"), "digest",
@@ -235,13 +237,13 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     led = (end == F.lead("start").over(by)) & (F.col("line") == F.lead("line").over(by))
     marked = copies.withColumns({"opens": ~F.coalesce(follows, F.lit(False)), "closes": ~F.coalesce(led, F.lit(False))})
     marked = stages.keep(marked.withColumn("piece", F.sum(F.col("opens").cast("int")).over(by)), "marked")
-    stages.drop("common")
+    stages.drop("common", "first")
     ends = marked.groupBy("digest").agg(F.max("opens").alias("before"), F.max("closes").alias("after")).where("before OR after")
-    asked = marked.join(ends, "digest").groupBy("row").agg(F.collect_list(F.struct(
+    asked = marked.join(stages.keep(ends, "ends"), "digest").groupBy("row").agg(F.collect_list(F.struct(
         "start", "size", "digest", "kept", "opens", "closes", "before", "after")).alias("places"))
     around = stages.keep(_surroundings(texts.join(asked, "row").select("row", "text", "places")), "around")
     grown = stages.keep(_grown(around, stages), "grown")
-    stages.drop("texts", "around", "values")
+    stages.drop("texts", "ends", "around", "values")
 
     named = marked.where("doc_id IS NOT NULL")
     pieces = named.groupBy("row", "doc_id", "piece", "kept", "original").agg(
