@@ -194,6 +194,7 @@ def _grown(around: DataFrame, stages: Stages) -> DataFrame:
     counts = values.where("n > 0").groupBy(*group, "same").agg(F.sum("n").alias("n"))
     usual = counts.withColumns({"upto": F.sum("n").over(by.orderBy("same")), "all": F.sum("n").over(by)}).where(
         "2 * upto >= all").groupBy(group).agg(F.min("same").alias("usual"))
+    usual = stages.keep(usual, "usual")
     ends = around.where("edge").select("row", "start", *group, "kept", F.xxhash64("bytes").alias("print"))
     grown = ends.join(values.where("edge").join(usual, group).drop("edge", "n"), [*group, "print"]).withColumn(
         "more", F.when(F.col("kept"), F.col("usual")).otherwise(F.least("same", "usual")))
@@ -243,7 +244,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         "start", "size", "digest", "kept", "opens", "closes", "before", "after")).alias("places"))
     around = stages.keep(_surroundings(texts.join(asked, "row").select("row", "text", "places")), "around")
     grown = stages.keep(_grown(around, stages), "grown")
-    stages.drop("texts", "ends", "around", "values")
+    stages.drop("texts", "ends", "around", "values", "usual")
 
     named = marked.where("doc_id IS NOT NULL")
     pieces = named.groupBy("row", "doc_id", "piece", "kept", "original").agg(
