@@ -93,6 +93,11 @@ PIECE = 254
 NO_GRAM = "  "  # stands for a text without letters; no trigram looks like that
 
 
+def letters(text: Column) -> Column:
+    """The lower-cased words of a text, made of letters and marks alone, with one space between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
+
+
 def explode_trigrams(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, gram): the character trigrams of the lower-cased words, each between two spaces.
 
@@ -100,7 +105,7 @@ def explode_trigrams(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     the pieces: nearly all words are one piece, and a run of a million letters stays cheap. All
     three steps are generated code. A text without letters gives one row with ``NO_GRAM``.
     """
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")), " ")
+    words = F.split(letters(F.col(text)), " ")
     starts = F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)), F.lit(PIECE))
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     positions = F.sequence(F.lit(1), F.greatest(F.length("piece") - 2, F.lit(1)))

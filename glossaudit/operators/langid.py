@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import operator
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossaudit import storage
-from glossaudit.functions.text import NO_GRAM, clean_label, explode_trigrams, flatten_newlines, normalize_text
+from glossaudit.functions.text import clean_label, explode_trigrams, flatten_newlines, letters, normalize_text
+from glossaudit.functions.trigrams import packed, summed_scores, trigram_counts, unpacked
 from glossaudit.storage import fingerprint, small_enough, staged
 
 TEMPERATURES = tuple(2.0 ** (k / 2) for k in range(21))  # 1 to 1,024
@@ -31,6 +37,16 @@ class LanguageModel:
     def broadcastable(self) -> bool:
         return small_enough(self.n_grams, 64 + 8 * len(self.languages))
 
+    @cached_property
+    def sent(self) -> Broadcast:
+        """(trigrams as sorted numbers, their scores by language), for tasks; only while :attr:`broadcastable`."""
+        found = self.grams.select("gram", *(F.get("lp", F.lit(i)).alias(f"s{i}") for i in range(len(self.languages)))).toArrow()
+        keys = packed(found.column("gram").to_pylist())
+        order = np.argsort(keys)
+        scores = [found.column(f"s{i}").to_numpy()[order] for i in range(len(self.languages))]
+        scores = np.stack(scores) if scores else np.zeros((0, len(keys)), np.int64)
+        return self.grams.sparkSession.sparkContext.broadcast((keys[order], scores))
+
     def fingerprint(self) -> str:
         """Differs for models that score differently."""
         return f"{','.join(self.languages)} {self.temperature} {fingerprint(self.grams, 'gram', 'lp')}"
@@ -55,9 +71,8 @@ class LanguageModel:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most_languages: int = 1_000) -> LanguageModel:
     """Count trigrams per language and smooth them (Laplace) into fixed-point log-probabilities.
 
-    One pass over the text: a counter per language and gram is summed before the only shuffle,
-    which then moves at most one row per distinct gram and task, however skewed the text is. The
-    counts are written to the shared folder; only the totals (one row) come to the driver. A model has
+    One pass over the text: tasks count the grams of their texts, so that the only shuffle moves at most one row per
+    distinct gram, language and Arrow batch, however skewed the text is. The counts are written to the shared folder; only the totals (one row) come to the driver. A model has
     one score per language, so a table with more than ``most_languages`` labels raises.
     """
     known = labelled.select(clean_label(F.col(lang)).alias("lang"), F.col(text).alias("text")).where(
@@ -67,8 +82,20 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most_lang
         raise ValueError(f"more than {most_languages} labels: is {lang!r} really a language column?")
     languages = tuple(row.lang for row in found)
 
-    grams = explode_trigrams(known, "text", "lang").where(F.col("gram") != NO_GRAM)
-    per_language = [F.count(F.when(F.col("lang") == code, 1)) for code in languages]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of: dict[str, list[str]] = {}
+            for code, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                of.setdefault(code, []).append(own)
+            for code, texts in of.items():
+                keys, times = trigram_counts(texts)
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([code] * len(keys), pa.string()), "gram": pa.array(unpacked(keys), pa.string()),
+                    "times": pa.array(times, pa.int64())})
+
+    clean = known.select("lang", F.coalesce(letters(F.col("text")), F.lit("")).alias("text"))
+    grams = clean.mapInArrow(count, "lang string, gram string, times long")
+    per_language = [F.sum(F.when(F.col("lang") == code, F.col("times")).otherwise(0)) for code in languages]
     counts = staged(
         grams.groupBy("gram").agg(*[c.alias(f"n{i}") for i, c in enumerate(per_language)]), "gram-counts")
 
@@ -109,22 +136,35 @@ def _scored_beyond_broadcast(grams: DataFrame, model: LanguageModel, *keys: str)
 
 
 def score_sums(texts: DataFrame, model: LanguageModel, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, s0, s1, ...): the summed log-probability of each text in each language; null without a known gram."""
+    """(keys, s0, s1, ...): the summed log-probability of each text in each language; null without a known gram.
+
+    The keys must be unique. A model that may be broadcast is sent when this is called, and texts are scored where they
+    are: nothing is moved.
+    """
     normal = texts.select(*keys, flatten_newlines(normalize_text(F.col(text))).alias(text))
-    grams = explode_trigrams(normal, text, *keys)
     if not model.broadcastable:
-        return _scored_beyond_broadcast(grams, model, *keys)
-    hits = grams.join(F.broadcast(model.grams.select("gram", "lp")), "gram", "left")
-    return hits.groupBy(*keys).agg(*(F.sum(F.get("lp", F.lit(i))).alias(f"s{i}") for i in range(len(model.languages))))
+        return _scored_beyond_broadcast(explode_trigrams(normal, text, *keys), model, *keys)
+    sent, names = model.sent, [f"s{i}" for i in range(len(model.languages))]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, scores = sent.value
+        for batch in batches:
+            hits, sums = summed_scores(batch.column(len(keys)).to_pylist(), known, scores)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(keys)], *(pa.array(own, pa.int64(), mask=hits == 0) for own in sums)], names=[*keys, *names])
+
+    clean = normal.select(*keys, F.coalesce(letters(F.col(text)), F.lit("")).alias(text))
+    schema = T.StructType([*clean.schema.fields[:-1], *(T.StructField(name, T.LongType()) for name in names)])
+    return clean.mapInArrow(score, schema)
 
 
 def language_scores(texts: DataFrame, model: LanguageModel, *keys: str, text: str = "text",
                     temperature: float | None = None) -> DataFrame:
     """(keys, lang, confidence): the language of each text, for keys that are unique and narrow.
 
-    The keys are copied to every character of a text, so they should be a few numbers. Texts without a known gram keep
-    their row, as (null, 0.0). Grams of one text sit in one partition, which makes the partial sums complete: one short
-    row per text is shuffled. Rows with equal keys would be taken as one text.
+    The keys go to Python with the text (with a large model to each of its characters), so they should be a few numbers.
+    Texts without a known gram keep their row, as (null, 0.0). Nothing is shuffled, unless the model is too large to be
+    broadcast.
     ``temperature``: the model's own if it is None.
     """
     scored = score_sums(texts, model, *keys, text=text)
