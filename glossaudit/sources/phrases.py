@@ -12,7 +12,9 @@ from glossaudit.functions.text import ignore_key
 
 def phrases_from_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """(phrase): trimmed, lower-cased, blank lines and repetitions dropped."""
-    return lines.select(ignore_key(F.col(column)).alias("phrase")).where("phrase <> ''").distinct()
+    # A plain filter would be pushed below an aggregation of the lines, which gives a few of many.
+    said = F.filter(F.array(ignore_key(F.col(column))), lambda phrase: phrase != "")
+    return lines.select(F.explode_outer(said).alias("phrase")).where("phrase IS NOT NULL").distinct()
 
 
 def load_ignore_phrases(spark: SparkSession, path: str) -> DataFrame:

@@ -361,3 +361,16 @@ def test_empty_report_has_a_header(spark, site, model, tmp_path):
     path = report.write_csv(rows, str(tmp_path), "stamp")
     lines = [line.value for line in spark.read.text(path).collect()]
     assert lines == [",".join(REPORT_COLUMNS)]
+
+
+def test_phrases_are_cleaned_after_their_lines_are_counted(spark):
+    """A filter on the phrase itself went below the aggregation: every line of the table was stripped, not each distinct one."""
+    lines = spark.createDataFrame([(x,) for x in ["  Same ", "same", " ", "", None, "Other\t"] * 5 + ["rare"]], "value string")
+    often = lines.groupBy("value").agg(F.count("*").alias("n")).where("n >= 5").select("value")
+    from glossaudit.sources import phrases
+
+    found = phrases.phrases_from_lines(often)
+    assert sorted(r.phrase for r in found.collect()) == ["other", "same"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Aggregate [value"):]
+    assert "regexp_replace" in plan and "regexp_replace" not in below
