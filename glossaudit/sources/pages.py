@@ -35,12 +35,14 @@ def scan_input(urls: DataFrame, pages: DataFrame) -> DataFrame:
 
     A URL that is listed twice is scanned twice, one that was not landed has status 0, and pages that are not listed
     take no part. Of several landed pages of a URL the one with the largest page_id counts. Slice the list first. The
-    list with its page ids is written when this is called; pages are moved only if it is too large to broadcast.
+    list with its page ids is written when this is called; pages are moved only if it is too large to broadcast, or if the
+    table is so small that it would not keep all cores busy.
     """
     latest = pages.groupBy("url").agg(F.max("page_id").alias("landed_id"))
     listed = staged(urls.select(F.col("ord").cast("long").alias("ord"), "url").join(latest, "url", "left"), "listed")
     landed = pages.select(F.col("page_id").alias("landed_id"), "status", "html")
     found = landed.join(broadcast_if_small(listed.where("landed_id IS NOT NULL"), 250), "landed_id")
+    found = spread(found, like=landed)  # few files would be few tasks for all that follows
     missing = listed.where("landed_id IS NULL").withColumns({"status": F.lit(0), "html": F.lit(None).cast("string")})
     columns = [F.col("ord").alias("page_id"), "url", "status", "html"]
     return found.select(*columns).unionByName(missing.select(*columns))

@@ -77,14 +77,15 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
     """Give a table that is planned smaller than one full split per core more partitions.
 
-    A table at scale, and a plan whose size Spark cannot tell (a join), pass through without a shuffle. Nothing runs.
+    A table at scale, and a plan whose size Spark cannot tell (a join), pass through without a shuffle. ``like``: the
+    table whose size counts, for what a join leaves of it. Nothing runs.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if df.isStreaming or planned_bytes(df) >= cores * split:
+    if df.isStreaming or planned_bytes(df if like is None else like) >= cores * split:
         return df
     return df.repartition(cores, *keys)

@@ -374,3 +374,17 @@ def test_phrases_are_cleaned_after_their_lines_are_counted(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.rindex("Aggregate [value"):]
     assert "regexp_replace" in plan and "regexp_replace" not in below
+
+
+def test_a_list_of_few_files_is_spread(spark, tmp_path):
+    """Landed pages in one file: what is found of them was one task for parsing; now all cores have some."""
+    rows = [(i, f"u{i}", 200, "<p>x</p>" * 50) for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, url string, status int, html string").coalesce(1).write.parquet(str(tmp_path / "p"))
+    landed = page_source.read_pages(spark, str(tmp_path / "p"))
+    urls = spark.createDataFrame([(0, "u3"), (1, "u5"), (2, "u3"), (3, "gone")], "ord long, url string")
+    found = page_source.scan_input(urls, landed)
+    assert sorted((r.page_id, r.url, r.status, r.html is None) for r in found.collect()) == [
+        (0, "u3", 200, False), (1, "u5", 200, False), (2, "u3", 200, False), (3, "gone", 0, True)]
+    whole = landed.select(F.col("page_id").alias("ord"), "url")
+    assert landed.rdd.getNumPartitions() == 1
+    assert "RoundRobinPartitioning(4)" in page_source.scan_input(whole, landed)._jdf.queryExecution().executedPlan().toString()
