@@ -69,7 +69,14 @@ def frequent_shingles(texts: DataFrame, k: int, stages: Stages) -> tuple[np.ndar
         hasher, held, count = Hasher(), [], 0
 
         def out():
-            keys, n = np.unique(np.concatenate(held) >> key_shift, return_counts=True)
+            every = np.concatenate(held)
+            held.clear()  # what follows works in place: a worker keeps the memory it once needed
+            every >>= key_shift
+            every.sort()
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            n = np.diff(np.append(first, len(every)))
+            keys = every[first]
+            del every, first
             cuts = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
             rows = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
             parts = [((keys[a:b] & low).astype(np.uint32), n[a:b]) for _, a, b in rows]
@@ -85,7 +92,7 @@ def frequent_shingles(texts: DataFrame, k: int, stages: Stages) -> tuple[np.ndar
                 count += len(own)
                 if count >= FLUSH:
                     yield out()
-                    held, count = [], 0
+                    count = 0
         if count:
             yield out()
 
