@@ -13,7 +13,8 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossaudit.fixed_values import CONTENT_SELECTORS, INLINE_TAGS, SKIP_TAGS, WHITESPACE
+from glossaudit.fixed_values import CONTENT_SELECTORS, INLINE_TAGS, SKIP_TAGS
+from glossaudit.functions.text import SPACES
 
 WS = r" \t\r\n\f"
 SQ, DQ = r"\x27", r"\x22"  # quotes, written so that a pattern fits into r'...'
@@ -91,7 +92,7 @@ def _is_in(tag: str, values: list[str]) -> str:
 
 
 def _collapsed(text: str) -> str:
-    return f"trim(regexp_replace({text}, r'[{WHITESPACE}]+', ' '))"
+    return f"trim(regexp_replace({text}, r'{SPACES}+', ' '))"
 
 
 # --- Tokens -------------------------------------------------------------------------------------
@@ -109,8 +110,11 @@ def _tag_name(token: str) -> str:
 
 
 def _kind(token: str, tag: str) -> str:
+    return f"if({_is_markup(token)}, {_markup_kind(token, tag)}, 'text')"
+
+
+def _markup_kind(token: str, tag: str) -> str:
     return f"""CASE
-        WHEN NOT {_is_markup(token)} THEN 'text'
         WHEN {tag} = '' THEN 'other'
         WHEN startswith({token}, '</') THEN 'close'
         WHEN {_is_in(tag, RAW_TAGS)} THEN 'raw'
@@ -172,7 +176,7 @@ def _declared(token: str, names: str) -> str:
 
 
 def _page_language(toks: str, names: str) -> str:
-    stripped = f"regexp_replace({_declared('html_tag', names)}, r'^[{WHITESPACE}]+|[{WHITESPACE}]+$', '')"
+    stripped = f"regexp_replace({_declared('html_tag', names)}, r'^{SPACES}+|{SPACES}+$', '')"
     return _let("html_tag", f"get(filter({toks}, t -> t RLIKE r'{HTML_TAG_RE}'), 0)",
                 f"substring_index(lower({stripped}), '-', 1)")
 
@@ -198,12 +202,16 @@ EMPTY_TYPE = ("ints array<int>, cuts array<struct<low: int, high: int, pos: int>
 def _masks() -> str:
     """Bit i: an element with this tag is one of the i-th entry of NEAREST."""
     known = sorted({tag for tags in NEAREST.values() for tag in tags or INLINE_TAGS})
-    by_mask: dict[int, list[str]] = {}
+    by_length: dict[int, dict[int, list[str]]] = {}  # a long CASE is tried branch by branch
     for tag in known:
         mask = sum(1 << i for i, tags in enumerate(NEAREST.values()) if (tag in tags if tags else tag not in INLINE_TAGS))
-        by_mask.setdefault(mask, []).append(tag)
-    cases = "".join(f" WHEN {_is_in('tag', tags)} THEN {mask}" for mask, tags in by_mask.items())
-    return f"CASE{cases} ELSE 1 END"
+        by_length.setdefault(len(tag), {}).setdefault(mask, []).append(tag)
+
+    def cases(by_mask: dict[int, list[str]]) -> str:
+        return "".join(f" WHEN {_is_in('tag', tags)} THEN {mask}" for mask, tags in by_mask.items())
+
+    lengths = "".join(f" WHEN {n} THEN CASE{cases(by_length[n])} ELSE 1 END" for n in sorted(by_length))
+    return f"CASE octet_length(tag){lengths} ELSE 1 END"
 
 
 def _tag_events(toks: str, names: str) -> str:
@@ -212,7 +220,7 @@ def _tag_events(toks: str, names: str) -> str:
         'has_lang', kind <> 'close' AND tag <> 'html' AND {_declared('t', names)} IS NOT NULL,
         'inline', {_is_in('tag', INLINE_TAGS)}, 'mask', {_masks()}, 'bucket', pmod(hash(tag), {BUCKETS}))"""
     known = f"if(kind IN ('open', 'close', 'void', 'raw'), {event}, NULL)"
-    tagged = _let("tag", _tag_name("t"), _let("kind", _kind("t", "tag"), known))
+    tagged = _let("tag", _tag_name("t"), _let("kind", _markup_kind("t", "tag"), known))
     return f"transform({toks}, (t, i) -> if({_is_markup('t')}, {tagged}, NULL))"
 
 
@@ -279,6 +287,8 @@ def _kept() -> str:
         WHEN {tag} = 'tr' THEN {_near('section scope')}
         ELSE {_near('table')} END"""
     by_rule = _let("target", target, f"if(target = 0, {DEPTH}, if({barrier} > target, {DEPTH}, target - 1))")
+    asking = sum(1 << list(NEAREST).index(name) for name in ("li", "a", "tr", "dd", "td", "section", "optgroup", "option"))
+    by_rule = f"if(ev.closes OR (ev.mask & {asking}) <> 0, {by_rule}, {DEPTH})"  # most start tags end nothing by themselves
     open_p = _let("open_p", _near("p"), f"if(open_p = 0, {DEPTH}, if({_near('p scope')} > open_p, {DEPTH}, open_p - 1))")
     return f"""CASE
         WHEN ev.closes AND {DEPTH} > 0 AND {_event_of(_at(DEPTH))}.tag = {tag} THEN {DEPTH} - 1
@@ -303,9 +313,9 @@ def _step() -> str:
     up = f"if(kept = 0, NULL, {_at('kept')})"
     scoped = "if(ev.has_lang OR coalesce(up & 1, 0) = 1, 1, 0)"
     entry = f"""shiftleft(cast(coalesce(shiftright(up, 1) + 1, 0) AS bigint), 32) | shiftleft(cast(kept + 1 AS bigint), 1) | {scoped}"""
-    after = f"""named_struct('base', s.base, 'tail', if(ev.holds, concat(s.tail, array(shiftleft(ev.pos, 1) | {scoped})), s.tail),
-        'opens', concat(s.opens, array({entry})), 'closes', if(ev.holds, s.closes,
-            concat(s.closes, array(shiftleft(cast(ev.pos AS bigint), 32) | ev.pos))), 'cuts', s.cuts)"""
+    after = f"""named_struct('base', s.base, 'tail', if(ev.holds, array_append(s.tail, shiftleft(ev.pos, 1) | {scoped}), s.tail),
+        'opens', array_append(s.opens, {entry}), 'closes', if(ev.holds, s.closes,
+            array_append(s.closes, shiftleft(cast(ev.pos AS bigint), 32) | ev.pos)), 'cuts', s.cuts)"""
     opened = _let("s", left, f"if(ev.closes, s, {_let('up', up, after)})")
     decided = _let("kept", _kept(), f"if(kept = -1 OR ev.closes AND kept = {DEPTH}, s, {opened})")
     return f"if(ev IS NULL, s, {decided})"

@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 from glossaudit.fixed_values import (
     DASHES, DOUBLE_QUOTES, ELLIPSIS, FORMULA_STARTS, NO_BREAK_SPACE, REMOTE_PREFIXES,
-    SINGLE_QUOTES, SNIPPET_LENGTH, TIMESTAMP_FORMAT, WHITESPACE,
+    SINGLE_QUOTES, SNIPPET_LENGTH, TIMESTAMP_FORMAT,
 )
 
+# WHITESPACE for Java, which is asked for every character of every text: the first 256 are single characters, that is one
+# table, and only what lies between U+1680 and U+3000 is compared with the others.
+SPACES = (
+    r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
+)
+TYPOGRAPHIC = r"[\xa0\x{2013}-\x{2026}]"  # all that normalize_text maps, and some more
+
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends (the built-in ``trim`` only knows the space)."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
 
 
 def collapse_whitespace(text: Column) -> Column:
     """Every run of Unicode white space becomes one space; none is left at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACES}+", " "))
 
 
 def is_blank(text: Column) -> Column:
@@ -29,7 +37,8 @@ def normalize_text(text: Column) -> Column:
     """Replace typographic quotes, dashes, ellipsis and no-break space by ASCII."""
     singles = SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + NO_BREAK_SPACE
     ascii_ = "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES) + " "
-    return F.replace(F.translate(text, singles, ascii_), F.lit(ELLIPSIS), F.lit("..."))
+    mapped = F.replace(F.translate(text, singles, ascii_), F.lit(ELLIPSIS), F.lit("..."))
+    return F.when(text.rlike(TYPOGRAPHIC), mapped).otherwise(text)  # most texts hold none
 
 
 def flatten_newlines(text: Column) -> Column:

@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from glossaudit import fixed_values
 from glossaudit.functions import text
 from glossaudit.operators import findings, report
 from glossaudit.sources import phrases
@@ -88,3 +89,16 @@ def test_trigrams_of_short_and_very_long_words(spark):
     assert sorted(got[0]) == grams(["the", "cat", "a", "dog"])
     assert sorted(got[1]) == grams([letters])
     assert got[2] == got[3] == got[4] == [text.NO_GRAM]
+
+
+def test_white_space_is_the_same_set_in_fewer_comparisons(spark):
+    every = spark.range(1, 0x3101).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"), "id")
+    found = every.where(F.col("c").rlike(f"^{text.SPACES}$") != F.col("c").rlike(f"^[{fixed_values.WHITESPACE}]$"))
+    assert found.count() == 0 and every.where(F.col("c").rlike(f"^{text.SPACES}$")).count() == 29
+
+
+def test_typographic_characters_are_all_looked_for(spark):
+    mapped = (fixed_values.SINGLE_QUOTES + fixed_values.DOUBLE_QUOTES + fixed_values.DASHES + fixed_values.ELLIPSIS
+              + fixed_values.NO_BREAK_SPACE)
+    assert all(set(c) <= set("'\"-. ") for c in apply(spark, text.normalize_text, [*mapped]))
+    assert apply(spark, text.normalize_text, ["plain", "", None, "\u2020"]) == ["plain", "", None, "\u2020"]
