@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import replace
 
@@ -14,7 +15,7 @@ from glossaudit.operators.langid import LanguageModel
 from glossaudit.operators.slicing import url_slice, with_batch
 from glossaudit.params import AuditParams
 from glossaudit.plans.audit import audit
-from glossaudit.storage import fingerprint, staged
+from glossaudit.storage import fingerprint, spread, staged
 
 MARKS = "batch_id long, first long, last long, n_pages long, digest long, settings string, commit long"
 BATCHES_PER_COMMIT = 100_000  # the batches of a commit are broadcast: some 40 bytes each
@@ -44,10 +45,16 @@ def audit_settings(model: LanguageModel, phrases: DataFrame | None, params: Audi
     return f"{replace(params, offset=0, limit=0)} model {model.fingerprint()} phrases {ignored}"
 
 
-def page_digests(pages: DataFrame) -> DataFrame:
-    """(page_id, key), written once: a page's digest covers its address, its status and its HTML."""
+def page_digests(pages: DataFrame, params: AuditParams = AuditParams()) -> DataFrame:
+    """(page_id, key), written once: a page's digest covers its address, its status and its HTML.
+
+    Of a slice only the pages of its batches are read: no others decide whether these are done.
+    """
     said = [c for c in ("page_id", "url", "status", "html") if c in pages.columns]
-    return staged(pages.select("page_id", F.xxhash64(*said).alias("key")), "digests")
+    size, start = params.batch_size, max(params.offset, 0)
+    first, end = start // size * size, math.ceil((start + params.limit) / size) * size
+    concerned = url_slice(pages, first, end - first if params.limit > 0 else 0, "page_id")
+    return staged(concerned.select("page_id", F.xxhash64(*said).alias("key")), "digests")
 
 
 def pending_batches(digests: DataFrame, output: str, settings: str, params: AuditParams) -> DataFrame:
@@ -86,12 +93,13 @@ def run_batches(
     marks to ``output/done``. A batch is audited again if any of its pages, the model's scores, the ignored phrases or the
     parameters have changed. Only what a batch's last mark points to counts, so neither a crash between the two nor
     findings of an earlier run are ever read. The first failing commit stops the run, and the next run starts there.
-    Pages are read by the ids of a commit's batches, without moving them.
+    Pages are read by the ids of a commit's batches, and moved only if their table is so small that it would not keep all
+    cores busy.
     """
     if not 0 < batches_per_commit <= BATCHES_PER_COMMIT:
         raise ValueError(f"batches_per_commit must be between 1 and {BATCHES_PER_COMMIT}")
     settings = audit_settings(model, phrases, params)
-    pending = staged(pending_batches(page_digests(pages), output, settings, params), "pending")
+    pending = staged(pending_batches(page_digests(pages, params), output, settings, params), "pending")
     total = pending.agg(F.min("batch_id").alias("low"), F.max("batch_id").alias("high"), F.count("*").alias("n")).first()
     plain, commit = replace(params, offset=0, limit=0), 0
     for low in range(total["low"], total["high"] + 1, batches_per_commit) if total["n"] else ():
@@ -104,6 +112,7 @@ def run_batches(
             low * params.batch_size, (low + batches_per_commit) * params.batch_size - 1))  # pruned at the scan
         inside = inside.join(edges, (F.col("batch_id") == F.col("of_batch"))
                              & F.col("page_id").between(F.col("first"), F.col("last"))).select(pages.columns)
+        inside = spread(inside, like=pages)  # the join hides how small the table is, and few files would be few tasks
         issues = with_batch(audit(inside, model, phrases, plain), params.batch_size, "page_id")
         issues.write.mode("overwrite").parquet(f"{output}/findings/commit={commit}")
         marks = part.withColumns({"settings": F.lit(settings), "commit": F.lit(commit)})

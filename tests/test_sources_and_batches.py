@@ -388,3 +388,26 @@ def test_a_list_of_few_files_is_spread(spark, tmp_path):
     whole = landed.select(F.col("page_id").alias("ord"), "url")
     assert landed.rdd.getNumPartitions() == 1
     assert "RoundRobinPartitioning(4)" in page_source.scan_input(whole, landed)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_slice_reads_only_its_batches(spark, site):
+    """The digests of all pages were made for every slice."""
+    def ids(**slice_):
+        return sorted(r.page_id for r in batches.page_digests(site, AuditParams(batch_size=6, **slice_)).collect())
+
+    assert ids(limit=4) == list(range(6))
+    assert ids(offset=7, limit=6) == list(range(6, 18))
+    assert ids(offset=13) == list(range(12, 20))
+    assert ids(offset=-3, limit=6) == list(range(6))
+    assert ids() == list(range(20))
+
+
+def test_batches_of_few_files_are_spread(spark, site, model, tmp_path, monkeypatch):
+    """The join with the pending batches hid the size of the pages: one file was one task for parsing."""
+    site.coalesce(1).write.parquet(str(tmp_path / "p"))
+    landed, given = page_source.read_pages(spark, str(tmp_path / "p")), []
+    monkeypatch.setattr(batches, "audit", lambda pages, *rest: given.append(pages) or audits.audit(pages, *rest))
+    assert batches.run_batches(landed, model, str(tmp_path / "out"), params=AuditParams(batch_size=3)) == 7
+    assert landed.rdd.getNumPartitions() == 1
+    assert "RoundRobinPartitioning(4)" in given[0]._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(batches.batch_findings(spark, str(tmp_path / "out"))) == rows_of(audits.audit(site, model))
